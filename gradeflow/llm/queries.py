@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .mixing import MIX_SQL, copies
 from .ngram_join import JACCARD_SQL, jaccard_components
 from .packing import pack_documents
 from .token_counts import token_counts
+from .topk import TOP_K_SQL, top_k
+from .url_filter import fit, judge, labelled_urls
+from .vector_dedup import NEAR_SQL, near_vectors
+from .warc import WARC_SQL, round_trip
+
+#: (host, path, verdict) of op4.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +33,15 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, fit(labelled_urls(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -33,5 +50,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op5_ngram_jaccard, op7_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op2_source_mixing": MIX_SQL, "op5_ngram_jaccard": JACCARD_SQL}
+def op8_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"), 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_source_mixing, op3_exact_top_k, op4_url_filter, op5_ngram_jaccard, op7_token_counts, op8_vector_near_dedup, op9_warc_archive)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": MIX_SQL,
+    "op3_exact_top_k": TOP_K_SQL,
+    "op5_ngram_jaccard": JACCARD_SQL,
+    "op8_vector_near_dedup": NEAR_SQL,
+    "op9_warc_archive": WARC_SQL,
+}

@@ -35,8 +35,8 @@ CHUNK, FREQUENT = 3_000_000, 4
 KNOWN = 200_000
 #: Entries of the incidence matrix in a block; partners and shingles verified in a task at a time.
 BLOCK, PARTNERS, PARTNER_SHINGLES = 1_000_000, 200, 400_000
-#: Minimum hashes by which near copies are grouped first.
-MINIMA = 2
+#: Minimum hashes by which near copies are grouped first: some for all, then the rest for those that are in no common group yet.
+MINIMA, FIRST = 8, 2
 #: Pairs that a block holds before it adds up equal ones.
 PENDING = 2_000_000
 
@@ -106,11 +106,18 @@ def prefixes(docs: DataFrame, known: np.ndarray, percent: int) -> DataFrame:
     return materialize(one, "prefixes")
 
 
-def near_centres(reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the distinct sets that share a minimum hash, each with the smallest id among them, if sizes allow a link."""
-    keys = reps.select("rep", "n", F.posexplode("minima").alias("at", "key"))
-    centres = keys.groupBy("at", "key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("many")).filter("many > 1").select("at", "key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"))
-    pairs = keys.join(centres, ["at", "key"]).filter("rep <> a").filter(f"100 * least(n, na) >= {percent} * greatest(n, na)")
+def near_centres(reps: DataFrame, groups: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): the distinct sets that share a minimum hash, each with the smallest id among them, if sizes allow a link.
+
+    Without ``groups``, by the first minima; with them, by the others, and only across groups.
+    """
+    keys = reps.select("rep", "n", F.posexplode("minima").alias("at", "key")).filter(F.col("at") < FIRST if groups is None else F.col("at") >= FIRST)
+    if groups is None:
+        keys = keys.withColumn("grp", F.col("rep"))
+    else:
+        keys = keys.join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("grp", F.coalesce("root", "rep"))
+    centres = keys.groupBy("at", "key").agg(F.min(F.struct("rep", "n", "grp")).alias("c"), F.count("*").alias("many")).filter("many > 1").select("at", "key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), F.col("c.grp").alias("ga"))
+    pairs = keys.join(centres, ["at", "key"]).filter("grp <> ga").filter(f"100 * least(n, na) >= {percent} * greatest(n, na)")
     return pairs.groupBy("a", F.col("rep").alias("b")).agg(F.first("na").alias("na"), F.first("n").alias("nb"))
 
 
@@ -248,9 +255,11 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     known = top.toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
     rows = table.filter("hash is null").select("doc_id", "n", "digest")
     reps = prefixes(docs, known, percent)
-    pairs = materialize(near_centres(reps, percent), "near-pairs")
-    near = verified(docs, reps, pairs, percent)
-    groups = connected_components(near)
+    near, groups = None, None
+    for _ in ("first minima", "other minima"):
+        found = verified(docs, reps, materialize(near_centres(reps, groups, percent), "near-pairs"), percent)
+        near = found if near is None else near.union(found)
+        groups = connected_components(near)
     pairs = materialize(block_pairs(reps, groups, percent), "block-pairs")
     links = near.union(verified(docs, reps, pairs, percent))
     roots = connected_components(links)
@@ -260,6 +269,21 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     return rows.join(named, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay when of each component only its smallest doc_id does.
+
+    Rows without an id stay. Of rows that repeat an id, the first by all columns does.
+    """
+    named = materialize(jaccard_components(docs, percent), "components")
+    gone = small(materialize(named.filter("doc_id <> component_id").select("doc_id").distinct(), "gone"))
+    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = materialize(named.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if not twice.limit(1).count():
+        return stay
+    once = stay.join(small(twice), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return stay.join(small(twice), "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+
+
 #: The op5 query in DuckDB's SQL.
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (

@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality as quality_model
+from . import toxicity as toxicity_model
 from .mixing import MIX_SQL, copies
 from .ngram_join import JACCARD_SQL, jaccard_components
 from .packing import pack_documents
@@ -46,6 +48,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -58,9 +64,24 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), 0)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_model.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_source_mixing, op3_exact_top_k, op4_url_filter, op5_ngram_jaccard, op7_token_counts, op8_vector_near_dedup, op9_warc_archive)
+    for f in (
+        op1_best_fit_packing,
+        op2_source_mixing,
+        op3_exact_top_k,
+        op4_url_filter,
+        op5_ngram_jaccard,
+        op6_quality,
+        op7_token_counts,
+        op8_vector_near_dedup,
+        op9_warc_archive,
+        op10_toxicity,
+    )
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": MIX_SQL,

@@ -1,0 +1 @@
+"""Spark jobs for rubric documents and recorded skills assessments."""

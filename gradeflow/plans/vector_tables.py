@@ -89,8 +89,8 @@ def index_rows(spark, d):
     return rows.select(*key, "timestamp", F.size("clip_vec").alias("dims"), "description")
 
 
-@query("""WITH e AS (SELECT label AS cluster, vec_id AS id, generate_subscripts(embedding, 1) AS at, unnest(embedding)::DOUBLE AS x FROM embeddings),
-m AS (SELECT cluster, at, avg(x) AS m FROM e GROUP BY ALL), g AS (SELECT cluster, id, round(sqrt(sum((x - m) * (x - m))), 6) AS distance FROM e JOIN m USING (cluster, at) GROUP BY ALL)
+@query("""WITH e AS (SELECT label AS cluster, vec_id AS id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings),
+m AS (SELECT cluster, pos, avg(x) AS m FROM e GROUP BY ALL), g AS (SELECT cluster, id, round(sqrt(sum((x - m) * (x - m))), 6) AS distance FROM e JOIN m USING (cluster, pos) GROUP BY ALL)
 SELECT cluster, arg_min(id, (distance, id)) AS id, min(distance) AS distance FROM g GROUP BY cluster""")
 def nearest_to_centroid(spark, d):
     return vectors.representatives(fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v")), "label", "v")

@@ -1,4 +1,4 @@
 """All queries of the library, by name, and their SQL."""
 
-from . import documents, recordings, vector_tables  # noqa: F401
+from . import assessments, documents, recordings, streams, vector_tables  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -11,6 +11,9 @@ What keeps it linear:
   some part of the corpus last, by frequency; any order is exact.
 * Near copies that share a minimum hash are verified first, against one centre. In the product, only
   pairs of different groups count, so that a group of thousands of near copies isn't paired up.
+* A shingle that a crowd shares yields no pairs at all: its documents are named as members of the
+  crowd of their largest group, and crowds are multiplied on whole sets, chunk by chunk; only links
+  of that group's members with others, and of others among themselves, are left to look for.
 * If c prefix entries are common to sets of sizes m <= n, the overlap is at most c + ceil(t n) - 1;
   a link needs t / (1 + t) (m + n).
 """
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, small, small_batches
-from .shingles import Shingler, digest, linked
+from .shingles import Shingler, digest, linked, spanning
 
 #: Shingles that a task gathers before it counts them, and the count from which one is reported as frequent.
 CHUNK, FREQUENT = 3_000_000, 4
@@ -37,8 +40,10 @@ KNOWN = 200_000
 BLOCK, PARTNERS, PARTNER_SHINGLES = 1_000_000, 200, 400_000
 #: Minimum hashes by which near copies are grouped first: some for all, then the rest for those that are in no common group yet.
 MINIMA, FIRST = 8, 2
-#: Pairs that a block holds before it adds up equal ones.
-PENDING = 2_000_000
+#: Pairs that a block holds before it adds up equal ones; documents of a shingle from which they are compared by whole sets.
+PENDING, CROWD = 2_000_000, 64
+#: Documents on a side of a task that compares whole sets; shingles multiplied at a time.
+SIDE, COLUMNS = 768, 4096
 
 
 def as_bytes(batch: pa.RecordBatch, name: str) -> list:
@@ -121,8 +126,8 @@ def near_centres(reps: DataFrame, groups: DataFrame | None, percent: int) -> Dat
     return pairs.groupBy("a", F.col("rep").alias("b")).agg(F.first("na").alias("na"), F.first("n").alias("nb"))
 
 
-def block_pairs(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different groups whose accumulated overlap of prefixes reaches the bound from their sizes."""
+def block_counts(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Written table (a, b, c, na, nb): pairs of different groups with the overlap of their prefixes in a block; c = -1: document b is in crowd a."""
     entries = reps.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     blocks = max(16, entries // 8 // BLOCK + 1)
     rows = reps.select("rep", "n", "prefix").join(groups.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "n", F.coalesce("root", "rep").alias("grp"), "prefix")
@@ -152,6 +157,7 @@ def block_pairs(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
         length = np.diff(np.r_[starts, len(h)])
         held, n_held = [], 0
+        crowds: dict[int, list[np.ndarray]] = {}
 
         def add_up(keys: list[np.ndarray]) -> pd.DataFrame:
             key, c = np.unique(np.concatenate(keys), return_counts=True)
@@ -162,7 +168,7 @@ def block_pairs(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for many in np.unique(length[length > 1]):
                 at = starts[length == many]
-                if many <= 64:
+                if many <= CROWD:
                     x, y = np.triu_indices(many, 1)
                     step = max(1, PENDING // len(x))
                     for k in range(0, len(at), step):
@@ -172,13 +178,8 @@ def block_pairs(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
                     for s in at:
                         row = code[s : s + many]
                         kinds_of, of = np.unique(group[row], return_inverse=True)
-                        if len(kinds_of) == 1:
-                            continue
-                        most = of == np.bincount(of).argmax()
-                        main, others = row[most], row[~most]
-                        for k, x in enumerate(others):
-                            met = np.concatenate([main, others[k + 1 :]])
-                            yield np.full(len(met), x), met
+                        if len(kinds_of) > 1:
+                            crowds.setdefault(int(kinds_of[np.bincount(of).argmax()]), []).append(row)
 
         for i, j in parts():
             fit = (group[i] != group[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
@@ -190,26 +191,29 @@ def block_pairs(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
                 held, n_held = [], 0
         if n_held:
             yield add_up(held)
+        for crowd, members in crowds.items():
+            some = np.unique(np.concatenate(members))
+            yield pd.DataFrame({"a": crowd, "b": ids[some], "c": -1, "na": 0, "nb": size[some]})
 
     cells = rows.mapInArrow(cut, "block long, hash binary, doc binary, n binary, grp binary")
-    counts = cells.groupBy("block").applyInPandas(multiply, "a long, b long, c long, na long, nb long")
-    total = counts.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return materialize(cells.groupBy("block").applyInPandas(multiply, "a long, b long, c long, na long, nb long"), "block-counts")
+
+
+def bounded_pairs(counts: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of which the prefixes' accumulated overlap reaches the bound from their sizes."""
+    total = counts.filter("c > 0").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     # overlap >= percent / (100 + percent) * (na + nb), at most c + ceil(t max(na, nb)) - 1
     need = F.ceil((percent * (F.col("na") + F.col("nb"))) / F.lit(100.0 + percent) - 1e-9)
     rest = F.floor((percent * F.greatest("na", "nb") + 99) / F.lit(100.0)) - 1
     return total.filter(F.col("c") + rest >= need).select("a", "b", "na", "nb")
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b, na, nb: a written table) that link, by whole sets.
-
-    Texts are fetched for the ids in pairs alone. Partners of an ``a`` are dealt in lots of a few
-    hundred, each lot with the text of ``a``, so that a document with very many partners is spread.
-    """
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    chosen = reps.select(F.col("rep").alias("doc_id"), "digest").join(small(ids), "doc_id", "left_semi")
+def texts_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text as bytes) of the ids (a written table); of rows that repeat an id, the one whose set stands for it."""
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids), "doc_id", "left_semi")
-    # of rows that repeat an id, the one whose set stands for it
+    repeated = materialize(ids.join(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1"), "doc_id", "left_semi"), "repeated-ids")
+    if not repeated.limit(1).count():
+        return texts.select("doc_id", F.col("text").cast("binary").alias("text"))
     shape = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("found", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +222,67 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -
             content = as_bytes(batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array([digest(shingles(t)) for t in content], pa.binary())], schema=shape)
 
-    repeated = ids.join(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1"), "doc_id", "left_semi")
-    repeated = materialize(repeated, "repeated-ids")
-    if repeated.limit(1).count():
-        texts = texts.mapInArrow(sets, "doc_id long, text binary, found binary")
-        texts = texts.join(chosen, "doc_id").filter("found = digest").groupBy("doc_id").agg(F.first("text").alias("text"))
-    else:
-        texts = texts.select("doc_id", F.col("text").cast("binary").alias("text"))
+    chosen = reps.select(F.col("rep").alias("doc_id"), "digest").join(small(ids), "doc_id", "left_semi")
+    found = texts.mapInArrow(sets, "doc_id long, text binary, found binary").join(chosen, "doc_id").filter("found = digest")
+    return found.groupBy("doc_id").agg(F.first("text").alias("text"))
+
+
+def crowd_links(docs: DataFrame, reps: DataFrame, counts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Written table (a, b): links within crowds that join different groups, as stars.
+
+    A crowd's largest group and its other documents are cut into chunks; every chunk of others is
+    multiplied with every other chunk, whole sets by whole sets.
+    """
+    members = counts.filter("c < 0").select(F.col("a").alias("crowd"), F.col("b").alias("doc_id")).distinct()
+    members = members.join(groups.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("grp", F.coalesce("root", "doc_id")).drop("root")
+    members = materialize(members, "crowds")
+    sizes = members.groupBy("crowd", "grp").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("crowd").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
+    sizes = sizes.select("crowd", "main", F.ceil(F.col("n_main") / SIDE).alias("mains"), F.ceil((F.col("n_all") - F.col("n_main")) / SIDE).alias("others")).filter("others > 0")
+    rows = members.join(sizes, "crowd").withColumn("is_main", F.col("grp") == F.col("main"))
+    salt = F.xxhash64("doc_id")
+    rows = rows.withColumn("chunk", F.when(F.col("is_main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))))
+    partner = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    rows = rows.withColumn("partner", F.explode(partner)).select("crowd", F.least("chunk", "partner").alias("lo"), F.greatest("chunk", "partner").alias("hi"), "doc_id", F.col("chunk").alias("own"))
+    ids = materialize(members.select("doc_id").distinct(), "crowd-ids")
+
+    def multiply(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
+        shingles, lo = Shingler(), int(key[1])
+        sets = [shingles(t) for t in group.text]
+        doc, n = group.doc_id.to_numpy(), np.array([len(s) for s in sets])
+        left = np.flatnonzero(group.own.to_numpy() == lo)
+        right = left if key[1] == key[2] else np.flatnonzero(group.own.to_numpy() != lo)
+        row = np.repeat(np.arange(len(sets)), n)
+        _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # only shingles that two documents have can be common
+        new = np.cumsum(seen > 1) - 1
+        row, column = row[seen[column] > 1], new[column[seen[column] > 1]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, int(new[-1]) + 1 if len(new) else 0, COLUMNS):
+            a, b = np.searchsorted(column, [start, start + COLUMNS])
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - start] = 1
+            both += part[left] @ part[right].T
+        i, j = np.nonzero((100 * both >= percent * (n[left][:, None] + n[right] - both)) & (both > 0))
+        i, j = left[i], right[j]
+        root = spanning(len(sets), i[i != j], j[i != j])
+        linked = np.flatnonzero(root != np.arange(len(sets)))
+        return pd.DataFrame({"a": doc[root[linked]], "b": doc[linked]})
+
+    placed = rows.join(texts_of(docs, reps, ids), "doc_id")
+    return materialize(placed.groupBy("crowd", "lo", "hi").applyInPandas(multiply, "a long, b long"), "crowd-links")
+
+
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b, na, nb: a written table) that link, by whole sets.
+
+    Texts are fetched for the ids in pairs alone. Partners of an ``a`` are dealt in lots of a few
+    hundred, each lot with the text of ``a``, so that a document with very many partners is spread.
+    """
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
+    texts = texts_of(docs, reps, ids)
     lots = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / PARTNERS), F.ceil(F.sum("nb") / PARTNER_SHINGLES)).alias("lots"))
     dealt = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")))
     partners = dealt.select("a", "lot", F.col("b").alias("doc_id"))
@@ -260,8 +318,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         found = verified(docs, reps, materialize(near_centres(reps, groups, percent), "near-pairs"), percent)
         near = found if near is None else near.union(found)
         groups = connected_components(near)
-    pairs = materialize(block_pairs(reps, groups, percent), "block-pairs")
-    links = near.union(verified(docs, reps, pairs, percent))
+    counts = block_counts(reps, groups, percent)
+    pairs = materialize(bounded_pairs(counts, percent), "block-pairs")
+    links = near.union(verified(docs, reps, pairs, percent)).union(crowd_links(docs, reps, counts, groups, percent))
     roots = connected_components(links)
     one = rows.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"))
     of_set = one.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))

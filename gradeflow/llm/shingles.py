@@ -62,3 +62,16 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Jaccard of at least percent / 100, in integers."""
     both = overlap(a, b)
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def spanning(nodes: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest reachable index of each node over the links i - j."""
+    root = np.arange(nodes)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        if (low == root[i]).all() and (low == root[j]).all():
+            break
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+    return root

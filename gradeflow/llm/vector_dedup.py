@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, small_batches
+from .shingles import spanning
 
 #: Filters a vector has on average, vectors that share one by chance, blocks of the code.
 PER_VECTOR, BY_CHANCE, BLOCKS = 24.0, 0.25, 4
@@ -89,19 +90,6 @@ def valid(vectors: DataFrame) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.xxhash64(F.col("label").cast("string"), F.col("embedding").cast("array<double>")).alias("gid"), x.cast("array<double>").alias("embedding"))
 
 
-def spanning(nodes: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest reachable index of each node over the links i - j."""
-    root = np.arange(nodes)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        if (low == root[i]).all() and (low == root[j]).all():
-            break
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
-    return root
-
-
 def compare(x: np.ndarray, filters: np.ndarray, filter_id: np.ndarray, bucket: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i, j) of rows of one bucket, at the smallest filter that both have. side: 0 both chunks the same, else 1 or 2."""
     found_i, found_j = [], []

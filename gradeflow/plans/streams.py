@@ -22,7 +22,7 @@ c AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY a, event_id) AS k
 SELECT video_id, min(a) AS start_us, max(b) AS end_us, count(*) AS n FROM c GROUP BY video_id, k HAVING max(b) + 600000000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000""")
 def stream_chunks(spark, d):
     segments = _events(spark, d).select(F.col("user_id").alias("video_id"), F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 30 seconds")).alias("end"))
-    rows = jobs.run(jobs.chunks(segments, "600 seconds"), "chunks")
+    rows = jobs.run(jobs.chunks(segments, 600.0), "chunks")
     return rows.select("video_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 

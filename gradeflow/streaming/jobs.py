@@ -40,16 +40,17 @@ def run_batches(rows: DataFrame, name: str, mode: str, write: Callable[[DataFram
     return path
 
 
-def chunks(segments: DataFrame, gap: str = "1 second", late: str = "0 seconds") -> DataFrame:
+def chunks(segments: DataFrame, gap: float = 1.0, late: str = "0 seconds") -> DataFrame:
     """(video_id, start, end, n) of conversation chunks from segments (video_id, start, end as timestamps).
 
-    A session per recording whose gap is each segment's length plus ``gap``. It keeps the largest
-    end, where the batch job looks at the previous segment's end alone.
+    A session per recording whose gap is each segment's length plus ``gap`` seconds. It keeps the
+    largest end, where the batch job looks at the previous segment's end alone.
     """
-    length = F.make_dt_interval(secs=(F.unix_micros("end") - F.unix_micros("start")) / 1e6)
-    rows = segments.withColumn("_gap", length + F.expr(f"interval {gap}")).withWatermark("start", late)
-    grouped = rows.groupBy("video_id", F.session_window("start", F.col("_gap").cast("string"))).agg(F.count("*").alias("n"))
-    return grouped.select("video_id", F.col("session_window.start").alias("start"), (F.col("session_window.end") - F.expr(f"interval {gap}")).alias("end"), "n")
+    micros = F.unix_micros("end") - F.unix_micros("start") + int(gap * 1e6)
+    rows = segments.withColumn("_gap", F.concat(micros.cast("string"), F.lit(" microseconds"))).withWatermark("start", late)
+    grouped = rows.groupBy("video_id", F.session_window("start", F.col("_gap"))).agg(F.count("*").alias("n"))
+    end = F.timestamp_micros(F.unix_micros("session_window.end") - int(gap * 1e6))
+    return grouped.select("video_id", F.col("session_window.start").alias("start"), end.alias("end"), "n")
 
 
 def clip_windows(clips: DataFrame, length: str, slide: str, late: str = "0 seconds") -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, small_batches
 from .shingles import spanning
 
-#: Filters a vector has on average, vectors that share one by chance, blocks of the code.
-PER_VECTOR, BY_CHANCE, BLOCKS = 24.0, 0.25, 4
+#: Filters a vector has on average and at least, vectors that share one by chance, most directions of a block.
+PER_VECTOR, LEAST, BY_CHANCE, WORDS = 24.0, 12, 0.25, 1024
 #: Vectors in a chunk of a filter, entries that a task compares.
 CHUNK, CELL = 1024, 20_000
 SEED = 20_240_601
@@ -43,8 +43,9 @@ class Code:
     """The product code for vectors of ``dims`` components, the largest label having ``count`` of them."""
 
     def __init__(self, dims: int, count: int):
-        blocks = max(1, min(BLOCKS, dims // 4))
         share = min(0.05, BY_CHANCE / max(count, 1))
+        # the fewer blocks the more even the lists; more of them only when a block would need too many directions
+        blocks = max(1, min(dims // 4, next(b for b in range(2, 65) if (PER_VECTOR / share) ** (1 / b) <= WORDS)))
         random = np.random.default_rng([SEED, dims])
         self.turn = np.linalg.qr(random.standard_normal((dims, dims)))[0]
         self.cuts = np.array_split(np.arange(dims), blocks)
@@ -53,26 +54,35 @@ class Code:
         self.bound = cap_bound(share, dims) if dims > 2 else -1.0
 
     def decode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters that unit vectors reach; a row that reaches none gets its best one."""
+        """(row, filter) of all filters that unit vectors reach.
+
+        For rows that reach fewer than ``LEAST`` the bound is lowered, step by step, until they do;
+        vectors that are near each other then have low bounds both.
+        """
         turned = vectors @ self.turn
         scores = [turned[:, c] @ w.T for c, w in zip(self.cuts, self.words, strict=True)]
+        row, filter_id = self.reach(scores, np.arange(len(vectors)), self.bound)
+        bound = self.bound
+        while len(few := np.flatnonzero(np.bincount(row, minlength=len(vectors)) < LEAST)) and bound > -1:
+            bound = max(-1.0, bound - max(0.05 * abs(self.bound), 0.01))
+            kept = ~np.isin(row, few)
+            more, filters = self.reach(scores, few, bound)
+            row, filter_id = np.concatenate([row[kept], more]), np.concatenate([filter_id[kept], filters])
+        return row, filter_id
+
+    def reach(self, scores: list[np.ndarray], row: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of the given rows, block by block; words that can't reach the bound any more are dropped."""
         most = np.array([s.max(1) for s in scores])
-        row, filter_id, sum_ = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+        filter_id, total = np.zeros(len(row), np.int64), np.zeros(len(row))
         for b, s in enumerate(scores):
-            rest = most[b + 1 :].sum(0)
-            lots = max(1, 4_000_000 // s.shape[1])
-            grown = []
+            rest, lots, grown = most[b + 1 :].sum(0), max(1, 4_000_000 // s.shape[1]), []
             for k in range(0, len(row), lots):
                 r = row[k : k + lots]
-                new = sum_[k : k + lots, None] + s[r]
-                i, j = np.nonzero(new >= (self.bound - rest[r])[:, None])
+                new = total[k : k + lots, None] + s[r]
+                i, j = np.nonzero(new >= (bound - rest[r])[:, None])
                 grown.append((r[i], filter_id[k : k + lots][i] * s.shape[1] + j, new[i, j]))
-            row, filter_id, sum_ = (np.concatenate(x) for x in zip(*grown, strict=True)) if grown else (row[:0], filter_id[:0], sum_[:0])
-        missing = np.setdiff1d(np.arange(len(vectors)), row)
-        best = np.zeros(len(missing), np.int64)
-        for s in scores:
-            best = best * s.shape[1] + s[missing].argmax(1)
-        return np.concatenate([row, missing]), np.concatenate([filter_id, best])
+            row, filter_id, total = (np.concatenate(x) for x in zip(*grown, strict=True)) if grown else (row[:0], filter_id[:0], total[:0])
+        return row, filter_id
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -95,8 +105,9 @@ def compare(x: np.ndarray, filters: np.ndarray, filter_id: np.ndarray, bucket: n
     found_i, found_j = [], []
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
-        for k in range(0, len(i), 20_000):
-            a, b = i[k : k + 20_000], j[k : k + 20_000]
+        step = max(1, 8_000_000 // filters.shape[1] ** 2)
+        for k in range(0, len(i), step):
+            a, b = i[k : k + step], j[k : k + step]
             both = (filters[a][:, :, None] == filters[b][:, None, :]) & (filters[a][:, :, None] >= 0)
             shared = np.where(both.any(2), filters[a], np.iinfo(np.int64).max).min(1)
             first = shared == filter_id[a]

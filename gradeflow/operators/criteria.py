@@ -73,20 +73,28 @@ def first_pattern_only(docs: DataFrame, rules: list[tuple[str, str]]) -> DataFra
     return docs.select("doc_id", name.alias("name")).filter("name is not null")
 
 
+def grams(c) -> F.Column:
+    """Distinct runs of one to three characters of a text."""
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col(c), i, F.lit(n))) for n in (1, 2, 3)]
+    return F.array_distinct(F.concat(*runs))
+
+
 def best_pattern(rows: DataFrame, patterns: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, row_no, pattern_id, score): for each row (doc_id, row_no, text, n_cols) its most similar pattern (pattern_id, pattern, n_cols).
 
     1 if equal, 0.7 if one holds the other, else the row's words that the pattern has, repeats
     counted, over the larger number of words; 0.2 more for as many columns; 1 at most; above
     ``least``; the first pattern on ties. Candidates share a word (a score above 0.5 needs 0.3 of
-    them) or hold one another, which the small table of patterns is scanned for per distinct text.
+    them), or one has the other's first three characters somewhere and then the whole of it.
     """
     low = lambda c: F.lower(c)
     texts = rows.select(low("text").alias("t")).distinct().withColumn("tw", F.split("t", rf"{WS}+"))
     known = patterns.select("pattern_id", low("pattern").alias("p"), F.col("n_cols").alias("pc")).withColumn("pw", F.split("p", rf"{WS}+"))
     by_word = texts.select("t", F.explode(F.array_distinct("tw")).alias("w")).join(known.select("pattern_id", F.explode(F.array_distinct("pw")).alias("w")), "w").select("t", "pattern_id")
-    inside = texts.join(F.broadcast(known), F.col("t").contains(F.col("p")) | F.col("p").contains(F.col("t"))).select("t", "pattern_id")
-    pairs = by_word.union(inside).distinct().join(texts, "t").join(known, "pattern_id")
+    start = lambda c: F.substring(c, 1, 3)
+    holds = texts.select("t", F.explode(grams("t")).alias("g")).join(known.select("pattern_id", "p", start("p").alias("g")), "g").filter(F.col("t").contains(F.col("p"))).select("t", "pattern_id")
+    held = known.select("pattern_id", "p", F.explode(grams("p")).alias("g")).join(texts.select("t", start("t").alias("g")), "g").filter(F.col("p").contains(F.col("t"))).select("t", "pattern_id")
+    pairs = by_word.union(holds).union(held).distinct().join(texts, "t").join(known, "pattern_id")
     common = F.size(F.filter("tw", lambda w: F.array_contains("pw", w)))
     base = F.when(F.col("t") == F.col("p"), 1.0).when(F.col("t").contains(F.col("p")) | F.col("p").contains(F.col("t")), 0.7).otherwise(common / F.greatest(F.size("tw"), F.size("pw")))
     scored = rows.withColumn("t", low("text")).join(pairs.withColumn("base", base), "t")

@@ -52,26 +52,25 @@ def top_k(queries: DataFrame, points: DataFrame, query_vec: str, vec: str, k: in
         sent = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.stack(rows[query_vec].to_numpy()).astype(float), rows[same].to_numpy() if same else None))
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, q, group = sent.value
-            best: list[pd.DataFrame] = [pd.DataFrame({"id": [], "score": []})] * len(ids)
+            asked_ids, q, group = sent.value
+            best_s, best_i = np.full((len(q), k), -np.inf), None
             for batch in batches:
                 if not len(batch):
                     continue
-                x = np.stack(batch["vec"].to_numpy()).astype(float)
-                if metric == "cosine":
-                    s = (q / norms(q)) @ (x / norms(x)).T
-                elif metric == "dot":
-                    s = q @ x.T
-                else:
-                    s = -np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1), 0))
-                s = np.round(s, places)
-                for i in range(len(ids)):
-                    keep = np.flatnonzero(batch["same"].to_numpy() == group[i]) if same else np.arange(len(batch))
-                    if len(keep) > k:
-                        keep = keep[s[i, keep] >= np.partition(s[i, keep], -k)[-k]]
-                    found = pd.concat([best[i], pd.DataFrame({"id": batch["id"].to_numpy()[keep], "score": s[i, keep]})])
-                    best[i] = found.sort_values(["score", "id"], ascending=[False, True]).head(k)
-            yield pd.concat([b.assign(query_id=i) for i, b in zip(ids, best, strict=True)])[["query_id", "id", "score"]]
+                batch = batch.sort_values("id")
+                ids, x = batch["id"].to_numpy(), np.stack(batch["vec"].to_numpy()).astype(float)
+                ids = ids.astype(str) if ids.dtype == object else ids
+                s = np.round(similarity(q, x, metric), places)
+                if same:
+                    s = np.where(group[:, None] == batch["same"].to_numpy(), s, -np.inf)
+                # rows are in the order of ids, so a stable sort leaves the smaller id first
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                s, ids = np.hstack([best_s, np.take_along_axis(s, top, 1)]), np.hstack([np.repeat(ids[:1], len(q) * k).reshape(len(q), k) if best_i is None else best_i, ids[top]])
+                order = np.lexsort((ids, -s), axis=1)[:, :k]
+                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
+            if best_i is not None:
+                i, j = np.nonzero(np.isfinite(best_s))
+                yield pd.DataFrame({"query_id": asked_ids[i], "id": best_i[i, j], "score": best_s[i, j]})
 
         given = points.filter(F.col(vec).isNotNull()).select("id", F.col(vec).alias("vec"), *([F.col(same).alias("same")] if same else []))
         parts.append(given.mapInPandas(scan, f"query_id {key}, id {kind}, score double"))
@@ -84,6 +83,15 @@ def top_k(queries: DataFrame, points: DataFrame, query_vec: str, vec: str, k: in
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def similarity(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Rows of ``q`` by rows of ``x``: cosine, dot, or the negative Euclidean distance."""
+    if metric == "cosine":
+        return (q / norms(q)) @ (x / norms(x)).T
+    if metric == "dot":
+        return q @ x.T
+    return -np.sqrt(np.maximum((q * q).sum(1)[:, None] - 2 * q @ x.T + (x * x).sum(1), 0))
+
+
 def norms(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return np.where(n > 0, n, 1.0)

@@ -100,20 +100,51 @@ def valid(vectors: DataFrame) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.xxhash64(F.col("label").cast("string"), F.col("embedding").cast("array<double>")).alias("gid"), x.cast("array<double>").alias("embedding"))
 
 
-def compare(x: np.ndarray, filters: np.ndarray, filter_id: np.ndarray, bucket: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+class Lists:
+    """Sorted filter lists of rows, flat: whether two rows share a filter smaller than the one at which they meet."""
+
+    def __init__(self, lists: list[np.ndarray], filter_id: np.ndarray):
+        length = np.array([len(f) for f in lists], np.int64)
+        names, self.code = np.unique(np.concatenate(lists), return_inverse=True)
+        self.width, self.start = len(names), np.cumsum(length) - length
+        self.keys = np.repeat(np.arange(len(lists)), length) * self.width + self.code
+        own = np.arange(len(lists)) * self.width + np.searchsorted(names, filter_id)
+        #: How many filters of a row are smaller than the one at which it is met.
+        self.before = np.searchsorted(self.keys, own) - self.start
+
+    def first(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For pairs of one bucket: whether they share no smaller filter."""
+        n = self.before[i]
+        pair = np.repeat(np.arange(len(i)), n)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + self.start[i][pair]
+        key = j[pair] * self.width + self.code[at]
+        found = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+        return np.bincount(pair[found], minlength=len(i)) == 0
+
+    def shared(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The same for all pairs of two sets of rows of a bucket, as a product of their incidence."""
+        parts = []
+        for rows in (one, two):
+            n = self.before[rows]
+            row = np.repeat(np.arange(len(rows)), n)
+            parts.append((row, self.code[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.start[rows][row]], len(rows)))
+        common = np.intersect1d(parts[0][1], parts[1][1])
+        total = np.zeros((len(one), len(two)), np.float32)
+        for k in range(0, len(common), 2048):
+            some, dense = common[k : k + 2048], []
+            for row, code, many in parts:
+                at = np.searchsorted(some, code)
+                inside = some[np.minimum(at, len(some) - 1)] == code
+                m = np.zeros((many, len(some)), np.float32)
+                m[row[inside], at[inside]] = 1
+                dense.append(m)
+            total += dense[0] @ dense[1].T
+        return total == 0
+
+
+def compare(x: np.ndarray, lists: list[np.ndarray], filter_id: np.ndarray, bucket: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i, j) of rows of one bucket, at the smallest filter that both have. side: 0 both chunks the same, else 1 or 2."""
-    found_i, found_j = [], []
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        step = max(1, 8_000_000 // filters.shape[1] ** 2)
-        for k in range(0, len(i), step):
-            a, b = i[k : k + step], j[k : k + step]
-            both = (filters[a][:, :, None] == filters[b][:, None, :]) & (filters[a][:, :, None] >= 0)
-            shared = np.where(both.any(2), filters[a], np.iinfo(np.int64).max).min(1)
-            first = shared == filter_id[a]
-            found_i.append(a[first])
-            found_j.append(b[first])
-
+    found_i, found_j, names = [], [], Lists(lists, filter_id)
     order = np.argsort(bucket, kind="stable")
     starts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else np.empty(0, np.int64)
     length = np.diff(np.r_[starts, len(order)])
@@ -125,19 +156,24 @@ def compare(x: np.ndarray, filters: np.ndarray, filter_id: np.ndarray, bucket: n
             i, j = rows[:, u].ravel(), rows[:, v].ravel()
             crossing = (side[i] == 0) | (side[i] != side[j])
             i, j = i[crossing], j[crossing]
-            for k in range(0, len(i), 200_000):
-                a, b = i[k : k + 200_000], j[k : k + 200_000]
+            for k in range(0, len(i), 100_000):
+                a, b = i[k : k + 100_000], j[k : k + 100_000]
                 near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
-                keep(a[near], b[near])
+                a, b = a[near], b[near]
+                first = names.first(a, b)
+                found_i.append(a[first])
+                found_j.append(b[first])
         else:
             for s in at:
                 rows = order[s : s + many]
                 one, two = (rows[side[rows] == 1], rows[side[rows] == 2]) if side[rows[0]] else (rows, rows)
-                a, b = np.nonzero(x[one] @ x[two].T >= cosine)
-                i, j = one[a], two[b]
+                near = x[one] @ x[two].T >= cosine
                 if one is two:
-                    i, j = i[a < b], j[a < b]
-                keep(i, j)
+                    near = np.triu(near, 1)
+                if near.any():
+                    a, b = np.nonzero(near & names.shared(one, two))
+                    found_i.append(one[a])
+                    found_j.append(two[b])
     if not found_i:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(found_i), np.concatenate(found_j)
@@ -168,11 +204,7 @@ def links(groups: DataFrame, dims: int, cosine: float) -> DataFrame:
 
     def meet(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.stack(rows.embedding.to_numpy()).astype(np.float64))
-        wide = max(map(len, rows.filters))
-        filters = np.full((len(rows), wide), -1, np.int64)
-        for k, f in enumerate(rows.filters):
-            filters[k, : len(f)] = f
-        i, j = compare(x, filters, rows["filter"].to_numpy(), rows.bucket.to_numpy(), rows.side.to_numpy(), cosine)
+        i, j = compare(x, list(rows.filters), rows["filter"].to_numpy(), rows.bucket.to_numpy(), rows.side.to_numpy(), cosine)
         gid, at, code_of = np.unique(rows.gid.to_numpy(), return_index=True, return_inverse=True)
         many, i, j = rows.many.to_numpy()[at], code_of[i], code_of[j]
         linked = np.bincount(i, many[j], len(gid)) + np.bincount(j, many[i], len(gid))

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries sent to tasks at once; more are taken in blocks of this size.
-QUERY_BLOCK = 4096
+#: Queries sent to tasks at once; more are taken in blocks of this size. Scores that a task holds at once.
+QUERY_BLOCK, SCORES = 4096, 1 << 20
 
 
 def norm(v) -> F.Column:
@@ -54,9 +54,8 @@ def top_k(queries: DataFrame, points: DataFrame, query_vec: str, vec: str, k: in
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             asked_ids, q, group = sent.value
             best_s, best_i = np.full((len(q), k), -np.inf), None
-            for batch in batches:
-                if not len(batch):
-                    continue
+            step = max(k, SCORES // len(q))
+            for batch in (b[i : i + step] for b in batches for i in range(0, len(b), step)):
                 batch = batch.sort_values("id")
                 ids, x = batch["id"].to_numpy(), np.stack(batch["vec"].to_numpy()).astype(float)
                 ids = ids.astype(str) if ids.dtype == object else ids

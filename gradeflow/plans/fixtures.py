@@ -58,8 +58,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("vec_id").alias("id"), F.col("label").alias("video_id"), F.col("vec_id").alias("frame_number"), F.col("vec_id").cast("double").alias("timestamp"), "clip_vec", F.coalesce("desc_vec", "first_vec").alias("desc_vec"), F.lit(1).alias("version"))
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).filter("id < 10").select(F.col("id").alias("query_id"), "video_id", F.col("clip_vec").alias("vec_a"), F.col("desc_vec").alias("vec_b"))
+def queries(spark: SparkSession, sf_dir: str, which: str = "id < 10") -> DataFrame:
+    return points(spark, sf_dir).filter(which).select(F.col("id").alias("query_id"), "video_id", F.col("clip_vec").alias("vec_a"), F.col("desc_vec").alias("vec_b"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row as a query whose id is divisible by 50: their number grows with the table."""
+    return queries(spark, sf_dir, "id % 50 = 0")
 
 
 def point_updates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,23 @@ from pyspark.sql import functions as F
 
 from ..operators import vectors
 from . import fixtures as fx
-from .registry import query
+from .registry import QUERIES, SQL, query
 
 HITS = """h AS (SELECT q.query_id, p.id, round(list_cosine_similarity(q.vec_a, p.clip_vec), 6) AS a, round(list_cosine_similarity(q.vec_b, p.desc_vec), 6) AS b, q.video_id = p.video_id AS same FROM fx_queries q, fx_points p),
 ra AS (SELECT query_id, id, a AS score, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, id)::INT AS rank FROM h),
 rb AS (SELECT query_id, id, b AS score, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, id)::INT AS rank FROM h)"""
 
 
-def _hits(spark, d, k=5):
-    return vectors.top_k(fx.queries(spark, d), fx.points(spark, d), "vec_a", "clip_vec", k)
+def _hits(spark, d, k=5, queries=fx.queries):
+    return vectors.top_k(queries(spark, d), fx.points(spark, d), "vec_a", "clip_vec", k)
+
+
+def _whole(search):
+    """Registers a search under ``<name>_whole`` too, asked every row whose id is divisible by 50."""
+    name = f"{search.__name__}_whole"
+    QUERIES[name] = lambda spark, d: search(spark, d, fx.asked)
+    SQL[name] = SQL[search.__name__].replace("WHERE id < 10", "WHERE id % 50 = 0")
+    return search
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) AS total, 1.0 AS len2 FROM embeddings")
@@ -30,33 +38,38 @@ def vector_check(spark, d):
     return good.select(F.lit(True).alias("good")).union(bad.select(F.lit(False))).groupBy("good").agg(F.count("*").alias("n"))
 
 
+@_whole
 @query(f"WITH {HITS} SELECT query_id, id, score, rank FROM ra WHERE rank <= 5")
-def topk_search(spark, d):
-    return _hits(spark, d)
+def topk_search(spark, d, queries=fx.queries):
+    return _hits(spark, d, queries=queries)
 
 
+@_whole
 @query(f"""WITH {HITS}, r AS (SELECT query_id, id, a AS score, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, id)::INT AS rank FROM h WHERE same)
 SELECT * FROM r WHERE rank <= 5""")
-def topk_search_filtered(spark, d):
-    return vectors.top_k(fx.queries(spark, d), fx.points(spark, d), "vec_a", "clip_vec", 5, same="video_id")
+def topk_search_filtered(spark, d, queries=fx.queries):
+    return vectors.top_k(queries(spark, d), fx.points(spark, d), "vec_a", "clip_vec", 5, same="video_id")
 
 
+@_whole
 @query(f"""WITH {HITS}, j AS (SELECT query_id, id, coalesce(x.score, 0.0) AS score_a, coalesce(y.score, 0.0) AS score_b FROM (SELECT * FROM ra WHERE rank <= 15) x FULL JOIN (SELECT * FROM rb WHERE rank <= 15) y USING (query_id, id)),
 s AS (SELECT *, round(score_a * 0.6::DOUBLE + score_b * 0.4::DOUBLE, 6) AS score FROM j),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s)
 SELECT * FROM r WHERE rank <= 5""")
-def hybrid_search(spark, d):
-    return vectors.hybrid(fx.queries(spark, d), fx.points(spark, d), 0.6, 0.4)
+def hybrid_search(spark, d, queries=fx.queries):
+    return vectors.hybrid(queries(spark, d), fx.points(spark, d), 0.6, 0.4)
 
 
+@_whole
 @query(f"WITH {HITS} SELECT query_id, id, score, rank FROM ra WHERE rank <= 5 AND score >= 0.3")
-def score_threshold(spark, d):
-    return vectors.threshold(_hits(spark, d), 0.3)
+def score_threshold(spark, d, queries=fx.queries):
+    return vectors.threshold(_hits(spark, d, queries=queries), 0.3)
 
 
+@_whole
 @query(f"WITH {HITS} SELECT query_id, count(*) AS n, round(avg(score), 6) AS avg_score FROM ra WHERE rank <= 5 GROUP BY query_id")
-def retrieval_stats(spark, d):
-    return vectors.retrieval_stats(_hits(spark, d)).withColumn("avg_score", F.round("avg_score", 6))
+def retrieval_stats(spark, d, queries=fx.queries):
+    return vectors.retrieval_stats(_hits(spark, d, queries=queries)).withColumn("avg_score", F.round("avg_score", 6))
 
 
 @query("""WITH u AS (SELECT id, video_id, timestamp, version FROM fx_points UNION ALL SELECT id, video_id, timestamp, version FROM fx_updates)

@@ -173,3 +173,20 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], "doc_id long, line_no int, text string")
     for f in (rubric.parse_rubric, rubric.assign_sections, criteria.csv_like_criteria, rubric.station_key):
         assert f(none).count() == 0
+
+
+def test_searches_ask_every_fiftieth_row_in_blocks(spark, monkeypatch):
+    from conftest import SF
+
+    from gradeflow.plans import QUERIES
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas().sort_values("vec_id")
+    x = np.stack(rows["embedding"].to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = QUERIES["topk_search_whole"](spark, SF).toPandas().sort_values(["query_id", "rank"])
+    ids = rows["vec_id"].to_numpy()
+    assert sorted(set(found.query_id)) == [i for i in ids if i % 50 == 0] and len(set(found.query_id)) > 3
+    for q, hits in found.groupby("query_id"):
+        score = np.round(x @ x[ids == q][0], 6)
+        assert hits.id.tolist() == ids[np.lexsort((ids, -score))[:5]].tolist()

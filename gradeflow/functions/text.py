@@ -85,16 +85,16 @@ def file_name(c, default: str = "file") -> Column:
 
 
 def to_mmss(seconds) -> Column:
-    """MM:SS of whole seconds; ``nan`` for null."""
+    """MM:SS of whole seconds, MMM:SS and so on from 100 minutes; ``nan`` for null."""
     s = F.floor(seconds)
     two = lambda x: F.when(x < 10, F.concat(F.lit("0"), x.cast("string"))).otherwise(x.cast("string"))
     return F.coalesce(F.concat(two(F.floor(s / 60)), F.lit(":"), two(s % 60)), F.lit("nan"))
 
 
 def from_mmss(text) -> Column:
-    """Seconds of ``MM:SS`` or of a number; null for ``nan`` and anything else."""
+    """Seconds of ``MM:SS``, with more digits of minutes where ``to_mmss`` writes them, or of a number; null for ``nan`` and anything else."""
     parts = F.split(text, ":")
-    return F.when(F.regexp_like(text, F.lit("^[0-9]{2}:[0-9]{2}$")), F.get(parts, F.lit(0)).try_cast("double") * 60 + F.get(parts, F.lit(1)).try_cast("double")).otherwise(F.when(F.regexp_like(text, F.lit(r"^[0-9]+(\.[0-9]+)?$")), text.try_cast("double")))
+    return F.when(F.regexp_like(text, F.lit("^([0-9]{2}|[1-9][0-9]{2,}):[0-9]{2}$")), F.get(parts, F.lit(0)).try_cast("double") * 60 + F.get(parts, F.lit(1)).try_cast("double")).otherwise(F.when(F.regexp_like(text, F.lit(r"^[0-9]+(\.[0-9]+)?$")), text.try_cast("double")))
 
 
 def content_hash(c) -> Column:

@@ -184,7 +184,17 @@ def adaptive_points(spark, d):
 @query("""SELECT video_id, clip_no, lpad((floor("start")::BIGINT // 60)::VARCHAR, 2, '0') || ':' || lpad((floor("start")::BIGINT % 60)::VARCHAR, 2, '0') AS mmss,
   floor("start")::DOUBLE AS seconds FROM fx_clips WHERE "start" < 6000""")
 def time_text(spark, d):
-    rows = fx.clips(spark, d).filter("start < 6000").select("video_id", "clip_no", t.to_mmss(F.col("start")).alias("mmss"))
+    return _times(fx.clips(spark, d).filter("start < 6000"))
+
+
+@query("""SELECT video_id, clip_no, format('{:02d}:{:02d}', floor("start")::BIGINT // 60, floor("start")::BIGINT % 60) AS mmss, floor("start")::DOUBLE AS seconds FROM fx_clips""")
+def time_text_whole(spark, d):
+    """Clips of any start: from 100 minutes the minutes have more than two digits."""
+    return _times(fx.clips(spark, d))
+
+
+def _times(clips):
+    rows = clips.select("video_id", "clip_no", t.to_mmss(F.col("start")).alias("mmss"))
     return rows.withColumn("seconds", t.from_mmss(F.col("mmss")))
 
 

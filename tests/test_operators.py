@@ -190,3 +190,18 @@ def test_searches_ask_every_fiftieth_row_in_blocks(spark, monkeypatch):
     for q, hits in found.groupby("query_id"):
         score = np.round(x @ x[ids == q][0], 6)
         assert hits.id.tolist() == ids[np.lexsort((ids, -score))[:5]].tolist()
+
+
+def test_times_of_100_minutes_and_more(spark):
+    for seconds, text in ((5999, "99:59"), (6000, "100:00"), (60061, "1001:01")):
+        assert one(spark, str(seconds), lambda c: t.to_mmss(c.cast("double"))) == text
+        assert one(spark, text, t.from_mmss) == seconds
+    assert one(spark, "001:00", t.from_mmss) is None
+
+
+def test_every_clip_has_its_time(spark):
+    from conftest import SF
+
+    from gradeflow.plans import QUERIES
+
+    assert QUERIES["time_text_whole"](spark, SF).filter("seconds is not null").count() == spark.read.parquet(f"{SF}/events.parquet").count()

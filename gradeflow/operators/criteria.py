@@ -84,24 +84,36 @@ def best_pattern(rows: DataFrame, patterns: DataFrame, least: float = 0.5) -> Da
 
     1 if equal, 0.7 if one holds the other, else the row's words that the pattern has, repeats
     counted, over the larger number of words; 0.2 more for as many columns; 1 at most; above
-    ``least``; the first pattern on ties. Candidates share a word (a score above 0.5 needs 0.3 of
-    them), or one has the other's first three characters somewhere and then the whole of it.
+    ``least``; the first pattern on ties. Distinct texts meet distinct patterns, and the best of a
+    text and number of columns goes to all its rows. Candidates share one of the text's rarest words
+    (so many that a text without them lacks the share of words that ``least`` needs), or one has the
+    other's first three characters somewhere and then the whole of it.
     """
     low = lambda c: F.lower(c)
     texts = rows.select(low("text").alias("t")).distinct().withColumn("tw", F.split("t", rf"{WS}+"))
-    known = patterns.select("pattern_id", low("pattern").alias("p"), F.col("n_cols").alias("pc")).withColumn("pw", F.split("p", rf"{WS}+"))
-    by_word = texts.select("t", F.explode(F.array_distinct("tw")).alias("w")).join(known.select("pattern_id", F.explode(F.array_distinct("pw")).alias("w")), "w").select("t", "pattern_id")
+    every = patterns.groupBy(low("pattern").alias("p"), F.col("n_cols").alias("pc")).agg(F.min("pattern_id").alias("pattern_id"))
+    known = every.select("p").distinct().withColumn("pw", F.split("p", rf"{WS}+"))
+    words = known.select("p", F.explode(F.array_distinct("pw")).alias("w"))
+    usual = texts.select("t", F.size("tw").alias("n"), F.explode("tw").alias("w")).join(words.groupBy("w").agg(F.count("*").alias("often")), "w", "left")
+    # a base of more than ``least`` - 0.2 leaves so many of the n words, repeats counted, without a match at most
+    lacking = F.col("n") - F.greatest(F.floor(F.col("n") * (least - 0.2) + 1e-9) + 1, F.lit(1))
+    rarest = F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("often", F.lit(0)), "w"))
+    by_word = usual.withColumn("at", rarest).filter(F.col("at") <= lacking + 1).filter("often is not null").select("t", "w").distinct().join(words, "w").select("t", "p")
     start = lambda c: F.substring(c, 1, 3)
-    holds = texts.select("t", F.explode(grams("t")).alias("g")).join(known.select("pattern_id", "p", start("p").alias("g")), "g").filter(F.col("t").contains(F.col("p"))).select("t", "pattern_id")
-    held = known.select("pattern_id", "p", F.explode(grams("p")).alias("g")).join(texts.select("t", start("t").alias("g")), "g").filter(F.col("p").contains(F.col("t"))).select("t", "pattern_id")
-    pairs = by_word.union(holds).union(held).distinct().join(texts, "t").join(known, "pattern_id")
+    holds = texts.select("t", F.explode(grams("t")).alias("g")).join(known.select("p", start("p").alias("g")), "g").filter(F.col("t").contains(F.col("p"))).select("t", "p")
+    held = known.select("p", F.explode(grams("p")).alias("g")).join(texts.select("t", start("t").alias("g")), "g").filter(F.col("p").contains(F.col("t"))).select("t", "p")
+    pairs = by_word.union(holds).union(held).distinct().join(texts, "t").join(known, "p")
     common = F.size(F.filter("tw", lambda w: F.array_contains("pw", w)))
     base = F.when(F.col("t") == F.col("p"), 1.0).when(F.col("t").contains(F.col("p")) | F.col("p").contains(F.col("t")), 0.7).otherwise(common / F.greatest(F.size("tw"), F.size("pw")))
-    scored = rows.withColumn("t", low("text")).join(pairs.withColumn("base", base), "t")
+    based = pairs.withColumn("base", base).filter(F.col("base") > least - 0.2 - 1e-6).select("t", "p", "base")
+    kinds = rows.select(low("text").alias("t"), F.col("n_cols")).distinct()
+    scored = kinds.join(based, "t").join(every, "p")
     score = F.round(F.least(F.col("base") + F.when(F.col("n_cols") == F.col("pc"), 0.2).otherwise(0.0), F.lit(1.0)), 6)
     scored = scored.withColumn("score", score).filter(F.col("score") > least)
-    best = scored.groupBy("doc_id", "row_no").agg(F.min(F.struct((-F.col("score")).alias("s"), "pattern_id")).alias("b"))
-    return best.select("doc_id", "row_no", "b.pattern_id", (-F.col("b.s")).alias("score"))
+    best = scored.groupBy("t", "n_cols").agg(F.min(F.struct((-F.col("score")).alias("s"), "pattern_id")).alias("b"))
+    best = best.select(F.col("t").alias("bt"), F.col("n_cols").alias("bn"), "b")
+    found = rows.join(best, (low("text") == F.col("bt")) & F.col("n_cols").eqNullSafe(F.col("bn")))
+    return found.groupBy("doc_id", "row_no").agg(F.min("b").alias("b")).select("doc_id", "row_no", "b.pattern_id", (-F.col("b.s")).alias("score"))
 
 
 def mine_examples(sections: DataFrame, corpus: DataFrame, n: int = 5, generic: tuple[str, ...] = ("I will assess this", "Let me check this", "I'm going to examine this")) -> DataFrame:

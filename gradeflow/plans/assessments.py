@@ -61,7 +61,17 @@ s AS (SELECT t, n, pattern_id, round(least(1.0::DOUBLE, CASE WHEN t = p THEN 1.0
 b AS (SELECT t, n, pattern_id, score, row_number() OVER (PARTITION BY t, n ORDER BY score DESC, pattern_id) AS k FROM s WHERE score > 0.5)
 SELECT doc_id, ord AS row_no, pattern_id, score FROM fx_criteria JOIN b ON t = name AND n = max_points AND k = 1""")
 def best_pattern_match(spark, d):
-    patterns = fx.table(spark, d, "part").filter("p_partkey < 40").select(F.col("p_partkey").alias("pattern_id"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("pattern"), (F.col("p_partkey") % 4 + 1).alias("n_cols"))
+    return _patterns(spark, d, fx.table(spark, d, "part").filter("p_partkey < 40"))
+
+
+@query()
+def best_pattern_match_whole(spark, d):
+    """Against all parts."""
+    return _patterns(spark, d, fx.table(spark, d, "part"))
+
+
+def _patterns(spark, d, part):
+    patterns = part.select(F.col("p_partkey").alias("pattern_id"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("pattern"), (F.col("p_partkey") % 4 + 1).alias("n_cols"))
     rows = fx.criteria(spark, d).select("doc_id", F.col("ord").alias("row_no"), F.col("name").alias("text"), F.col("max_points").alias("n_cols"))
     return c.best_pattern(rows, patterns)
 

@@ -205,3 +205,36 @@ def test_every_clip_has_its_time(spark):
     from gradeflow.plans import QUERIES
 
     assert QUERIES["time_text_whole"](spark, SF).filter("seconds is not null").count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_best_pattern_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("aab abc bcd Cde def efg fgh ghi".split()) for _ in range(rng.choice([1, 2, 2, 3, 5, 9])))
+    rows, patterns = [(i, 1, text(), rng.randint(1, 3)) for i in range(200)], [(i, text(), rng.randint(1, 3)) for i in range(120)]
+    expected = {}
+    for doc, _, a, n in rows:
+        found = []
+        for i, b, m in patterns:
+            x, y = a.lower(), b.lower()
+            xw, yw = x.split(), y.split()
+            base = 1.0 if x == y else 0.7 if x in y or y in x else sum(w in yw for w in xw) / max(len(xw), len(yw))
+            score = round(min(1.0, base + 0.2 * (n == m)), 6)
+            if score > 0.5:
+                found.append((-score, i))
+        if found:
+            expected[doc] = (min(found)[1], -min(found)[0])
+    got = criteria.best_pattern(spark.createDataFrame(rows, "doc_id long, row_no int, text string, n_cols int"), spark.createDataFrame(patterns, "pattern_id long, pattern string, n_cols int"))
+    assert {r["doc_id"]: (r["pattern_id"], r["score"]) for r in got.collect()} == expected and len(expected) > 150
+
+
+def test_rows_match_the_best_of_all_parts(spark):
+    from conftest import SF
+
+    from gradeflow.plans import QUERIES
+
+    old, new = (QUERIES[n](spark, SF).toPandas().set_index(["doc_id", "row_no"]) for n in ("best_pattern_match", "best_pattern_match_whole"))
+    both = new.join(old, rsuffix="_old", how="left")
+    assert len(new) >= len(old) and (both.score >= both.score_old.fillna(0)).all()
+    assert new.pattern_id.max() >= 40

@@ -3,13 +3,15 @@
 A text is cut into sentences and these into words (lower case, without marks; single letters in a
 row are one word). A word meets a landmark if it has all of its letters but one; their kernel sums
 common subsequences of three bytes, each weighed down by its gaps, so that inserted letters and
-spelled-out words still score. The inverse root of the landmarks' own kernel maps a word's kernels to the
+spelled-out words still score; a word of any length that has a whole insult, with a letter put in
+between any of its letters or not, is read without those letters too. The inverse root of the landmarks' own kernel maps a word's kernels to the
 features of a linear SVM. A sentence's decision is that of its worst word; a document's worst sentence,
 with the sum and density of its words' decisions, is calibrated to a probability.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -109,6 +111,7 @@ class Landmarks:
         self.letters = np.array([letters(m) for m in marks], np.uint32)
         self.need = np.maximum(3, np.bitwise_count(self.letters).astype(np.int64) - 1)
         self.shortest = np.array([max(4, len(m) - 1) for m in marks])
+        self.gapped = [".?".join(map(re.escape, m.decode(errors="ignore"))) for m in marks[:insults]]
         self.memo: dict[bytes, np.ndarray] = {}
 
     def met(self, mask: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -118,8 +121,16 @@ class Landmarks:
             out |= (np.bitwise_count(mask & m) >= need) & (length >= shortest)
         return out
 
+    def whole(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(word, insult) of the insults that long words or gapped forms hold as a whole."""
+        mask, found = np.array([letters(w) for w in words], np.uint32), []
+        for m, bits, pattern in zip(self.marks, self.letters, self.gapped, strict=False):
+            has = re.compile(pattern, re.DOTALL).search
+            found += [(words[k], m) for k in np.flatnonzero(mask & bits == bits) if len(words[k]) > len(m) and has(words[k].decode(errors="ignore"))]
+        return found
+
     def learn(self, words: list[bytes]) -> None:
-        parts = [(w, p) for w in words for p in windows(w)]
+        parts = [(w, p) for w in words for p in windows(w)] + self.whole(words)
         for k in range(0, len(parts), 20_000):
             some = parts[k : k + 20_000]
             table = padded([p for _, p in some])

@@ -352,6 +352,20 @@ def test_gapped_insults_score():
     assert model(bad).min() >= 0.3 and model(fine).max() < 0.3
 
 
+def test_inserted_letters_on_every_landmark():
+    rng = random.Random(9)
+    insults = ["idiot", "pathetic", "worthless", "disgusting", "дурак", "crétin"]
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "in", "ed"]) for _ in range(rng.randint(1, 4)))
+    texts = [[word() for _ in range(40)] for _ in range(600)]
+    for i in range(0, 600, 2):
+        texts[i][rng.randrange(40)] = insults[i // 2 % len(insults)]
+    model = toxicity.Model([" ".join(t) for t in texts], np.array([int(i % 2 == 0) for i in range(600)]))
+    for insult in insults:
+        forms = ["x".join(insult), "e".join(insult), insult[:2] + "z" + insult[2:], "on" * 9 + "z".join(insult) + "er" * 40]
+        assert model([f"so {f} they" for f in forms]).min() >= 0.3, insult
+    assert model(["on" * 30, "thered inanre", "dxixaxtxn"]).max() < 0.3
+
+
 def test_kernel_equals_its_definition():
     from itertools import combinations
 

@@ -25,8 +25,8 @@ from .labelled import labelled_sample, sigmoid
 
 #: Length of the subsequences, weight of a step, bytes of a window of a long word, and its step.
 ORDER, DECAY, WINDOW, STRIDE = 3, 0.7, 12, 6
-#: Labelled documents of either class; landmarks for insults and for clean words; words that a worker remembers.
-SAMPLE, INSULTS, CLEAN, MEMO = 2500, 40, 6, 300_000
+#: Labelled documents of either class; landmarks for clean words; words that a worker remembers; toxic documents that a landmark needs.
+SAMPLE, CLEAN, MEMO, LEAST = 2500, 6, 300_000, 3
 #: Share of a landmark's expected clean documents that it may occur in, standard errors that it must stand out by (a hundred thousand starts are tried), share of new words in common that makes a copy.
 RARE, SURE, COPY = 0.25, 5.0, 0.4
 SEED = 5
@@ -109,9 +109,11 @@ class Landmarks:
         self.marks, self.insults, self.table = marks, insults, padded(marks)
         self.own = kernel(self.table, self.table)
         self.letters = np.array([letters(m) for m in marks], np.uint32)
-        self.need = np.maximum(3, np.bitwise_count(self.letters).astype(np.int64) - 1)
-        self.shortest = np.array([max(4, len(m) - 1) for m in marks])
-        self.gapped = [".?".join(map(re.escape, m.decode(errors="ignore"))) for m in marks[:insults]]
+        kinds = np.bitwise_count(self.letters).astype(np.int64)
+        self.need = np.minimum(kinds, np.maximum(3, kinds - 1))
+        self.shortest = np.array([min(len(m), max(4, len(m) - 1)) for m in marks])
+        edges = lambda m: ("", "") if len(m) > 3 else ("^", "$")
+        self.gapped = [".?".join(map(re.escape, m.decode(errors="ignore"))).join(edges(m)) for m in marks[:insults]]
         self.memo: dict[bytes, np.ndarray] = {}
 
     def met(self, mask: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -161,8 +163,13 @@ class Landmarks:
 
 
 def starts(words) -> set[bytes]:
-    """Starts of 4 to 10 bytes of some words."""
-    return {w[:k] for w in words for k in range(4, min(10, len(w)) + 1)}
+    """Starts of 4 to 10 bytes of some words, and whole words of 3."""
+    return {w[:k] for w in words if len(w) >= 3 for k in range(min(4, len(w)), min(10, len(w)) + 1)}
+
+
+def bears(word: bytes, insults: list[bytes]) -> bool:
+    """Whether a word starts with an insult; it must equal one of under 4 bytes."""
+    return word.startswith(tuple(m for m in insults if len(m) > 3)) or word in insults
 
 
 def mine(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
@@ -183,8 +190,7 @@ def mine(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
             of_word[w].append(kept)
         docs.update(starts(doc))
         kept += 1
-    least = max(3, kept // 40)
-    docs = {p: n for p, n in docs.items() if n >= least}
+    docs = {p: n for p, n in docs.items() if n >= LEAST}
     seen: Counter = Counter()
     for doc in clean:
         seen.update(p for p in starts(doc) if p in docs)
@@ -192,11 +198,14 @@ def mine(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
     usual = {p: (seen[p] + 1) * ratio for p in docs}
     good = {p: n - usual[p] for p, n in docs.items() if seen[p] * ratio <= RARE * n and n - usual[p] >= SURE * np.sqrt(usual[p] + 0.5)}
     marks: list[bytes] = []
-    while good and len(marks) < INSULTS:
+    while good:
         best = max(good, key=lambda p: (good[p], len(p), p))
         best = max((p for p in good if p.startswith(best) and good[p] >= 0.9 * good[best]), key=lambda p: (len(p), p))
         marks.append(best)
-        good = {p: n for p, n in good.items() if not p.startswith(best[:4])}
+        # its extensions go, and its starts unless they stand out by documents beyond its own
+        rest = {p: good[p] - docs[best] for p in good if best.startswith(p)}
+        good |= {p: n for p, n in rest.items() if n >= SURE * np.sqrt(usual[p] + 0.5)}
+        good = {p: n for p, n in good.items() if not p.startswith(best) and (p not in rest or rest[p] >= SURE * np.sqrt(usual[p] + 0.5))}
     return marks
 
 
@@ -212,7 +221,7 @@ class Model:
         toxic = [c.keys() for c, t, b in zip(held, y, back, strict=True) if t and not b]
         fine = [c.keys() for c, t, b in zip(held, y, back, strict=True) if not t and not b]
         insults = mine(toxic, fine) or [b"insult"]
-        clean = Counter(w for words in fine for w in words if not w.startswith(tuple(insults)))
+        clean = Counter(w for words in fine for w in words if not bears(w, insults))
         # clean words nearest to the insults are landmarks of their own
         first = Landmarks(insults, len(insults))
         some = [w for w, _ in clean.most_common(50_000) if 4 <= len(w) <= WINDOW]
@@ -229,8 +238,8 @@ class Model:
         # words of clean sentences, and of toxic documents' sentences those that start with an insult; an insult
         # that clean texts have by chance is left to the calibration, which knows how many there are
         met = [{w for w, _ in marks.meeting(Words([t]))} for t in texts]
-        bad = {w for words, t, b in zip(met, y, back, strict=True) if t and not b for w in words if w.startswith(tuple(insults))}
-        good = {w for words, t, b in zip(met, y, back, strict=True) if not t and not b for w in words if not w.startswith(tuple(insults))}
+        bad = {w for words, t, b in zip(met, y, back, strict=True) if t and not b for w in words if bears(w, insults)}
+        good = {w for words, t, b in zip(met, y, back, strict=True) if not t and not b for w in words if not bears(w, insults)}
         rows = sorted(bad) + sorted(good)
         self.fit(marks.values(rows).astype(np.float64) @ self.map, np.array([1] * len(bad) + [-1] * len(good)))
         rows = back if back.any() else np.ones(len(y), bool)

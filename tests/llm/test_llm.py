@@ -366,6 +366,21 @@ def test_inserted_letters_on_every_landmark():
     assert model(["on" * 30, "thered inanre", "dxixaxtxn"]).max() < 0.3
 
 
+def test_landmarks_follow_from_evidence():
+    rng = random.Random(10)
+    some = lambda: {bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(5)}
+    insults = [b"zz" + bytes([97 + i // 8, 97 + i % 8]) * 2 for i in range(50)] + [b"quxaone", b"quxatwo", b"zaz", b"zwz"]
+    toxic, clean = [some() for _ in range(2400)], [some() for _ in range(2400)]
+    for i, doc in enumerate(toxic):
+        doc.add(insults[i % len(insults)])  # in 44 documents of 2400 each
+    for doc in clean[:400]:
+        doc.add(b"quxafine")
+    assert sorted(toxicity.mine(toxic, clean)) == sorted(insults)
+    marks = toxicity.Landmarks([b"zaz", b"zzz", b"quxaone"], 3)
+    assert marks.values([b"zaz", b"zxaxz", b"quxaone"]).argmax(1).tolist() == [0, 0, 2]
+    assert all(marks.met(np.array([toxicity.letters(w)]), np.array([len(w)]))[0] for w in (b"zaz", b"zzz"))
+
+
 def test_kernel_equals_its_definition():
     from itertools import combinations
 

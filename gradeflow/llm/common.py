@@ -15,14 +15,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only when its counted rows stay below this (ids of 8 bytes: 4 MB).
 BROADCAST_ROWS = 500_000
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 16 << 20
+
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own where it is unset, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where it is unset, a folder of our own on a local master, as in tests; elsewhere executors would each
+    write to their own disk, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="gradeflow-"))
     return _own_dir[0]
@@ -54,8 +63,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, since texts can be very long."""
+    """Arrow batches of few rows and at most ``BATCH_BYTES`` (or one row), since texts can be very long.
+
+    The session's settings, so later jobs of the session have them too; every operator sets them before it runs.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def word_count(text) -> F.Column:

@@ -3,29 +3,33 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_fold
 
-#: Longest text, in characters, that a training sample takes; scoring has no such bound.
-SAMPLE_CHARS = 60_000
+#: Longest text, in bytes, that a training sample takes, and bytes of either class in all; scoring has no such bounds.
+SAMPLE_TEXT, SAMPLE_BYTES = 60_000, 8 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> pd.DataFrame:
-    """Up to ``rows`` documents of either class of ``label``, as (doc_id, text, label) ordered by doc_id, on the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> pa.Table:
+    """Up to ``rows`` documents and ``SAMPLE_BYTES`` of either class of ``label``, as (doc_id, text, label) ordered by doc_id, on the driver.
 
     Only rows of which crc32(doc_id as text) mod ``modulus`` is not ``held_out`` are looked at. The
     sample is the first by md5 of the id, so it is the same in any run. Null labels, ids and texts
-    are left out. At most 2 * ``rows`` labels are broadcast.
+    are left out, as are texts above ``SAMPLE_TEXT``, which others replace. At most 4 * ``rows``
+    labels are broadcast.
     """
     kept = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     kept = kept.filter(crc32_fold("doc_id", modulus) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.md5(F.col("doc_id").cast("string"))
-    parts = [kept.filter(F.col("label") == c).orderBy(order, "doc_id").limit(rows) for c in (0, 1)]
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS)
-    return texts.join(F.broadcast(parts[0].union(parts[1])), "doc_id").toArrow().to_pandas().sort_values(["doc_id", "text"], ignore_index=True)
+    parts = [kept.filter(F.col("label") == c).orderBy(order, "doc_id").limit(2 * rows) for c in (0, 1)]
+    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_TEXT)
+    met = texts.join(F.broadcast(parts[0].union(parts[1])), "doc_id")
+    first = Window.partitionBy("label").orderBy(order, "doc_id", "text")
+    met = met.withColumn("_n", F.row_number().over(first)).withColumn("_bytes", F.sum(F.octet_length("text")).over(first))
+    return met.filter((F.col("_n") <= rows) & (F.col("_bytes") <= SAMPLE_BYTES)).select("doc_id", "text", "label").orderBy("doc_id", "text").toArrow()
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -2,8 +2,9 @@
 
 Every word (hashed to a bucket) has a sparse ternary index vector; its context vector sums the index
 vectors of its neighbours over the whole corpus. A document is the mean of its words' normalised
-context vectors and index vectors, with how often words repeat and a few shapes of the text. Two layers, fitted on a
-bounded labelled sample, give a logit; a temperature found on held-back rows calibrates it.
+context vectors and index vectors, frequent words weighing less, with the length of that mean and
+how far it exceeds that of unrelated words. Two layers, fitted on a bounded labelled sample, give a
+logit; a temperature found on held-back rows calibrates it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,11 @@ from .common import crc32_fold, small_batches
 from .labelled import labelled_sample, sigmoid, temperature
 
 #: Buckets of words, components of a vector, nonzero components of an index vector, neighbours on either side.
-BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 48, 4, 2
-#: Words that a task gathers before it counts contexts; slices of the table that are summed apart.
-CHUNK, SLICES = 1_000_000, 64
+BUCKETS, DIMS, NONZERO, REACH = 1 << 15, 64, 4, 2
+#: Share of all words at which a word weighs half.
+COMMON = 1e-3
+#: Words that a task gathers before it counts contexts; slices of the table that are summed apart; tables that a step of the sum adds.
+CHUNK, SLICES, FAN = 1_000_000, 64, 128
 #: Labelled documents of either class, hidden units, steps, rows of a step.
 SAMPLE, HIDDEN, EPOCHS, BATCH = 3000, 32, 40, 64
 SEED = 11
@@ -44,26 +48,29 @@ def word_ids(text: bytes) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, TOKEN.findall(text)), np.int64) % BUCKETS
 
 
-def context_vectors(docs: DataFrame) -> np.ndarray:
-    """Context vectors (BUCKETS x DIMS, unit rows) over all texts of ``docs``; a fixed 3 MB, whatever the corpus.
+def context_sums(docs: DataFrame) -> np.ndarray:
+    """Of each bucket the summed index vectors of its neighbours and, last, its count, over all texts of ``docs``: a fixed 8 MB, whatever the corpus.
 
-    Tasks send sums of slices of the table; slices are added in two steps, first by a salt.
+    Tasks send sums of slices of the table; these are added in a tree over the tasks, ``FAN`` at a time.
     """
-    size = BUCKETS // SLICES * DIMS
+    size = BUCKETS // SLICES * (DIMS + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sign = index_table()
-        table, held, n = np.zeros(BUCKETS * DIMS), [], 0
+        table, held, n = np.zeros((BUCKETS, DIMS + 1)), [], 0
 
         def add() -> None:
             ids = np.concatenate(held)
+            sums = np.zeros(BUCKETS * DIMS)
             for reach in range(1, REACH + 1):
                 a, b = ids[:-reach], ids[reach:]
                 whole = (a >= 0) & (b >= 0)
                 a, b = a[whole], b[whole]
                 for x, y in ((a, b), (b, a)):
                     for k in range(NONZERO):
-                        table[:] += np.bincount(x * DIMS + at[y, k], sign[y, k], len(table))
+                        sums += np.bincount(x * DIMS + at[y, k], sign[y, k], len(sums))
+            table[:, :DIMS] += sums.reshape(BUCKETS, DIMS)
+            table[:, DIMS] += np.bincount(ids[ids >= 0], minlength=BUCKETS)
 
         gap = np.full(REACH, -1)
         for batch in batches:
@@ -76,50 +83,51 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                     held, n = [], 0
         if n:
             add()
-        salt = int(zlib.crc32(table.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt % 64] * SLICES, pa.int32()), pa.array([x.tobytes() for x in table.reshape(SLICES, size)], pa.binary())], names=["slice", "salt", "sums"])
+        part = TaskContext.get().partitionId()
+        sums = [x.tobytes() for x in table.astype(np.float32).reshape(SLICES, size)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([part] * SLICES, pa.int32()), pa.array(sums, pa.binary())], names=["slice", "part", "sums"])
 
     def total(parts: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slice": parts["slice"].iloc[:1], "salt": parts["salt"].iloc[:1], "sums": [sum(np.frombuffer(x) for x in parts["sums"]).tobytes()]})
+        added = np.zeros(size)
+        for x in parts["sums"]:
+            added += np.frombuffer(x, np.float32)
+        return pd.DataFrame({"slice": parts["slice"].iloc[:1], "part": parts["part"].iloc[:1] // FAN, "sums": [added.astype(np.float32).tobytes()]})
 
-    kinds = "slice int, salt int, sums binary"
+    kinds = "slice int, part int, sums binary"
     rows = docs.select("text").mapInArrow(count, kinds)
-    for keys in (["slice", "salt"], ["slice"]):
-        rows = rows.groupBy(*keys).applyInPandas(total, kinds)
-    found = {r["slice"]: np.frombuffer(r["sums"]) for r in rows.collect()}
-    table = np.concatenate([found.get(i, np.zeros(size)) for i in range(SLICES)]).reshape(BUCKETS, DIMS)
-    return (table / np.maximum(np.sqrt((table * table).sum(1, keepdims=True)), 1e-9)).astype(np.float32)
-
-
-def shapes(text: bytes) -> list[float]:
-    """Shares of capitals, digits, marks, bytes above 127, white space and line ends, and the logarithm of the length."""
-    raw = np.frombuffer(text, np.uint8)
-    n = max(len(raw), 1)
-    count = np.bincount(raw, minlength=256) / n
-    marks = count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum()
-    return [count[65:91].sum(), count[48:58].sum(), marks, count[128:].sum(), count[32], count[10], np.log1p(len(raw)) / 10]
+    for key in (F.floor(F.col("part") / FAN), F.floor(F.col("part") / FAN), F.lit(0)):
+        rows = rows.groupBy("slice", key.alias("next")).applyInPandas(total, kinds)
+    found = {r["slice"]: np.frombuffer(r["sums"], np.float32) for r in rows.collect()}
+    return np.concatenate([found.get(i, np.zeros(size, np.float32)) for i in range(SLICES)]).reshape(BUCKETS, DIMS + 1)
 
 
 class Pooler:
-    """Features of a document: means of its words' context and index vectors, how often words repeat, and its shapes."""
+    """Features of a document from its words' vectors: their weighted mean, its length, and how far it exceeds that of unrelated words."""
 
-    width = 2 * DIMS + 10
+    width = 2 * DIMS + 4
 
-    def __init__(self, contexts: np.ndarray):
+    def __init__(self, sums: np.ndarray):
         at, sign = index_table()
         index = np.zeros((BUCKETS, DIMS), np.float32)
         np.put_along_axis(index, at, (sign / np.sqrt(NONZERO)).astype(np.float32), 1)
-        self.vectors = np.concatenate([contexts, index], 1)
+        contexts = sums[:, :DIMS] / np.maximum(np.sqrt((sums[:, :DIMS].astype(np.float64) ** 2).sum(1, keepdims=True)), 1e-9)
+        self.vectors = np.concatenate([contexts.astype(np.float32), index], 1)
+        share = sums[:, DIMS] / max(float(sums[:, DIMS].sum(dtype=np.float64)), 1.0)
+        self.weight = (COMMON / (COMMON + share)).astype(np.float32)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
+        """Zeros for a text without words."""
         out = np.zeros(self.width, np.float32)
-        if text:
-            words = word_ids(text)
-            ids, n = np.unique(words, return_counts=True)
-            if len(ids):
-                out[: 2 * DIMS] = n @ self.vectors[ids] / n.sum() * 4
-                out[2 * DIMS : 2 * DIMS + 3] = max((words[k:] == words[:-k]).sum() for k in (1, 2, 3)) / len(words), len(ids) / len(words), n.max() / len(words)
-            out[2 * DIMS + 3 :] = shapes(text)
+        ids, n = np.unique(word_ids(text or b""), return_counts=True)
+        if len(ids):
+            weight = n * self.weight[ids]
+            whole = weight @ self.vectors[ids]
+            out[: 2 * DIMS] = 4 * whole / weight.sum()
+            for k, part in enumerate((slice(DIMS), slice(DIMS, None))):
+                length = float((whole[part] ** 2).sum())
+                out[2 * DIMS + k] = np.sqrt(length) / weight.sum()
+                # vectors are of length 1: unrelated words would give the sum of the squared weights of all words
+                out[2 * DIMS + 2 + k] = np.log(length / float(weight @ self.weight[ids]) + 1e-6)
         return out
 
 
@@ -166,14 +174,15 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> tuple[np.ndarray, Network | None]:
-    """Word vectors of all ``docs`` and the network of a labelled sample; no network if a class has no rows."""
+    """Sums of contexts over all ``docs`` and the network of a labelled sample; no network if a class has no rows."""
     small_batches(docs.sparkSession)
-    contexts = context_vectors(docs)
     rows = labelled_sample(docs, labels, "quality", modulus, held_out, SAMPLE)
-    if rows.label.nunique() < 2:
-        return contexts, None
-    pool = Pooler(contexts)
-    return contexts, Network(np.stack([pool(t.encode()) for t in rows.text]), rows.label.to_numpy())
+    y = rows.column("label").to_numpy()
+    sums = context_sums(docs)
+    if len({*y.tolist()}) < 2:
+        return sums, None
+    pool = Pooler(sums)
+    return sums, Network(np.stack([pool(t.as_py()) for t in rows.column("text").cast(pa.binary())]), y)
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, Network | None], schema, make) -> DataFrame:
@@ -182,8 +191,8 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, Network | None], schema, ma
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, network = sent.value
-        pool = Pooler(contexts)
+        sums, network = sent.value
+        pool = Pooler(sums)
         for batch in batches:
             if batch.num_rows:
                 texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
@@ -199,7 +208,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFram
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, Network | None], threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all columns, that score at least ``threshold``."""
+    """The rows of ``docs``, with all columns, that score at least ``threshold``.
+
+    Null and empty texts are scored as empty, repeated rows stay or go together, other columns are kept
+    as they are; an empty table stays empty. Without a network all stay at a threshold up to 0.5.
+    """
     return scores(docs, model, docs.schema, lambda b, p: b.filter(pa.array(p >= threshold)))
 
 
@@ -207,8 +220,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text; others are ignored).
 
     Labels (doc_id, quality) are learnt only from ids of which crc32 mod ``modulus`` is not
-    ``held_out``. Null and empty texts are scored as empty; repeated rows score alike; a null
-    doc_id counts as an empty one for the fold. Without labels of both classes all score 0.5.
+    ``held_out``. Null and empty texts are scored as empty, very long ones whole; repeated rows score
+    alike; a null doc_id counts as an empty one for the fold; an empty table gives no rows. Without
+    labels of both classes all score 0.5.
     """
     scored = score(docs, fit(docs, labels, modulus, held_out))
     return scored.select("doc_id", (crc32_fold("doc_id", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

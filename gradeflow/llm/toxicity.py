@@ -1,19 +1,24 @@
-"""Toxicity: a support vector machine on a gap-weighted subsequence kernel, with Nystroem landmarks.
-
-A text is cut into sentences and these into words (lower case, without marks; single letters in a
-row are one word). A word meets a landmark if it has all of its letters but one; their kernel sums
-common subsequences of three bytes, each weighed down by its gaps, so that inserted letters and
-spelled-out words still score; a word of any length that has a whole insult, with a letter put in
-between any of its letters or not, is read without those letters too. The inverse root of the landmarks' own kernel maps a word's kernels to the
-features of a linear SVM. A sentence's decision is that of its worst word; a document's worst sentence,
-with the sum and density of its words' decisions, is calibrated to a probability.
+"""Toxicity: a support vector machine on sentences, by a gap-weighted subsequence kernel with Nystroem landmarks.
+
+A text is cut into sentences and these into windows: words (lower case, without marks), overlapping
+parts of long ones, and runs of short fragments read together, so that spelled-out and broken words
+are seen whole. The kernel of two sentences sums, over pairs of their windows, a power of the
+windows' normalised kernel of common subsequences of three bytes, each weighed down by its gaps, so
+that inserted letters still score. Landmarks are windows of labelled sentences of both classes; the
+inverse root of their own kernel maps a sentence to the features of a linear machine. It is trained
+on sentences: those of clean documents are clean, and of each toxic one the worst and others that the
+last round found toxic are toxic. As the map is linear, a window has one share in any sentence's decision, which
+workers remember. A document's worst sentence, and the sum and density of what its sentences exceed
+the margin by, are calibrated to a probability.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +28,25 @@ from pyspark.sql import functions as F
 from .common import crc32_fold, small_batches
 from .labelled import labelled_sample, sigmoid
 
-#: Length of the subsequences, weight of a step, bytes of a window of a long word, and its step.
-ORDER, DECAY, WINDOW, STRIDE = 3, 0.7, 12, 6
-#: Labelled documents of either class; landmarks for clean words; words that a worker remembers; toxic documents that a landmark needs.
-SAMPLE, CLEAN, MEMO, LEAST = 2500, 6, 300_000, 3
-#: Share of a landmark's expected clean documents that it may occur in, standard errors that it must stand out by (a hundred thousand starts are tried), share of new words in common that makes a copy.
-RARE, SURE, COPY = 0.25, 5.0, 0.4
+#: Length of the subsequences, weight of a step, power of the normalised kernel, least normalised kernel that counts, bytes of a part of a long word, and its step.
+ORDER, DECAY, POWER, FLOOR, WINDOW, STRIDE = 3, 0.7, 2, 0.35, 12, 6
+#: Labelled documents of either class; windows that a worker remembers; longest fragment that is read together with its neighbours.
+SAMPLE, MEMO, FRAGMENT = 2500, 300_000, 3
+#: Documents of its class and standard errors that a landmark needs; kernel from which a candidate adds nothing to a chosen one; most landmarks of a class; shortest start of words.
+LEAST, SURE, ALIKE, LANDMARKS, START = 3, 4.2, 0.9, 256, 5
+#: Rounds of choosing sentences anew, most of a toxic document, those of a clean one that a round adds, penalty of the weights.
+ROUNDS, WORST, HARD, PENALTY = 4, 6, 2, 1e-4
+#: How far below the margin a sentence counts, weight of a toxic document against a clean one in the calibration.
+SLACK, COST = 0.25, 2.0
 SEED = 5
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = b"\t\n\v\f\r "
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-STOP = np.zeros(256, bool)
-STOP[[10, 33, 46, 63]] = True
+#: Bytes that are dropped from words, the token that ends a sentence, and the sign before fragments read together.
+STOP, JOINED = b"\1", b"+"
+MARKS = bytes(b for b in range(128) if not LETTER[b] and b not in SPACE + STOP)
+SENTENCE = re.compile(rb"[.!?]+(?=\s|$)|\n")
 #: A bit for each kind of byte: letters their own, all others share the rest.
 BIT = np.array([1 << (b - 97) if 97 <= b < 123 else 1 << (26 + b % 6) if LETTER[b] else 0 for b in range(256)], np.uint32)
 
@@ -66,215 +76,331 @@ def windows(word: bytes) -> list[bytes]:
     return [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW + STRIDE, STRIDE)]
 
 
-def letters(word: bytes) -> np.uint32:
-    return np.bitwise_or.reduce(BIT[np.frombuffer(word, np.uint8)])
+def letters(words: list[bytes]) -> np.ndarray:
+    """The kinds of bytes of each word, as bits."""
+    length = np.array([len(w) for w in words], np.int64)
+    return np.bitwise_or.reduceat(BIT[np.frombuffer(b"".join(words), np.uint8)], np.cumsum(length) - length) if len(words) else np.empty(0, np.uint32)
 
 
-class Words:
-    """The words of a batch of texts: bytes, their places, letters, sentences and texts."""
+def tokens(text: str | None) -> list[bytes]:
+    """Words of a text, and ``STOP`` after each sentence."""
+    raw = (text or "").lower().encode(errors="replace").replace(STOP, b"")
+    return SENTENCE.sub(b" \1 ", raw).translate(None, MARKS).split()
 
-    def __init__(self, texts: list[str | None]):
-        raw = [(t or "").lower().encode() for t in texts]
-        data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-        ends = np.cumsum([len(r) + 1 for r in raw])
-        kept = LETTER[data] | SPACE[data]
-        self.data = data[kept]
-        sentence = np.cumsum(STOP[data], dtype=np.int64)[kept]
-        inside = ~SPACE[self.data]
-        edge = np.diff(np.r_[False, inside, False].astype(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        # words of one letter, three or more in a row of a sentence, are spelled out: the spaces between are dropped
-        single = end - start == 1
-        run = np.flatnonzero(np.diff(np.r_[False, single, False].astype(np.int8)))
-        spelled = [(a, b) for a, b in zip(run[::2], run[1::2], strict=True) if b - a >= 3]
-        self.spelled = [(b"".join(bytes([self.data[start[k]]]) for k in range(a, b)), sentence[start[a]]) for a, b in spelled]
-        self.start, self.end, self.sentence = start, end, sentence[start] if len(start) else np.empty(0, np.int64)
-        self.letters = np.bitwise_or.reduceat(BIT[self.data], start) if len(start) else np.empty(0, np.uint32)
-        # the sentence that is open where each text ends belongs to it: each text's last byte is a line end
-        self.last = np.cumsum(STOP[data], dtype=np.int64)[ends - 1] if len(raw) else np.empty(0, np.int64)
-        self.buffer = self.data.tobytes()
 
-    def text_of(self, sentence: np.ndarray) -> np.ndarray:
-        """A sentence's number is the count of stops before it, so that a text's sentences lie below its last stop."""
-        return np.searchsorted(self.last, sentence, "right")
-
-    def word(self, k: int) -> bytes:
-        return self.buffer[self.start[k] : self.end[k]]
+@cache
+def subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of a window of ``n`` bytes, a row each, and their weights."""
+    at = np.array(list(combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
 
 
 class Landmarks:
-    """Kernels of words to the landmarks, remembered for words that met any."""
-
-    def __init__(self, marks: list[bytes], insults: int):
-        self.marks, self.insults, self.table = marks, insults, padded(marks)
-        self.own = kernel(self.table, self.table)
-        self.letters = np.array([letters(m) for m in marks], np.uint32)
-        kinds = np.bitwise_count(self.letters).astype(np.int64)
-        self.need = np.minimum(kinds, np.maximum(3, kinds - 1))
-        self.shortest = np.array([min(len(m), max(4, len(m) - 1)) for m in marks])
-        edges = lambda m: ("", "") if len(m) > 3 else ("^", "$")
-        self.gapped = [".?".join(map(re.escape, m.decode(errors="ignore"))).join(edges(m)) for m in marks[:insults]]
-        self.memo: dict[bytes, np.ndarray] = {}
-
-    def met(self, mask: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Whether each word has enough letters of any insult."""
-        out = np.zeros(len(mask), bool)
-        for m, need, shortest in list(zip(self.letters, self.need, self.shortest, strict=True))[: self.insults]:
-            out |= (np.bitwise_count(mask & m) >= need) & (length >= shortest)
-        return out
+    """Kernels of windows to the landmarks, of which the first ``toxic`` are of toxic sentences.
+
+    The landmarks' subsequences are a sparse table, so that a window's kernels to all of them are sums
+    over the subsequences that it has in common with any.
+    """
 
-    def whole(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(word, insult) of the insults that long words or gapped forms hold as a whole."""
-        mask, found = np.array([letters(w) for w in words], np.uint32), []
-        for m, bits, pattern in zip(self.marks, self.letters, self.gapped, strict=False):
-            has = re.compile(pattern, re.DOTALL).search
-            found += [(words[k], m) for k in np.flatnonzero(mask & bits == bits) if len(words[k]) > len(m) and has(words[k].decode(errors="ignore"))]
+    def __init__(self, marks: list[bytes], toxic: int):
+        self.marks, self.toxic = marks, toxic
+        self.letters = letters(marks)
+        present = sorted({*b"".join(marks)})
+        self.base, self.code = len(present) + 1, np.zeros(256, np.int64)
+        self.code[present] = np.arange(1, self.base)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for j, m in enumerate(marks):
+            at, weight = subsequences(len(m[:WINDOW]))
+            key, place = np.unique(self.keys(np.frombuffer(m[:WINDOW], np.uint8)[None], at)[0], return_inverse=True)
+            held.append((key, np.full(len(key), j), np.bincount(place, weight, len(key))))
+        key, mark, value = (np.concatenate(x) for x in zip(*held, strict=True))
+        self.own = np.maximum(np.bincount(mark, value * value, len(marks)), 1e-12)
+        order = np.argsort(key, kind="stable")
+        distinct, first = np.unique(key[order], return_index=True)
+        self.row = np.zeros(self.base**ORDER, np.int32)
+        self.row[distinct] = np.arange(1, len(distinct) + 1)
+        self.first = np.r_[0, first, len(key)]
+        self.mark, self.value = mark[order].astype(np.int32), value[order].astype(np.float32)
+        # a landmark with at most one letter put in between any two of its own
+        self.gapped = [re.compile(".?".join(map(re.escape, m.decode(errors="ignore"))).join(("", "") if len(m) > 3 else ("^", "$")), re.DOTALL) for m in marks[:toxic]]
+
+    def keys(self, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the subsequences of windows of one length; 0 if a byte is in no landmark."""
+        codes = self.code[table]
+        key = np.zeros((len(table), len(at)), np.int64)
+        none = np.zeros(key.shape, bool)
+        for k in range(ORDER):
+            part = codes[:, at[:, k]]
+            key = key * self.base + part
+            none |= part == 0
+        key[none] = 0
+        return key
+
+    def gram(self) -> np.ndarray:
+        """The landmarks' own kernels."""
+        n, table = len(self.marks), padded(self.marks)
+        parts = [kernel(np.repeat(table[i : i + 1], n, 0), table) for i in range(n)]
+        return np.minimum(np.stack(parts) / np.sqrt(np.outer(self.own, self.own)), 1).astype(np.float64) ** POWER
+
+    def inside(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(word, landmark) of the toxic landmarks that longer words hold as a whole, letters put in or not."""
+        mask, found = letters(words), []
+        length = np.array([len(w) for w in words])
+        for m in range(self.toxic):
+            for k in np.flatnonzero((mask & self.letters[m] == self.letters[m]) & (length > len(self.marks[m]))):
+                if self.gapped[m].search(words[k].lstrip(JOINED).decode(errors="ignore")):
+                    found.append((int(k), m))
         return found
 
-    def learn(self, words: list[bytes]) -> None:
-        parts = [(w, p) for w in words for p in windows(w)] + self.whole(words)
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
-            table = padded([p for _, p in some])
-            mask = np.bitwise_or.reduce(BIT[table], 1)
-            length = np.array([len(p) for _, p in some])
-            i, j = np.nonzero((np.bitwise_count(mask[:, None] & self.letters) >= self.need) & (length[:, None] >= self.shortest))
-            values = np.zeros((len(some), len(self.marks)), np.float32)
-            if len(i):
-                need_own = np.unique(i)
-                own = np.ones(len(some), np.float32)
-                own[need_own] = np.maximum(kernel(table[need_own], table[need_own]), 1e-12)
-                values[i, j] = kernel(table[i], self.table[j]) / np.sqrt(own[i] * np.maximum(self.own[j], 1e-12))
-            for (w, _), v in zip(some, values, strict=True):
-                old = self.memo.get(w)
-                self.memo[w] = v if old is None else np.maximum(old, v)
-
-    def meeting(self, words: Words) -> list[tuple[bytes, int]]:
-        """(word, sentence) of the words that meet a landmark, and of all that are spelled out."""
-        at = np.flatnonzero(self.met(words.letters, words.end - words.start))
-        return [(words.word(k), s) for k, s in zip(at, words.sentence[at].tolist(), strict=True)] + words.spelled
-
-    def values(self, words: list[bytes]) -> np.ndarray:
-        """Kernels of ``words``, a row each."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.learn([w for w in set(words) if w not in self.memo])
-        return np.stack([self.memo[w] for w in words]) if words else np.empty((0, len(self.marks)), np.float32)
-
-
-def starts(words) -> set[bytes]:
-    """Starts of 4 to 10 bytes of some words, and whole words of 3."""
-    return {w[:k] for w in words if len(w) >= 3 for k in range(min(4, len(w)), min(10, len(w)) + 1)}
-
-
-def bears(word: bytes, insults: list[bytes]) -> bool:
-    """Whether a word starts with an insult; it must equal one of under 4 bytes."""
-    return word.startswith(tuple(m for m in insults if len(m) > 3)) or word in insults
-
-
-def mine(toxic: list[set[bytes]], clean: list[set[bytes]]) -> list[bytes]:
-    """Word starts that are far more frequent, by documents, in toxic texts than in clean ones: largest excess first, each with all that share its first bytes.
-
-    Of near copies among the toxic texts, by words that no clean one has, only the first counts.
-    """
-    known = set().union(*clean)
-    docs: dict[bytes, int] = Counter()
-    of_word: dict[bytes, list[int]] = defaultdict(list)
-    kept = 0
-    for doc in toxic:
-        new = [w for w in doc if w not in known]
-        shared = Counter(i for w in new for i in of_word.get(w, ()))
-        if shared and max(shared.values()) > COPY * len(new):
-            continue
+    def compare(self, words: list[bytes]) -> np.ndarray:
+        """Kernels of words, a row each: of each word's best part; those below ``FLOOR`` count as 0."""
+        parts = [(p, k) for k, w in enumerate(words) if not w.startswith(JOINED) for p in windows(w)]
+        parts += [(self.marks[m][:WINDOW], k) for k, m in self.inside(words)]
+        out, many = np.zeros((len(words), len(self.marks)), np.float32), len(self.marks)
+        by_length: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
+        for p, k in parts:
+            by_length[len(p)].append((p, k))
+        for n, rows in by_length.items():
+            at, weight = subsequences(n)
+            least = float((weight * weight).sum())
+            for start in range(0, len(rows) if n >= ORDER else 0, 2000):
+                some = rows[start : start + 2000]
+                table = np.frombuffer(b"".join(p for p, _ in some), np.uint8).reshape(-1, n)
+                row = self.row[self.keys(table, at)]
+                i, c = np.nonzero(row)
+                r = row[i, c]
+                each = self.first[r + 1] - self.first[r]
+                entry = spans(self.first[r], each)
+                common = np.bincount(np.repeat(i, each) * many + self.mark[entry], np.repeat(weight[c], each) * self.value[entry], len(some) * many).reshape(-1, many)
+                # a window's own kernel is at least that of one without repeated subsequences
+                met = np.flatnonzero((common >= FLOOR * np.sqrt(least * self.own)).any(1))
+                if len(met):
+                    padding = padded([some[k][0] for k in met])
+                    value = common[met] / np.sqrt(np.maximum(kernel(padding, padding), 1e-12)[:, None] * self.own)
+                    of = np.array([some[k][1] for k in met])
+                    order = np.argsort(of, kind="stable")
+                    of, first = np.unique(of[order], return_index=True)
+                    out[of] = np.maximum(out[of], np.maximum.reduceat(np.where(value >= FLOOR, value, 0)[order], first, axis=0) ** POWER)
+        return out
+
+
+class Lexicon:
+    """Numbers of the words that a worker has met, 0 for ``STOP``, with their lengths and letters; ``values`` gives new words' values; ``most`` words are kept, or all for 0."""
+
+    def __init__(self, values, most: int = MEMO):
+        self.values, self.most = values, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.length, self.mask, self.value = {STOP: 0}, np.zeros(1, np.int32), np.zeros(1, np.uint32), np.zeros(1, np.float32)
+
+    def learn(self, words) -> None:
+        new = sorted(w for w in words if w not in self.ids)
         for w in new:
-            of_word[w].append(kept)
-        docs.update(starts(doc))
-        kept += 1
-    docs = {p: n for p, n in docs.items() if n >= LEAST}
-    seen: Counter = Counter()
-    for doc in clean:
-        seen.update(p for p in starts(doc) if p in docs)
-    ratio = kept / max(len(clean), 1)
-    usual = {p: (seen[p] + 1) * ratio for p in docs}
-    good = {p: n - usual[p] for p, n in docs.items() if seen[p] * ratio <= RARE * n and n - usual[p] >= SURE * np.sqrt(usual[p] + 0.5)}
-    marks: list[bytes] = []
-    while good:
-        best = max(good, key=lambda p: (good[p], len(p), p))
-        best = max((p for p in good if p.startswith(best) and good[p] >= 0.9 * good[best]), key=lambda p: (len(p), p))
-        marks.append(best)
-        # its extensions go, and its starts unless they stand out by documents beyond its own
-        rest = {p: good[p] - docs[best] for p in good if best.startswith(p)}
-        good |= {p: n for p, n in rest.items() if n >= SURE * np.sqrt(usual[p] + 0.5)}
-        good = {p: n for p, n in good.items() if not p.startswith(best) and (p not in rest or rest[p] >= SURE * np.sqrt(usual[p] + 0.5))}
-    return marks
+            self.ids[w] = len(self.ids)
+        if new:
+            self.length = np.concatenate([self.length, np.array([len(w) for w in new], np.int32)])
+            self.mask = np.concatenate([self.mask, letters(new)])
+            self.value = np.concatenate([self.value, self.values(new)])
+
+    def read(self, texts: list[str | None], marks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, sentence) of every window of some texts, each sentence's text, and the words of each text."""
+        if self.most and len(self.ids) > self.most:
+            self.clear()
+        held = [tokens(t) for t in texts]
+        self.learn(set().union(*held))
+        word = np.fromiter((self.ids[w] for t in held for w in [*t, STOP]), np.int32)
+        many = np.array([len(t) + 1 for t in held], np.int64)
+        sentence = np.cumsum(word == 0) - (word == 0)
+        of_text = np.repeat(np.arange(len(texts)), many)
+        text = np.zeros(int(sentence[-1]) + 1 if len(sentence) else 0, np.int64)
+        text[sentence] = of_text
+        joined, at = self.fragments(word, held, marks)
+        kept = word > 0
+        count = np.bincount(of_text[kept], minlength=len(texts))
+        return np.concatenate([word[kept], joined]), np.concatenate([sentence[kept], sentence[at]]), text, count
+
+    def fragments(self, word: np.ndarray, held: list[list[bytes]], marks: Landmarks) -> tuple[np.ndarray, np.ndarray]:
+        """(word, place) of runs of words of at most ``FRAGMENT`` bytes that have all letters of a toxic landmark, read together."""
+        none = np.empty(0, np.int32), np.empty(0, np.int64)
+        short = (self.length[word] <= FRAGMENT) & (word > 0)
+        edge = np.flatnonzero(np.diff(np.r_[False, short, False].astype(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        some = end - start > 1
+        start, end = start[some], end[some]
+        if not len(start):
+            return none
+        mask = np.bitwise_or.reduceat(np.r_[self.mask[word], np.uint32(0)], np.stack([start, end], 1).ravel())[::2]
+        fits = np.zeros(len(start), bool)
+        for m in range(marks.toxic):
+            if len(marks.marks[m]) > FRAGMENT:
+                fits |= mask & marks.letters[m] == marks.letters[m]
+        start, end = start[fits], end[fits]
+        flat = [w for t in held for w in [*t, STOP]] if len(start) else []
+        runs = [JOINED + b"".join(flat[a:b]) for a, b in zip(start, end, strict=True)]
+        self.learn(set(runs))
+        return np.fromiter((self.ids[r] for r in runs), np.int32, len(runs)), start
+
+
+def starts(words: Iterable[bytes]) -> set[bytes]:
+    """The words of at least 3 bytes, and their starts of at least ``START``."""
+    return {w[:k] for w in words if len(w) > 2 for k in range(min(START, len(w)), len(w) + 1) if k == len(w) or w[k] & 0xC0 != 0x80}
+
+
+def choose(toxic_sets: Iterable[set[bytes]], clean_sets: Iterable[set[bytes]]) -> tuple[list[bytes], list[bytes]]:
+    """Landmarks among the windows of documents of either class: those that stand out in the toxic ones, and of the clean ones the most frequent and the nearest to those.
+
+    A word, or a start of words, stands out if the share of toxic documents that have it exceeds that of clean ones by
+    ``SURE`` standard errors; they are taken by that excess, leaving out any whose kernel with a chosen one is ``ALIKE``.
+    """
+    seen, usual, words_of = Counter(), Counter(), Counter()
+    n0 = n1 = 1e-9
+    for words in toxic_sets:
+        seen.update({w[: 2 * WINDOW] for w in starts(words)})
+        n1 += 1
+    seen = Counter({w: a for w, a in seen.items() if a >= LEAST})
+    for words in clean_sets:
+        usual.update(w for w in starts(words) if w in seen)
+        words_of.update(words)
+        n0 += 1
+
+    def excess(w: bytes) -> float:
+        a, b = seen[w], usual[w]
+        p = (a + b + 1) / (n0 + n1 + 2)
+        return (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+
+    # a start that only goes on in one way says no more than what it goes on to
+    inner = {w[:-k] for w in seen for k in (1, 2) if seen.get(w[:-k]) == seen[w]}
+    rank = {w: excess(w) for w in seen if w not in inner}
+    order = sorted((w for w, z in rank.items() if z >= SURE), key=lambda w: (-rank[w], -len(w), w))
+    toxic = unlike(order, LANDMARKS)
+    if not toxic:
+        return [b"insult"], []
+    clean = sorted((w for w in words_of if 4 <= len(w) <= WINDOW and rank.get(w, 0) < 1), key=lambda w: (-words_of[w], w))[:20_000]
+    near = Landmarks(toxic, 0).compare(clean).max(1) if clean else np.empty(0)
+    close = [clean[k] for k in np.argsort(-near, kind="stable")[: len(toxic)]]
+    return toxic, unlike([w for pair in zip(close, clean, strict=False) for w in pair], min(LANDMARKS, len(toxic)))
+
+
+def unlike(words: list[bytes], most: int) -> list[bytes]:
+    """The first of ``words`` that aren't alike, up to ``most``."""
+    kept: list[bytes] = []
+    table = np.empty((0, WINDOW), np.uint8)
+    own = np.empty(0, np.float32)
+    for w in dict.fromkeys(words):
+        if len(kept) == most:
+            break
+        row = padded([w])
+        k = np.maximum(kernel(row, row), 1e-12)
+        if not kept or (kernel(np.repeat(row, len(kept), 0), table) / np.sqrt(k * own)).max() < ALIKE:
+            kept.append(w)
+            table, own = np.concatenate([table, row]), np.concatenate([own, k])
+    return kept
+
+
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of some ranges, one after another."""
+    return np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
+
+
+def svm(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of least squared hinge loss, by Newton steps over the rows within the margin; classes weigh alike. t is 1 or -1."""
+    z = np.c_[x, np.ones(len(x), x.dtype)]
+    w = np.r_[np.zeros(x.shape[1]), -1.0]
+    if len({*t}) < 2:
+        return w[:-1], float(w[-1])
+    c = np.where(t > 0, 0.5 / (t > 0).sum(), 0.5 / (t < 0).sum()).astype(x.dtype)
+    active = np.ones(len(t), bool)
+    for _ in range(30):
+        a = z[active] * c[active, None]
+        w = np.linalg.solve((a.T @ z[active]).astype(np.float64) + PENALTY * np.diag(np.r_[np.ones(x.shape[1]), 1e-6]), a.T @ t[active])
+        now = t * (z @ w) < 1
+        if (now == active).all():
+            break
+        active = now
+    return w[:-1], float(w[-1])
 
 
 class Model:
-    """Landmarks, the Nystroem map, the SVM's weights and the calibration."""
+    """Landmarks, each one's weight in a sentence's decision, the bias and the calibration."""
 
     def __init__(self, texts: list[str], y: np.ndarray):
         random = np.random.default_rng(SEED)
+        y = np.asarray(y)
         back = random.random(len(y)) < 0.25
         if len({*y[back]}) < 2 or len({*y[~back]}) < 2:
             back[:] = False
-        held = [self.count(t) for t in texts]
-        toxic = [c.keys() for c, t, b in zip(held, y, back, strict=True) if t and not b]
-        fine = [c.keys() for c, t, b in zip(held, y, back, strict=True) if not t and not b]
-        insults = mine(toxic, fine) or [b"insult"]
-        clean = Counter(w for words in fine for w in words if not bears(w, insults))
-        # clean words nearest to the insults are landmarks of their own
-        first = Landmarks(insults, len(insults))
-        some = [w for w, _ in clean.most_common(50_000) if 4 <= len(w) <= WINDOW]
-        first.learn(some)
-        near = sorted(some, key=lambda w: (-first.memo[w].max(), w))[:CLEAN]
-        self.landmarks = Landmarks(insults + near, len(insults))
-        self.insults = len(insults)
-        marks = self.landmarks
-        k = kernel(np.repeat(marks.table, len(marks.marks), 0), np.tile(marks.table, (len(marks.marks), 1))).reshape(len(marks.marks), -1)
-        k = k / np.sqrt(np.outer(marks.own, marks.own))
-        values, vectors = np.linalg.eigh(k.astype(np.float64))
-        self.map = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-
-        # words of clean sentences, and of toxic documents' sentences those that start with an insult; an insult
-        # that clean texts have by chance is left to the calibration, which knows how many there are
-        met = [{w for w, _ in marks.meeting(Words([t]))} for t in texts]
-        bad = {w for words, t, b in zip(met, y, back, strict=True) if t and not b for w in words if bears(w, insults)}
-        good = {w for words, t, b in zip(met, y, back, strict=True) if not t and not b for w in words if not bears(w, insults)}
-        rows = sorted(bad) + sorted(good)
-        self.fit(marks.values(rows).astype(np.float64) @ self.map, np.array([1] * len(bad) + [-1] * len(good)))
-        rows = back if back.any() else np.ones(len(y), bool)
-        self.curve = logistic(self.features([t for t, r in zip(texts, rows, strict=True) if r]), y[rows])
-
-    @staticmethod
-    def count(text: str) -> Counter:
-        w = Words([text])
-        return Counter(w.word(k) for k in range(len(w.start)))
-
-    def fit(self, x: np.ndarray, t: np.ndarray) -> None:
-        """Squared hinge loss by gradient steps with momentum, classes weighed alike."""
-        self.w, self.bias = np.zeros(len(self.map)), -1.0
-        if len({*t}) < 2:
-            return
-        c = np.where(t > 0, 0.5 / (t > 0).sum(), 0.5 / (t < 0).sum())
-        step, vw, vb = 0.05, np.zeros_like(self.w), 0.0
-        for _ in range(600):
-            slack = np.maximum(0, 1 - t * (x @ self.w + self.bias)) * t * c
-            vw = 0.9 * vw + 2 * (slack @ x) - 2e-4 * self.w
-            vb = 0.9 * vb + 2 * slack.sum()
-            self.w, self.bias = self.w + step * vw, self.bias + step * vb
+        fit = np.flatnonzero(~back)
+        words = lambda label: ({*tokens(texts[k])} - {STOP} for k in fit if y[k] == label)
+        toxic, clean = choose(words(1), words(0))
+        self.landmarks = Landmarks(toxic + clean, len(toxic))
+        values, vectors = np.linalg.eigh(self.landmarks.gram())
+        self.map = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+        self.train([texts[k] for k in fit], y[fit])
+        rows = np.flatnonzero(back) if back.any() else fit
+        self.lexicon = Lexicon(self.share)
+        self.curve = logistic(self.features([texts[k] for k in rows]), y[rows])
+        self.lexicon = None
+
+    def train(self, texts: list[str], y: np.ndarray) -> None:
+        """Multiple-instance rounds: of each toxic document the sentences found toxic, the worst at least, against the worst of the clean ones so far."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        lexicon = Lexicon(lambda new: self.sparse(new, len(lexicon.value), held), 0)
+        word, sentence, text, n = [], [], [], 0
+        for k in range(0, len(texts), 250):
+            w, s, t, _ = lexicon.read(texts[k : k + 250], self.landmarks)
+            word, sentence, text, n = [*word, w], [*sentence, (s + n).astype(np.int32)], [*text, t + k], n + len(t)
+        words = len(lexicon.value)
+        del lexicon
+        word, sentence, text = map(np.concatenate, (word, sentence, text))
+        row, mark, value = map(np.concatenate, zip(*held, strict=True))
+        first = np.searchsorted(row, np.arange(words + 1))
+        # only windows with any kernel count
+        some = (first[word + 1] > first[word]).nonzero()[0]
+        some = some[np.argsort(sentence[some], kind="stable")]
+        word, sentence = word[some], sentence[some]
+        self.weight, self.bias = np.zeros(len(self.map)), -0.75
+        self.weight[: self.landmarks.toxic] = 1
+        chosen = np.zeros(n, bool)
+        for _ in range(ROUNDS):
+            decision = np.bincount(sentence, np.bincount(row, value * self.weight[mark], words)[word], n)
+            ranked = np.lexsort((-decision, text))
+            place = np.arange(n) - np.searchsorted(text[ranked], text[ranked])
+            bad = ranked[(y[text[ranked]] == 1) & ((place == 0) | (place < WORST) & (decision[ranked] + self.bias > 0))]
+            chosen[ranked[(place < HARD) & (y[text[ranked]] == 0)]] = True
+            rows = np.concatenate([bad, np.flatnonzero(chosen)])
+            at = np.searchsorted(sentence, rows)
+            windows_of = np.searchsorted(sentence, rows, "right") - at
+            w = word[spans(at, windows_of)]
+            each = first[w + 1] - first[w]
+            cell = np.repeat(np.repeat(np.arange(len(rows)), windows_of), each) * len(self.map) + mark[(entry := spans(first[w], each))]
+            x = np.bincount(cell, value[entry], len(rows) * len(self.map)).astype(np.float32).reshape(len(rows), -1) @ self.map.astype(np.float32)
+            weight, self.bias = svm(x, np.r_[np.ones(len(bad), np.float32), -np.ones(len(rows) - len(bad), np.float32)])
+            self.weight = self.map @ weight
+
+    def sparse(self, words: list[bytes], start: int, held: list) -> np.ndarray:
+        """Keeps (word, landmark, kernel) of new words, numbered from ``start``, in ``held``; their values are of no use yet."""
+        for k in range(0, len(words), 5000):
+            table = self.landmarks.compare(words[k : k + 5000])
+            i, j = np.nonzero(table)
+            held.append(((i + start + k).astype(np.int32), j.astype(np.int32), table[i, j]))
+        return np.zeros(len(words), np.float32)
+
+    def share(self, words: list[bytes]) -> np.ndarray:
+        """What each word adds to the decision of a sentence."""
+        parts = [self.landmarks.compare(words[k : k + 5000]) @ self.weight for k in range(0, len(words), 5000)]
+        return np.concatenate(parts).astype(np.float32)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text: the largest decision of its sentences, which is that of their words; the sum of its words' decisions, from 0 to 1 each, and how dense that is."""
+        """Of each text: its worst sentence's decision, the sum of the sentences' excess, from 0 to 2 each, and how dense that is."""
+        if self.lexicon is None:
+            self.lexicon = Lexicon(self.share)
+        word, sentence, text, many = self.lexicon.read(texts, self.landmarks)
+        decision = np.bincount(sentence, self.lexicon.value[word], len(text)) + self.bias
         worst, above = np.full(len(texts), self.bias), np.zeros(len(texts))
-        words = Words(texts)
-        met = self.landmarks.meeting(words)
-        if met:
-            value = self.landmarks.values([w for w, _ in met]) @ (self.map @ self.w) + self.bias
-            text = words.text_of(np.array([s for _, s in met], np.int64))
-            np.maximum.at(worst, text, value)
-            np.add.at(above, text, np.clip(value, 0, 1))
-        n = np.bincount(words.text_of(words.sentence), minlength=len(texts))
-        return np.stack([np.clip(worst, -1.5, 1.5), np.log1p(above), np.minimum(100 * above / (n + 20), 4), np.ones(len(texts))], 1)
+        np.maximum.at(worst, text, decision)
+        np.add.at(above, text, np.clip(decision + SLACK, 0, 3))
+        return np.stack([np.clip(worst, -1.5, 2.5), np.log1p(above), np.minimum(100 * above / (many + 20), 4), np.ones(len(texts))], 1)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         return sigmoid(self.features(texts) @ self.curve)
@@ -283,25 +409,24 @@ class Model:
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic curve over features, by Newton steps, with Platt's smoothed targets."""
     n1, n0 = (y > 0).sum(), (y == 0).sum()
-    t, w = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), np.zeros(x.shape[1])
+    t, w, cost = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), np.zeros(x.shape[1]), np.where(y > 0, COST, 1.0)
     for _ in range(60):
         p = sigmoid(x @ w)
-        slope = x.T @ (p - t) + 1e-2 * w
-        w = w - np.clip(np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 1e-2 * np.eye(len(w)), slope), -2, 2)
+        slope = x.T @ (cost * (p - t)) + 1e-2 * w
+        w = w - np.clip(np.linalg.solve((x * (cost * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-2 * np.eye(len(w)), slope), -2, 2)
     return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> Model | None:
     """The model of a bounded labelled sample; none if a class has no rows."""
     rows = labelled_sample(docs, labels, "toxic", modulus, held_out, SAMPLE)
-    return Model(rows.text.tolist(), rows.label.to_numpy()) if rows.label.nunique() == 2 else None
+    y = rows.column("label").to_numpy()
+    return Model(rows.column("text").to_pylist(), y) if len({*y.tolist()}) == 2 else None
 
 
 def scores(docs: DataFrame, model: Model | None, schema, make) -> DataFrame:
     """``make(batch, scores)`` of every batch of ``docs``; null text as empty. 0 without a model."""
     small_batches(docs.sparkSession)
-    if model:
-        model.landmarks.memo.clear()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +446,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all columns, that score below ``threshold``."""
+    """The rows of ``docs``, with all columns, that score below ``threshold``.
+
+    Null and empty texts are clean, repeated rows stay or go together, other columns are kept as they
+    are; an empty table stays empty. Without a model nothing goes.
+    """
     return scores(docs, model, docs.schema, lambda b, p: b.filter(pa.array(p < threshold)))
 
 
@@ -329,8 +458,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text; others are ignored).
 
     Labels (doc_id, toxic) are learnt only from ids of which crc32 mod ``modulus`` is not
-    ``held_out``. Null and empty texts score as a text without any match; repeated rows score alike;
-    a null doc_id counts as an empty one for the fold. Without labels of both classes all score 0.
+    ``held_out``. Null and empty texts score as a text without any match; very long ones are read
+    whole, and words of any length in parts; repeated rows score alike; a null doc_id counts as an
+    empty one for the fold; an empty table gives no rows. Without labels of both classes all score 0.
     """
     scored = score(docs, fit(docs, labels, modulus, held_out))
     return scored.select("doc_id", (crc32_fold("doc_id", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

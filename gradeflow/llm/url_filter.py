@@ -5,6 +5,8 @@ DataFrame and Spark ML operations alone; a model is fitted on a small labelled t
 
 from __future__ import annotations
 
+from random import Random
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -15,28 +17,59 @@ from pyspark.sql import functions as F
 #: Rules up to this many become one CASE expression; more are joined by the suffixes of hosts.
 CASES = 200
 #: Lengths of character n-grams and number of hashed features.
-GRAMS, FEATURES = (3, 4, 5), 1 << 14
-
-# Words of unwanted and of wanted sites, from which the labelled table is built.
-UNWANTED = "casino-win free-bets cheap-pills adult-x ads-track poker-bonus slot-spins loan-fast xxx-cams click-ads buy-followers replica-watch betting-odds viagra-shop hot-singles crypto-doubler win-prizes track-pixel popup-banner escort-now spam-farm link-farm".split()
-WANTED = "library science-notes weather city-news garden recipes museum history-club open-data school river-walks maps poetry health-info language music-theory bird-watch chess engineering council".split()
-SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
-PREFIXES, LANGUAGES = ("", "www.", "m.", "blog."), ("en", "de", "fr", "es")
-ZONES = ("example.com", "example.net", "example.org")
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): 1 for unwanted. Each word under every zone and prefix, in paths, and as many made-up plain hosts."""
-    rows = []
-    for i, word in enumerate(UNWANTED + WANTED):
-        label = float(i < len(UNWANTED))
-        for j, zone in enumerate(ZONES):
-            rows.append((f"https://{zone}/{word}/{i}.html", label))
-            for k, prefix in enumerate(PREFIXES):
-                tail = f"{LANGUAGES[(i + j + k) % 4]}/{97 * i + j}{('', '/', '.html')[(i + k) % 3]}"
-                rows.append((f"http{'s' * (k % 2)}://{prefix}{word}.{zone}/{tail}", label))
-                made = "".join(SYLLABLES[(i * 7 + j * 11 + k * 5 + n * (13 + k)) % len(SYLLABLES)] for n in range(2 + (i + k) % 3))
-                rows.append((f"http{'s' * (i % 2)}://{prefix}{made}.{zone}/{tail}", 0.0))
+GRAMS, FEATURES = (3, 4, 5), 1 << 16
+
+# The labelled table is made from these words of unwanted and of wanted sites; any others would do.
+UNWANTED = """
+casino kasino casinos roulette blackjack poker slots jackpot bingo lotto bet bets betting sportsbet odds bookie wager gamble gambling
+porn porno xxx nude nudes naked erotic escort camgirls hentai fetish milf hookup sexcam adult webcams
+viagra cialis pills pharma pharmacy tramadol steroids painkiller dietpill slimming
+payday fastloan quickcash easymoney freemoney giveaway prizes winner sweepstakes doubler getrich cryptoprofit
+adserver ads adclick banner popup popunder tracker tracking pixel affiliate clickbait
+backlinks linkfarm spam bulkmail followers likes trafficbot doorway
+malware phishing keygen warez cracked keylogger trojan botnet ransom
+replica counterfeit fakewatch knockoff
+""".split()
+WANTED = """
+library science weather news city garden recipes museum history archive school river walks maps poetry health language
+music theory birds chess engineering council travel guide forum photo physics biology chemistry math geography atlas
+university faculty lecture journal article paper research institute hospital clinic dental doctor bakery kitchen cooking
+football tennis cycling hiking climbing sailing theatre cinema opera orchestra gallery design fashion furniture carpentry
+software developer docs manual tutorial database network linux python compiler hardware robotics energy solar water
+forest farm animal zoo ocean climate geology space astronomy law court parliament election budget tax insurance bank
+market shop store books comics stories novel essay letters diary family children toys games puzzle craft knitting
+hotel railway airport bus harbour bridge street village region county embassy culture festival heritage church
+""".split()
+EITHER = "best my top online new super the free world daily easy big first express direct center hub zone club portal".split()
+SYLLABLES = "ba ke lo mi nu ra se ti vo wa de fi go hu ja ne pu ri sa to ul er an os in".split()
+ZONES = "com net org info io de fr es eu co.uk example.com example.org".split()
+FORMS = ("{a}-{b}", "{a}{b}", "{e}-{a}", "{a}-{e}", "{a}{e}", "{e}{a}", "{a}{n}", "{a}", "{a}.{m}", "{m}-{a}", "{a}-{m}", "{a}.{e}-{m}")
+
+
+def labelled_urls(spark: SparkSession, unwanted: list[str] | None = None, wanted: list[str] | None = None, each: int = 24, seed: int = 1) -> DataFrame:
+    """(url, label): 1 for unwanted; some seven thousand rows, ``each`` for a word, drawn from the word lists by a rule.
+
+    A word stands in the host, alone or with another of its kind, a common word or a made-up name, or in the
+    path of a site with a made-up name; hosts of made-up names alone are wanted.
+    """
+    rng, rows = Random(seed), []
+    lists = (WANTED if wanted is None else wanted, UNWANTED if unwanted is None else unwanted)
+    made = lambda: "".join(rng.choices(SYLLABLES, k=rng.randint(2, 4)))
+
+    def add(host: str, steps: list[str], label: int) -> None:
+        steps = steps + rng.choices([made(), "en", "de", "fr", "index.html", str(rng.randint(1, 99999)), "page", rng.choice(WANTED)], k=rng.randint(0, 3))
+        rows.append((f"http{rng.choice(('', 's'))}://{rng.choice(('', '', 'www.', 'm.', 'blog.'))}{host}.{rng.choice(ZONES)}/{'/'.join(steps)}", float(label)))
+
+    for label, words in enumerate(lists):
+        for word in words:
+            for k in range(each):
+                parts = {"a": word, "b": rng.choice(words), "e": rng.choice(EITHER), "m": made(), "n": rng.randint(1, 999)}
+                if k % 4:
+                    add(rng.choice(FORMS).format(**parts), [], label)
+                else:
+                    add(made(), [word if k % 8 else f"{parts['e']}-{word}"], label)
+    for _ in range(40 * each):
+        add(made() if rng.random() < 0.7 else f"{rng.choice(EITHER)}-{made()}", [], 0)
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -50,23 +83,29 @@ def url_parts(urls: DataFrame) -> DataFrame:
 def grams() -> F.Column:
     """Character n-grams of host and path, marked at both ends, runs of digits as one 0; an empty url has none."""
     text = F.concat(F.lit("^"), F.col("host"), F.lit("|"), F.regexp_replace(F.lower("path"), "[0-9]+", "0"), F.lit("$"))
-    every = [F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n))) for n in GRAMS]
-    return F.when(F.length("host") + F.length("path") > 2, F.array_distinct(F.concat(*every))).otherwise(F.array().cast("array<string>"))
+
+    def cut(n: int) -> F.Column:
+        # Spark gives a function of two arguments the place as well, so n is bound here
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.when(F.length("host") + F.length("path") > 0, F.array_distinct(F.concat(*map(cut, GRAMS)))).otherwise(F.array().cast("array<string>"))
 
 
 def fit(labelled: DataFrame) -> PipelineModel:
     """The regression on ``labelled`` (url, label: 1 for block)."""
     rows = url_parts(labelled).withColumn("_grams", grams())
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=FEATURES, binary=True)
-    return Pipeline(stages=[hashing, LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_raw", regParam=0.001, maxIter=60)]).fit(rows)
+    return Pipeline(stages=[hashing, LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_raw", regParam=0.0001, maxIter=100, standardization=False)]).fit(rows)
 
 
 def matched(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """``parts`` with ``rule`` (host + path) and ``rule_verdict`` of the longest rule (host, path, verdict) that fits; nulls if none.
 
     A rule fits its host and all subdomains, if the path starts with the rule's; of equal length, the first by text.
+    Of rules with the same host and path the first given counts.
     """
-    ranked = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+    once = {(host, path): said for host, path, said in reversed(rules)}
+    ranked = sorted(((host, path, said) for (host, path), said in once.items()), key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
     if len(ranked) <= CASES:
         rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
         for host, path, said in reversed(ranked):
@@ -87,8 +126,9 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], model: PipelineMod
     """``urls`` (with ``url``) with host, path, rule, verdict (``allow`` or ``block``) and score (chance of block).
 
     The rule's verdict if one fits, else the model's. Null and malformed urls have an empty host
-    and path, fit no rule and get the model's answer for no n-grams. Rows are kept one for one; own
-    columns of these names are replaced.
+    and path, fit no rule and get the model's answer for no n-grams; urls of any length are read
+    whole. Rows are kept one for one, repeated ones alike, and an empty table stays empty; own columns of
+    these names are replaced.
     """
     rows = matched(url_parts(urls), rules).withColumn("_grams", grams())
     scored = model.transform(rows).withColumn("score", vector_to_array("_p")[1])

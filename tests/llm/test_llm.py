@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -171,6 +172,48 @@ def test_url_model_on_hosts_it_has_not_seen(spark):
     assert all((r["verdict"] == "block") == bool(r["y"]) for r in rows)
 
 
+def recall_and_false_blocks(spark, model, unwanted, wanted):
+    rows = url_filter.judge(url_filter.labelled_urls(spark, unwanted, wanted, 6, seed=99), [], model).toPandas()
+    bad, blocked = rows.label == 1, rows.verdict == "block"
+    return blocked[bad].mean(), blocked[~bad].mean()
+
+
+def test_url_model_on_new_urls_and_withheld_words(spark):
+    lists = url_filter.UNWANTED, url_filter.WANTED
+    recall, false = recall_and_false_blocks(spark, url_filter.fit(url_filter.labelled_urls(spark)), *lists)
+    print("new urls of known words: recall", recall, "false blocks", false)
+    assert recall >= 0.95 and false <= 0.03
+    known = [[w for i, w in enumerate(words) if i % 4] for words in lists]
+    recall, false = recall_and_false_blocks(spark, url_filter.fit(url_filter.labelled_urls(spark, *known)), *([w for w in words if w not in k] for words, k in zip(lists, known, strict=True)))
+    print("withheld words: recall", recall, "false blocks", false)
+    assert recall >= 0.1 and false <= 0.1  # n-grams say little about words that no training url has
+
+
+def test_url_score_is_a_plain_logistic_regression(spark):
+    model = url_filter.fit(url_filter.labelled_urls(spark, each=3))
+    hashing, regression = model.stages
+    urls = [*URLS, "http://é.example.com/%20/" + "x1" * 3000]
+    rows = {r["url"]: r for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), [], model).collect()}
+    for u in urls:
+        host, path, *_ = plain_rule(u)
+        text = f"^{host}|{re.sub('[0-9]+', '0', path.lower())}$"
+        grams = {text[i : i + n] for n in url_filter.GRAMS for i in range(len(text) - n + 1)} if host + path else set()
+        at = {hashing.indexOf(g) for g in grams}
+        logit = sum(float(regression.coefficients[i]) for i in at) + regression.intercept
+        assert abs(rows[u]["score"] - 1 / (1 + np.exp(-logit))) < 1e-9
+
+
+def test_url_rules_given_twice_and_awkward_rows(spark, monkeypatch):
+    model = url_filter.fit(url_filter.labelled_urls(spark, each=2))
+    rows = spark.createDataFrame([("http://a.net/x", "own"), ("http://a.net/x", "own"), (None, None)], "url string, score string")
+    for cases in (200, 0):
+        monkeypatch.setattr(url_filter, "CASES", cases)
+        for first, second in (("block", "allow"), ("allow", "block")):
+            found = url_filter.judge(rows, [("net", "/", first), ("net", "/", second)], model).collect()
+            assert [r["verdict"] for r in found if r["url"]] == [first, first] and len(found) == 3
+        assert url_filter.judge(rows.limit(0), RULES, model).count() == 0
+
+
 def brute_components(rows, percent=75):
     def words(t):
         return (t or "").encode().lower().split()

@@ -1,35 +1,36 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Every component is quantised to a cell of its dimension's range; the approximation table holds one
-byte a component. A block of queries scans the cells for upper bounds of the scores, then reads
-exact vectors in the order of the bounds until no bound reaches the k-th score. Each task keeps k
-rows a query; a window over those few takes the best of all tasks.
+Every component is quantised to a cell of its dimension's range; the approximation file is a table of
+its own with one byte a component. Blocks of queries scan it for bounds of the scores: the cells give
+an upper bound, and a lower one that is below it by the same slack for all vectors of a query. A
+vector whose upper bound is below the k-th lower bound is out; for the others alone, in the order of
+their bounds, exact vectors are fetched by row, and the k best scores are certain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, scratch_path, small, small_batches
 
-#: Cells of a dimension, queries sent to tasks at once, exact vectors read at a time, largest component kept.
-CELLS, QUERIES, STEP, LARGEST = 256, 4096, 16, 1 << 26
+#: Cells of a dimension, queries sent to tasks at once, bounds that a task holds at a time, candidates it holds before it drops those that are out.
+CELLS, QUERIES, BOUNDS, PENDING = 256, 8192, 4_000_000, 2_000_000
 
 
 def scaled(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
     """(vec_id, ints) with floor(scale * x) of each component; vectors that are null, empty or hold null or non-finite components are left out.
 
-    Integers beyond 2^26 in size are cut to that, so that sums of products stay exact.
+    Integers that no long holds stop at the largest one.
     """
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    whole = F.transform(x, lambda v: F.floor(F.greatest(F.least(v.cast("double") * scale, F.lit(float(LARGEST))), F.lit(float(-LARGEST)))))
+    whole = F.transform(x, lambda v: F.floor(v.cast("double") * scale))
     return vectors.filter(x.isNotNull() & (F.size(x) > 0) & F.col("vec_id").isNotNull()).filter(~F.coalesce(bad, F.lit(True))).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("ints"))
 
 
@@ -37,70 +38,123 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dims)
 
 
-def ranges(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest integer of each dimension: a row a task, then one for each dimension."""
+@dataclass
+class Grid:
+    """Lowest integer and width of the cells of each dimension."""
 
-    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lo = hi = None
-        for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column(0), len(batch.column(0)[0]))
-                lo, hi = (x.min(0), x.max(0)) if lo is None else (np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0)))
-        if lo is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([lo.tolist()], pa.list_(pa.int64())), pa.array([hi.tolist()], pa.list_(pa.int64()))], names=["lo", "hi"])
+    lo: np.ndarray
+    width: np.ndarray
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> Grid:
+        """From the smallest and largest integer of each dimension: a row a task, then one for each dimension."""
 
-    parts = rows.select("ints").mapInArrow(extremes, "lo array<long>, hi array<long>").select(F.posexplode(F.arrays_zip("lo", "hi")).alias("at", "x"))
-    found = parts.groupBy("at").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi")).orderBy("at").toArrow()
-    return found.column("lo").to_numpy(), found.column("hi").to_numpy()
+        def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lo = hi = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = matrix(batch.column(0), len(batch.column(0)[0]))
+                    lo, hi = (x.min(0), x.max(0)) if lo is None else (np.minimum(lo, x.min(0)), np.maximum(hi, x.max(0)))
+            if lo is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([lo.tolist()], pa.list_(pa.int64())), pa.array([hi.tolist()], pa.list_(pa.int64()))], names=["lo", "hi"])
 
+        parts = rows.select("ints").mapInArrow(extremes, "lo array<long>, hi array<long>").select(F.posexplode(F.arrays_zip("lo", "hi")).alias("at", "x"))
+        found = parts.groupBy("at").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi")).orderBy("at").collect()
+        return cls(np.array([r["lo"] for r in found], np.int64), np.array([(r["hi"] - r["lo"]) // CELLS + 1 for r in found], np.uint64))
 
-def approximations(rows: DataFrame, lo: np.ndarray, width: np.ndarray) -> DataFrame:
-    """The written approximation table: vec_id, cells (a byte a component), ints."""
-    dims = len(lo)
-    kinds = pa.schema([("vec_id", pa.int64()), ("cells", pa.binary()), ("ints", pa.list_(pa.int64()))])
+    def cells(self, ints: np.ndarray) -> np.ndarray:
+        """A byte a component; differences are taken without sign, so that the widest range fits."""
+        return ((ints.view(np.uint64) - self.lo.view(np.uint64)) // self.width).astype(np.uint8)
+
+
+def approximations(rows: DataFrame, grid: Grid) -> DataFrame:
+    """The written approximation file: row, vec_id, cells (a byte a component)."""
+    kinds = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("cells", pa.binary())])
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                code = ((matrix(batch.column(1), dims) - lo) // width).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in code], pa.binary()), batch.column(1).cast(pa.list_(pa.int64()))], schema=kinds)
+                code = grid.cells(np.ascontiguousarray(matrix(batch.column(2), len(grid.lo)), np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in code], pa.binary())], schema=kinds)
 
-    return materialize(rows.mapInArrow(cells, "vec_id long, cells binary, ints array<long>"), "cells")
+    return materialize(rows.select("row", "vec_id", "ints").mapInArrow(cells, "row long, vec_id long, cells binary"), "cells")
 
 
 class Scan:
-    """Best k rows of a block of queries over the vectors that one task sees."""
+    """Candidates of a block of queries among the vectors that one task sees."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, lo: np.ndarray, width: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, queries, k
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, grid: Grid, k: int):
+        self.ids, self.k = ids, k
+        q, lo, width = queries.astype(np.float64), grid.lo.astype(np.float64), grid.width.astype(np.float64)
         # score <= sum of q * lowest value of the cell + what positive q gain over the cell's width
-        self.weight = (queries * width).astype(np.float64).T
-        self.base = (queries * lo).sum(1) + (np.maximum(queries, 0) * (width - 1)).sum(1)
-        self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]
-
-    def add(self, vec: np.ndarray, cells: np.ndarray, exact) -> None:
-        """``exact``: rows -> their integer vectors, read only for those whose bound still counts."""
-        bounds = cells.astype(np.float64) @ self.weight
-        for i, own in enumerate(self.ids):
-            bound = bounds[:, i] + self.base[i]
-            scores, names = self.best[i]
-            floor = scores[-1] if len(scores) == self.k else None
-            at = np.flatnonzero(bound >= floor) if floor is not None else np.arange(len(vec))
-            at = at[np.argsort(-bound[at], kind="stable")]
-            at = at[vec[at] != own]
-            for s in range(0, len(at), STEP):
-                step = at[s : s + STEP]
-                if len(scores) == self.k and bound[step[0]] < scores[-1]:
-                    break
-                scores = np.concatenate([scores, exact(step) @ self.q[i]])
-                names = np.concatenate([names, vec[step]])
-                order = np.lexsort((names, -scores))[: self.k]
-                scores, names = scores[order], names[order]
-            self.best[i] = scores, names
-
-    def rows(self) -> pa.RecordBatch:
-        n = [len(s) for s, _ in self.best]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([v for _, v in self.best] or [[]]).astype(np.int64)), pa.array(np.concatenate([s for s, _ in self.best] or [[]]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+        self.weight, spread = (q * width).T, np.abs(q) * (width - 1)
+        self.base = (q * lo).sum(1) + np.where(q > 0, spread, 0).sum(1)
+        # sums of doubles are off by less than this
+        size = (np.abs(q) * (np.abs(lo) + CELLS * width)).sum(1)
+        self.error = size * (4 + 2 * q.shape[1]) * 2.0**-52
+        self.slack = spread.sum(1) + 2 * self.error
+        self.top = np.full((k, len(ids)), -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, row: np.ndarray, vec: np.ndarray, cells: np.ndarray) -> None:
+        step = max(self.k, BOUNDS // max(len(self.ids), 1))
+        for s in range(0, len(row), step):
+            upper = cells[s : s + step].astype(np.float64) @ self.weight + self.base
+            at = np.minimum(np.searchsorted(self.ids, vec[s : s + step]), len(self.ids) - 1)
+            own = np.flatnonzero(self.ids[at] == vec[s : s + step])
+            upper[own, at[own]] = -np.inf
+            both = np.concatenate([self.top, np.partition(upper, -self.k, 0)[-self.k :] if len(upper) > self.k else upper])
+            self.top = np.partition(both, -self.k, 0)[-self.k :]
+            i, j = np.nonzero((upper >= self.top.min(0) - self.slack) & (upper > -np.inf))
+            self.held.append((j, row[s : s + step][i], upper[i, j]))
+            self.n += len(i)
+            if self.n > PENDING:
+                self.prune()
+
+    def prune(self) -> None:
+        j, row, upper = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        kept = upper >= (self.top.min(0) - self.slack)[j]
+        self.held, self.n = [(j[kept], row[kept], upper[kept])], int(kept.sum())
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.prune()
+            j, row, upper = self.held[0]
+            for s in range(0, len(j), 100_000):
+                q, r, u = j[s : s + 100_000], row[s : s + 100_000], upper[s : s + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(r), pa.array(u + self.error[q]), pa.array(u + self.error[q] - self.slack[q])], names=["query_id", "row", "upper", "lower"])
+
+
+def candidates(table: DataFrame, asked: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """Written table (query_id, row, upper, lower) of the rows that the bounds leave, block of queries by block.
+
+    Only one block of queries is on the driver and in the tasks at a time.
+    """
+    spark, path, dims = table.sparkSession, scratch_path(table.sparkSession, "candidates"), len(grid.lo)
+    blocks = -(-asked.count() // QUERIES)
+    kinds = "query_id long, row long, upper double, lower double"
+    for block in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toArrow()
+        if not part.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((part.column(0).to_numpy(), matrix(part.column(1).combine_chunks(), dims)))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            state = Scan(*sent.value, grid, k)
+            for batch in batches:
+                if batch.num_rows:
+                    cells = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, dims)
+                    state.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(), cells)
+            yield from state.rows()
+
+        table.mapInArrow(scan, kinds).write.mode("append").parquet(path)
+        sent.destroy()
+    found = spark.read.schema(kinds).parquet(path) if blocks else spark.createDataFrame([], kinds)
+    # each task knew its own rows alone: the k-th lower bound of all tasks leaves fewer
+    order = Window.partitionBy("query_id").orderBy(F.desc("lower"), "row")
+    bar = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).filter(F.col("n") == k).select("query_id", F.col("lower").alias("bar"))
+    return materialize(found.join(small(materialize(bar, "bars")), "query_id", "left").filter("bar is null or upper >= bar").drop("bar"), "kept-candidates")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> DataFrame:
@@ -109,46 +163,35 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> D
     ``vectors``: vec_id, embedding (other columns are ignored). ``is_query``: a condition on vec_id.
     Ties go to the smaller vec_id; fewer rows than k give all. Only vectors of equal length meet. A
     repeated query id is asked once, with its smallest vector; repeated other rows stay candidates
-    of their own. Vectors without a usable form (see ``scaled``) or id take no part.
+    of their own. Vectors without a usable form (see ``scaled``) or id take no part; an empty table
+    gives no rows. Scores are exact as long as a long holds them, whatever the size of the
+    components; beyond it they wrap around.
     """
     spark = vectors.sparkSession
     small_batches(spark, 8192)
-    rows = materialize(scaled(vectors, scale), "ints")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found: list[DataFrame] = []
+    rows = materialize(scaled(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "ints")
+    found = spark.createDataFrame([], "query_id long, vec_id long, score long")
     for (dims,) in rows.select(F.size("ints").alias("d")).distinct().orderBy("d").collect():
         same = rows.filter(F.size("ints") == dims)
         asked = materialize(same.filter(is_query).groupBy("vec_id").agg(F.min("ints").alias("ints")), "queries")
-        blocks = -(-asked.count() // QUERIES)
-        if not blocks:
-            continue
-        lo, hi = ranges(same)
-        width = np.maximum(1, -(-(hi - lo + 1) // CELLS))
-        table = approximations(same, lo, width)
-        for block in range(blocks):
-            part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toArrow()
-            if part.num_rows:
-                ids, ints = part.column(0).to_numpy(), matrix(part.column(1).combine_chunks(), dims)
-                found.append(best_of_block(table, spark.sparkContext.broadcast((ids, ints, lo, width)), dims, k))
-    if not found:
-        return empty
+        grid = Grid.of(same)
+        met = candidates(approximations(same, grid), asked, grid, k)
+        exact = met.select("query_id", "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("ints").alias("q")), "query_id")
+        found = found.union(scores(same.select("row", "vec_id", "ints").join(small(materialize(exact, "asked-rows"), 4_000_000 // (dims + 2)), "row"), dims))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def best_of_block(table: DataFrame, block, dims: int, k: int) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, lo, width = block.value
-        state = Scan(ids, queries, lo, width, k)
+def scores(pairs: DataFrame, dims: int) -> DataFrame:
+    """(query_id, vec_id, score) of pairs (query_id, vec_id, q, ints); sums of longs that wrap around are right wherever the score fits."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cells = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, dims)
-                ints = matrix(batch.column(2), dims)
-                state.add(batch.column(0).to_numpy(), cells, lambda at, ints=ints: ints[at])
-        yield state.rows()
+            q, v = matrix(batch.column(2), dims), matrix(batch.column(3), dims)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((q * v).sum(1), pa.int64())], names=["query_id", "vec_id", "score"])
 
-    return table.mapInArrow(scan, "query_id long, vec_id long, score long")
+    return pairs.select("query_id", "vec_id", "q", "ints").mapInArrow(multiply, "query_id long, vec_id long, score long")
 
 
 #: The op3 query in DuckDB's SQL.

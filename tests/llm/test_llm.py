@@ -137,6 +137,27 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(vectors(spark, rows).limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(6) * 10.0 ** rng.integers(0, 7)], 1, "x") for i in range(300)]
+    rows += [(400, [1e6, -1e6, 1e6, 0.0, 0.0, 1.0], 1, "x"), (500, [3e38, -3e38, 0.0, 0.0, 0.0, 0.0], 1, "x")]
+    found = topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0, 10).toPandas()
+    ints = {i: [min(max(int(np.floor(1024 * float(np.float32(x)))), -(2**63)), 2**63 - 1) for x in v] for i, v, *_ in rows}
+    for q in (0, 100, 200, 400):
+        want = sorted((-sum(a * b for a, b in zip(ints[q], w, strict=True)), i) for i, w in ints.items() if i not in (q, 500))[:10]
+        mine = [(-s, i) for s, i in found[found.query_id == q].sort_values("rank")[["score", "vec_id"]].to_numpy().tolist() if i != 500]
+        assert mine == want[: len(mine)] and len(mine) >= 9
+
+
+def test_few_exact_vectors_are_read(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(32)], 1, "x") for i in range(3000)]
+    table = common.materialize(topk.scaled(vectors(spark, rows)).withColumn("row", F.monotonically_increasing_id()), "t")
+    grid, asked = topk.Grid.of(table), table.filter("vec_id % 100 = 0").select("vec_id", "ints")
+    met = topk.candidates(topk.approximations(table, grid), asked, grid, 10)
+    assert 30 * 10 <= met.count() <= 30 * 40
+
+
 RULES = queries.URL_RULES
 URLS = ["http://a.net/x", "https://EN.example.net/en/1?q", "http://example.net/en", "http://badexample.net/en/", "https://b.example.com/de/x#f", "https://example.com/fr/", "http://c.org/fr/y", "http://org/fr/", "no scheme/en/", "://", "x://y://z/q", "https://free-bets.example.com/en/9", "http://net", None, ""]
 

@@ -92,12 +92,13 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, gid, embedding) of the rows that can link; ``gid`` is a 64-bit hash of label and vector."""
+    """(vec_id, label, h1, h2, embedding) of the rows that can link; ``h1`` and ``h2`` are 128 bits of hashes of label and vector."""
     x = F.col("embedding")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     kept = vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0))
     kept = kept.filter(~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda v: v != 0))
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.xxhash64(F.col("label").cast("string"), F.col("embedding").cast("array<double>")).alias("gid"), x.cast("array<double>").alias("embedding"))
+    label, doubles = F.col("label").cast("string"), x.cast("array<double>")
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), F.xxhash64(label, doubles).alias("h1"), F.xxhash64(F.lit(SEED), F.reverse(doubles), label).alias("h2"), x.alias("embedding"))
 
 
 class Lists:
@@ -183,15 +184,15 @@ def links(groups: DataFrame, dims: int, cosine: float) -> DataFrame:
     """Written table (gid, linked, root) from distinct vectors (gid, label, many, embedding): partial sums of linked rows, and a star of each group of links."""
     largest = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     code = groups.sparkSession.sparkContext.broadcast(Code(dims, largest))
-    kinds = pa.schema([("gid", pa.int64()), ("filter", pa.int64())])
+    kinds = pa.schema([("gid", pa.int64()), ("label", pa.string()), ("filter", pa.int64())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, filter_id = code.value.decode(unit(np.asarray(batch.column(1).flatten()).reshape(-1, dims)))
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(filter_id)], schema=kinds)
+                row, filter_id = code.value.decode(unit(np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, dims)))
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), batch.column(1).cast(pa.string()).take(pa.array(row)), pa.array(filter_id)], schema=kinds)
 
-    entries = materialize(groups.select("gid", "embedding").mapInArrow(decode, "gid long, filter long").join(groups.select("gid", "label"), "gid"), "filters")
+    entries = materialize(groups.select("gid", "label", "embedding").mapInArrow(decode, "gid long, label string, filter long"), "filters")
     shared = entries.groupBy("label", "filter").agg(F.count("*").alias("many")).filter("many > 1")
     kept = entries.join(shared, ["label", "filter"]).withColumn("chunks", F.ceil(F.col("many") / CHUNK))
     kept = materialize(kept.withColumn("chunk", F.pmod(F.xxhash64("gid"), F.col("chunks"))), "shared-filters")
@@ -223,11 +224,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     precision, is at least ``cosine``; only vectors of equal length are compared. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing, nor do rows without
     id or label; they are kept, and a null vec_id has a null component. Repeated rows are copies of
-    each other. Every link reported is verified; the share of links found is measured in the tests.
+    each other, and an empty table gives no rows. Every link reported is verified; the share of links found is measured in the tests.
     """
     small_batches(vectors.sparkSession, 2000)
     rows = materialize(valid(vectors), "vectors")
-    groups = materialize(rows.groupBy("gid").agg(F.first("label").alias("label"), F.count("*").alias("many"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding")), "distinct-vectors")
+    groups = rows.groupBy("h1", "h2").agg(F.first("label").alias("label"), F.count("*").alias("many"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
+    groups = materialize(groups.withColumn("gid", F.monotonically_increasing_id()), "distinct-vectors")
     found = None
     for (dims,) in groups.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect():
         part = links(groups.filter(F.size("embedding") == dims), dims, cosine)
@@ -235,11 +237,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     if found is None:
         return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     roots = connected_components(found.select(F.col("gid").alias("a"), F.col("root").alias("b")))
-    of_group = groups.select("gid", "many", "least").join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    of_group = groups.select("gid", "h1", "h2", "many", "least").join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
     of_group = of_group.join(found.groupBy("gid").agg(F.sum("linked").alias("linked")), "gid", "left")
     component = of_group.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_group = of_group.join(component, "root").select("gid", (F.coalesce("linked", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
-    linked = rows.select("vec_id", "gid").join(of_group, "gid").select("vec_id", "n_links", "component_id")
+    of_group = of_group.join(component, "root").select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
+    linked = rows.select("vec_id", "h1", "h2").join(of_group, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     other = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).exceptAll(rows.select("vec_id")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(other).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

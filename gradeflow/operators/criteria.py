@@ -56,13 +56,15 @@ def named_criteria(lines: DataFrame) -> DataFrame:
 
 
 def keyword_criteria(docs: DataFrame, rules: list[tuple[str, str, int]], defaults: list[tuple[str, int]]) -> DataFrame:
-    """(doc_id, name, points): each rule (keyword, name, points) that the text holds, once by name; the defaults if none."""
+    """(doc_id, name, points): each rule (keyword, name, points) that the text holds, once by name with the first such rule's points; the defaults if none."""
     low = F.lower("text")
-    hits = [F.when(low.contains(k), F.struct(F.lit(n).alias("name"), F.lit(p).alias("points"))) for k, n, p in rules]
-    found = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
-    plain = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("points")) for n, p in defaults])
-    rows = docs.select("doc_id", F.explode(F.when(F.size(found) > 0, found).otherwise(plain)).alias("c"))
-    return rows.groupBy("doc_id", F.col("c.name").alias("name")).agg(F.max("c.points").alias("points"))
+    first: dict[str, list[F.Column]] = {}
+    for keyword, name, points in rules:
+        first.setdefault(name, []).append(F.when(low.contains(keyword), points))
+    one = lambda name, points: F.struct(F.lit(name).alias("name"), points.alias("points"))
+    found = F.filter(F.array(*[one(name, F.coalesce(*points)) for name, points in first.items()]), lambda x: x["points"].isNotNull())
+    plain = F.array(*[one(name, F.lit(points)) for name, points in defaults])
+    return docs.select("doc_id", F.explode(F.when(F.size(found) > 0, found).otherwise(plain)).alias("c")).select("doc_id", "c.name", "c.points")
 
 
 def first_pattern_only(docs: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -75,8 +77,21 @@ def first_pattern_only(docs: DataFrame, rules: list[tuple[str, str]]) -> DataFra
 
 def grams(c) -> F.Column:
     """Distinct runs of one to three characters of a text."""
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col(c), i, F.lit(n))) for n in (1, 2, 3)]
-    return F.array_distinct(F.concat(*runs))
+
+    def runs(n: int) -> F.Column:
+        # Spark gives a function of two arguments the place as well, so n is bound here
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*map(runs, (1, 2, 3))))
+
+
+def within(part: DataFrame, p: str, whole: DataFrame, w: str) -> DataFrame:
+    """(p, w): the distinct texts ``p`` of ``part`` that texts ``w`` of ``whole`` hold; they meet on the run of three characters of ``p`` that the fewest hold."""
+    held = whole.select(w, F.explode(grams(w)).alias("g"))
+    often = held.groupBy("g").agg(F.count("*").alias("often"))
+    runs = F.filter(grams(p), lambda g: F.length(g) == F.least(F.length(p), F.lit(3)))
+    rare = part.filter(F.length(p) > 0).select(p, F.explode(runs).alias("g")).join(often, "g").groupBy(p).agg(F.min(F.struct("often", "g")).alias("r")).select(p, "r.g")
+    return held.join(rare, "g").filter(F.col(w).contains(F.col(p))).select(p, w)
 
 
 def best_pattern(rows: DataFrame, patterns: DataFrame, least: float = 0.5) -> DataFrame:
@@ -86,8 +101,8 @@ def best_pattern(rows: DataFrame, patterns: DataFrame, least: float = 0.5) -> Da
     counted, over the larger number of words; 0.2 more for as many columns; 1 at most; above
     ``least``; the first pattern on ties. Distinct texts meet distinct patterns, and the best of a
     text and number of columns goes to all its rows. Candidates share one of the text's rarest words
-    (so many that a text without them lacks the share of words that ``least`` needs), or one has the
-    other's first three characters somewhere and then the whole of it.
+    (so many that a text without them lacks the share of words that ``least`` needs), or one holds
+    the other.
     """
     low = lambda c: F.lower(c)
     texts = rows.select(low("text").alias("t")).distinct().withColumn("tw", F.split("t", rf"{WS}+"))
@@ -99,9 +114,8 @@ def best_pattern(rows: DataFrame, patterns: DataFrame, least: float = 0.5) -> Da
     lacking = F.col("n") - F.greatest(F.floor(F.col("n") * (least - 0.2) + 1e-9) + 1, F.lit(1))
     rarest = F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("often", F.lit(0)), "w"))
     by_word = usual.withColumn("at", rarest).filter(F.col("at") <= lacking + 1).filter("often is not null").select("t", "w").distinct().join(words, "w").select("t", "p")
-    start = lambda c: F.substring(c, 1, 3)
-    holds = texts.select("t", F.explode(grams("t")).alias("g")).join(known.select("p", start("p").alias("g")), "g").filter(F.col("t").contains(F.col("p"))).select("t", "p")
-    held = known.select("p", F.explode(grams("p")).alias("g")).join(texts.select("t", start("t").alias("g")), "g").filter(F.col("p").contains(F.col("t"))).select("t", "p")
+    holds = within(known.select("p"), "p", texts.select("t"), "t").select("t", "p")
+    held = within(texts.select("t"), "t", known.select("p"), "p").select("t", "p")
     pairs = by_word.union(holds).union(held).distinct().join(texts, "t").join(known, "p")
     common = F.size(F.filter("tw", lambda w: F.array_contains("pw", w)))
     base = F.when(F.col("t") == F.col("p"), 1.0).when(F.col("t").contains(F.col("p")) | F.col("p").contains(F.col("t")), 0.7).otherwise(common / F.greatest(F.size("tw"), F.size("pw")))
@@ -149,9 +163,16 @@ def merge_items(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def merge_sections(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(doc_id, section, max_points) of two analyses, the larger points."""
-    rows = a.unionByName(b).groupBy("doc_id", F.lower("section").alias("_k")).agg(F.min("section").alias("section"), F.max("max_points").alias("max_points"))
-    return rows.drop("_k")
+    """(doc_id, section, max_points) of two analyses: sections are the same if their names are but for case, the first's name and the larger points stay."""
+    rows = a.withColumn("_src", F.lit(0)).unionByName(b.withColumn("_src", F.lit(1)))
+    rows = rows.groupBy("doc_id", F.lower("section").alias("_k")).agg(F.min(F.struct("_src", "section")).alias("_s"), F.max("max_points").alias("max_points"))
+    return rows.select("doc_id", F.col("_s.section").alias("section"), "max_points")
+
+
+def merge_totals(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(doc_id, total_points) of two analyses: the larger, a missing one counting 0."""
+    both = a.select("doc_id", "total_points").union(b.select("doc_id", "total_points"))
+    return both.groupBy("doc_id").agg(F.max(F.coalesce("total_points", F.lit(0))).alias("total_points"))
 
 
 def sections_to_criteria(sections: DataFrame) -> DataFrame:
@@ -221,12 +242,16 @@ def render_prompt(criteria: DataFrame) -> DataFrame:
 
 
 def violations(rubrics: DataFrame, totals: DataFrame) -> DataFrame:
-    """(doc_id, rule, key) of items (doc_id, section_id, item_id, description, points) and stated totals (doc_id, total_points)."""
+    """(doc_id, rule, key) of items (doc_id, section_id, item_id, description, points) and stated totals (doc_id, total_points).
+
+    Ids of sections and items are letters, digits and ``_``; descriptions have 3 characters at least.
+    """
     bad = lambda rows, rule, key: rows.select("doc_id", F.lit(rule).alias("rule"), key.cast("string").alias("key"))
     item, d = F.col("item_id"), rubrics
     same = lambda keys: d.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
     found = [
         bad(d.filter(~F.regexp_like("item_id", F.lit("^[A-Za-z0-9_]+$"))), "id", item),
+        bad(d.filter(~F.regexp_like("section_id", F.lit("^[A-Za-z0-9_]+$"))).select("doc_id", "section_id").distinct(), "section_id", F.col("section_id")),
         bad(d.filter(F.length(strip(F.coalesce("description", F.lit("")))) < 3), "short", item),
         bad(d.filter(F.col("points") < 0), "negative", item),
         bad(same(["doc_id", "section_id", "item_id"]), "duplicate_in_section", item),
@@ -246,19 +271,30 @@ def lookup_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("max_points").alias("points"))
 
 
+#: What separates the words of a statement: everything but letters and digits.
+MARK = r"[^\p{L}\p{N}]+"
+
+
 def exam_match(turns: DataFrame, examples: DataFrame) -> DataFrame:
     """(video_id, exam_id, statement, start_time, end_time, score) for every recording and exam.
 
     The first turn (video_id, turn_no, start, end, text) that holds an example (exam_id, example) of
-    the exam, else ``No exam was performed``. Turns and examples meet on the longest word of the
-    example, so only turns with that word are searched.
+    the exam, else ``No exam was performed``; case, marks and white space don't count. Turns and
+    examples meet on the example's word that the fewest turns have: only keys and words are
+    shuffled, and texts are fetched for the turns that meet. Null and wordless examples match nothing.
     """
-    norm = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), rf"{WS}+", " "), F.lit(" "))
-    words = lambda c: F.filter(F.split(F.lower(c), rf"{WS}+"), lambda x: x != "")
-    key = F.get(F.array_sort(F.transform(words("example"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), F.lit(0))["w"]
-    asked = examples.withColumn("w", key).filter("w is not null").select("exam_id", norm("example").alias("e"), "w").distinct()
-    said = turns.select("video_id", "turn_no", "start", "end", "text", norm("text").alias("t"), F.explode(F.array_distinct(words("text"))).alias("w"))
-    hits = said.join(asked, "w").filter(F.col("t").contains(F.col("e")))
+    norm = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), MARK, " "), F.lit(" "))
+    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda x: x != "")
+    # an example may start or end with marks: one space at either end
+    asked = examples.select("exam_id", F.regexp_replace(norm("example"), " +", " ").alias("e")).filter("e <> ' '").distinct()
+    parts = asked.select("e").distinct().select("e", F.explode(words("e")).alias("w"), F.size(words("e")).alias("n"))
+    said = turns.select("video_id", "turn_no", F.explode(words(norm("text"))).alias("w")).join(parts.select("w").distinct(), "w", "left_semi")
+    often = said.groupBy("w").agg(F.count("*").alias("often"))
+    # an example with a word that no turn has is in none
+    rare = parts.join(often, "w").groupBy("e").agg(F.min(F.struct("often", "w")).alias("r"), F.count("*").alias("met"), F.first("n").alias("n")).filter("met = n").select("e", "r.w")
+    met = said.join(rare, "w").select("video_id", "turn_no", "e").distinct()
+    texts = turns.select("video_id", "turn_no", "start", "end", "text", F.regexp_replace(norm("text"), " +", " ").alias("t"))
+    hits = met.join(texts, ["video_id", "turn_no"]).filter(F.col("t").contains(F.col("e"))).join(asked, "e")
     first = hits.groupBy("video_id", "exam_id").agg(F.min(F.struct("turn_no", "text", "start", "end")).alias("h"))
     # every recording with every exam is the result itself; the exams are a short list
     every = turns.select("video_id").distinct().crossJoin(examples.select("exam_id").distinct())

@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip
 
+# The rationale of questions that need no model.
 NO_TOOLS = "No evidence was provided by the automated tools to assess performance on this rubric question."
 NOTHING = "Automated tools ran but found no specific evidence items relevant to this rubric question."
 
-# How an item of each tool is shown.
+# How an item of each tool is shown; what stands for fields that are missing, N/A for all others.
 FORMATS = {
     "audio_transcript_extractor": ('Transcript ({}s - {}s): "{}"', ["start_time", "end_time", "transcript"]),
     "keyframe_captioner": ('Caption (Timestamp: {}s): "{}"', ["timestamp", "keyframe_description"]),
@@ -20,13 +21,14 @@ FORMATS = {
     "scene_interaction_analyzer": ("Interaction (Timestamp: {}s): Subject='{}', Action='{}', Object='{}' (Detail: {})", ["timestamp", "subject_label", "action_predicate", "object_target_label", "target_detail"]),
     "temporal_action_segmenter": ("Action: '{}' ({}s - {}s)", ["action_label", "start_time", "end_time"]),
 }
+MISSING = {"transcript": "", "keyframe_description": "", "context": "", "pose": "", "gaze": "", "target_detail": "None"}
 
 
 def select_tools(plans: DataFrame, tools: DataFrame) -> DataFrame:
     """(plan_id, step, tool): known names of a comma list (plan_id, tools), trimmed and unquoted, in order."""
     rows = plans.select("plan_id", F.posexplode(F.split("tools", ",")).alias("step", "tool"))
     rows = rows.withColumn("tool", F.regexp_replace(strip(F.col("tool")), "^[\"']+|[\"']+$", ""))
-    return rows.join(F.broadcast(tools.select("tool")), "tool", "left_semi").select("plan_id", "step", "tool")
+    return rows.join(tools.select("tool"), "tool", "left_semi").select("plan_id", "step", "tool")
 
 
 def rejected_tools(plans: DataFrame, tools: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def rejected_tools(plans: DataFrame, tools: DataFrame) -> DataFrame:
 def expand_tools(selected: DataFrame, closure: DataFrame) -> DataFrame:
     """(plan_id, step, tool): each tool after those it needs, once. ``closure`` (tool, ord, needed): all needed tools in order, without itself."""
     own = selected.select("plan_id", F.col("step").alias("_s"), F.lit(1_000_000).alias("_o"), "tool")
-    more = selected.join(F.broadcast(closure), "tool").select("plan_id", F.col("step").alias("_s"), F.col("ord").alias("_o"), F.col("needed").alias("tool"))
+    more = selected.join(closure, "tool").select("plan_id", F.col("step").alias("_s"), F.col("ord").alias("_o"), F.col("needed").alias("tool"))
     first = own.union(more).groupBy("plan_id", "tool").agg(F.min(F.struct("_s", "_o")).alias("at"))
     step = F.row_number().over(Window.partitionBy("plan_id").orderBy("at", "tool")) - 1
     return first.select("plan_id", step.alias("step"), "tool")
@@ -45,7 +47,7 @@ def expand_tools(selected: DataFrame, closure: DataFrame) -> DataFrame:
 
 def route_tools(selected: DataFrame, tools: DataFrame) -> DataFrame:
     """With the tool's category, by which its data are retrieved once per question."""
-    return selected.join(F.broadcast(tools.select("tool", "category")), "tool")
+    return selected.join(tools.select("tool", "category"), "tool")
 
 
 def evidence_rows(hits: DataFrame, outputs: DataFrame, schema: str) -> DataFrame:
@@ -89,14 +91,17 @@ def evidence_gate(questions: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def item_text(tool, item) -> F.Column:
-    """An item (JSON text) of a tool as shown to a grader; unknown tools as JSON."""
+    """An item (JSON text) of a tool as shown to a grader, the confidence with two decimals; unknown tools as JSON. Fields that are missing or null have a text of their own."""
     out = item
     for name, (form, fields) in FORMATS.items():
         parts, pieces = form.split("{}"), []
         for text, field in zip(parts, [*fields, None], strict=True):
             pieces.append(F.lit(text))
             if field:
-                pieces.append(F.coalesce(F.get_json_object(item, f"$.{field}"), F.lit("N/A")))
+                value = F.get_json_object(item, f"$.{field}")
+                if field == "confidence_score":
+                    value = F.coalesce(F.when(value.try_cast("double").isNotNull(), F.format_string("%.2f", value.try_cast("double"))), value)
+                pieces.append(F.coalesce(value, F.lit(MISSING.get(field, "N/A"))))
         out = F.when(tool == name, F.concat(*pieces)).otherwise(out)
     return out
 

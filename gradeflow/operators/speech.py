@@ -12,15 +12,17 @@ def assign_speakers(words: DataFrame, turns: DataFrame, bucket: float = 10.0) ->
     """``words`` (video_id, word_no, start, end, text, ...) with ``speaker``.
 
     The speaker of the first turn (by turn_no) whose [start, end] holds the word's midpoint, else
-    UNKNOWN. Turns are listed in the time buckets that they cover, so the join is on equal keys.
+    UNKNOWN. Turns are listed in the time buckets that they cover, so the join is on equal keys. Repeated
+    rows of words are kept.
     """
-    own = [c for c in words.columns]
+    own = words.columns
+    words = words.withColumn("_word", F.monotonically_increasing_id())
     middle = F.col("start") + (F.col("end") - F.col("start")) / 2
     spans = turns.filter(F.col("end") >= F.col("start")).select(F.col("video_id").alias("_video"), "turn_no", F.col("speaker").alias("_speaker"), F.col("start").alias("_from"), F.col("end").alias("_to"))
     spans = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor(F.col("_to") / bucket))))
     rows = words.withColumn("_middle", middle).withColumn("_at", F.floor(F.col("_middle") / bucket))
     met = rows.join(spans, (F.col("video_id") == F.col("_video")) & (F.col("_at") == F.col("_bucket")) & F.col("_middle").between(F.col("_from"), F.col("_to")), "left")
-    first = met.groupBy(*own).agg(F.min(F.struct("turn_no", "_speaker")).alias("_first"))
+    first = met.groupBy("_word", *own).agg(F.min(F.struct("turn_no", "_speaker")).alias("_first"))
     return first.select(*own, F.coalesce(F.col("_first._speaker"), F.lit(UNKNOWN)).alias("speaker"))
 
 
@@ -72,14 +74,17 @@ def emotion_name(code) -> F.Column:
 
 
 def chunk_emotion(segments: DataFrame) -> DataFrame:
-    """(video_id, chunk_no, emotion, confidence): the student's first turn of the highest-ranking emotion; else the first neutral one; else neutral, 0.5."""
+    """(video_id, chunk_no, emotion, confidence): the student's first turn of the highest-ranking emotion; else the first neutral one; else neutral, 0.5.
+
+    A missing score counts 0.5 for a neutral turn, else 0.
+    """
     rank = F.lit(None).cast("int")
     for i, code in enumerate((*PRIORITY, "neu")):
         rank = F.when(F.col("emotion_label") == code, i).otherwise(rank)
     rank = F.when(F.col("speaker_role") == "STUDENT", rank)
     best = F.min(F.when(rank.isNotNull(), F.struct(rank.alias("r"), F.col("seg_no"), F.col("emotion_label"), F.col("emotion_score")))).alias("b")
     rows = segments.groupBy("video_id", "chunk_no").agg(best)
-    return rows.select("video_id", "chunk_no", F.coalesce(emotion_name(F.col("b.emotion_label")), F.lit("NEUTRAL")).alias("emotion"), F.when(F.col("b").isNull(), 0.5).otherwise(F.coalesce("b.emotion_score", F.lit(0.0))).alias("confidence"))
+    return rows.select("video_id", "chunk_no", F.coalesce(emotion_name(F.col("b.emotion_label")), F.lit("NEUTRAL")).alias("emotion"), F.when(F.col("b").isNull(), 0.5).otherwise(F.coalesce(F.col("b.emotion_score"), F.when(F.col("b.emotion_label") == "neu", 0.5).otherwise(0.0))).alias("confidence"))
 
 
 def chunk_transcript(segments: DataFrame) -> DataFrame:

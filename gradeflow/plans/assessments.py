@@ -41,11 +41,11 @@ def named_criteria(spark, d):
     return c.named_criteria(fx.criteria(spark, d).select("doc_id", F.col("ord").alias("line_no"), line.alias("text")))
 
 
-@query("""WITH r AS (SELECT * FROM (VALUES ('the', 'Article', 2), ('und', 'Joint', 3), ('und', 'Joint', 1), ('que', 'That', 4)) t(k, name, p)),
-h AS (SELECT doc_id, name, max(p) AS points FROM documents, r WHERE contains(lower(text), k) GROUP BY ALL)
+@query("""WITH r AS (SELECT * FROM (VALUES (1, 'the', 'Article', 2), (2, 'und', 'Joint', 1), (3, 'der', 'Joint', 3), (4, 'que', 'That', 4)) t(o, k, name, p)),
+h AS (SELECT doc_id, name, arg_min(p, o) AS points FROM documents, r WHERE contains(lower(text), k) GROUP BY ALL)
 SELECT * FROM h UNION ALL SELECT doc_id, 'General', 5 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)""")
 def keyword_criteria(spark, d):
-    return c.keyword_criteria(fx.table(spark, d, "documents"), [("the", "Article", 2), ("und", "Joint", 3), ("und", "Joint", 1), ("que", "That", 4)], [("General", 5)])
+    return c.keyword_criteria(fx.table(spark, d, "documents"), [("the", "Article", 2), ("und", "Joint", 1), ("der", "Joint", 3), ("que", "That", 4)], [("General", 5)])
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'the.{0,9}of') THEN 'a' WHEN regexp_matches(lower(text), 'und.{0,9}der') THEN 'b' ELSE 'c' END AS name FROM documents
@@ -116,8 +116,8 @@ def merge_analyses(spark, d):
     return _joined(c.merge_items(a, b))
 
 
-@query("""WITH s AS (SELECT doc_id, section, sum(max_points)::INT AS max_points FROM fx_criteria WHERE ord % 2 = 0 GROUP BY ALL UNION ALL SELECT doc_id, upper(section), max(max_points) FROM fx_criteria GROUP BY ALL)
-SELECT doc_id, min(section) AS section, max(max_points) AS max_points FROM s GROUP BY doc_id, lower(section)""")
+@query("""WITH s AS (SELECT doc_id, section, 0 AS src, sum(max_points)::INT AS max_points FROM fx_criteria WHERE ord % 2 = 0 GROUP BY ALL UNION ALL SELECT doc_id, upper(section), 1, max(max_points) FROM fx_criteria GROUP BY ALL)
+SELECT doc_id, arg_min(section, src) AS section, max(max_points) AS max_points FROM s GROUP BY doc_id, lower(section)""")
 def merge_analyses_sections(spark, d):
     rows = fx.criteria(spark, d)
     a = rows.filter("ord % 2 = 0").groupBy("doc_id", "section").agg(F.sum("max_points").cast("int").alias("max_points"))
@@ -173,6 +173,7 @@ def render_prompt(spark, d):
 @query("""WITH i AS (SELECT doc_id, section, CASE WHEN ord % 7 = 0 THEN 'x' ELSE name END AS item, name, CASE WHEN ord % 11 = 0 THEN -1 ELSE max_points END AS p FROM fx_criteria)
 SELECT doc_id, 'id' AS rule, item AS key FROM i WHERE contains(item, ' ') UNION ALL SELECT doc_id, 'negative', item FROM i WHERE p < 0
 UNION ALL SELECT doc_id, 'duplicate_in_section', item FROM i GROUP BY doc_id, section, item HAVING count(*) > 1 UNION ALL SELECT doc_id, 'duplicate_in_rubric', item FROM i GROUP BY doc_id, item HAVING count(*) > 1
+UNION ALL SELECT DISTINCT doc_id, 'section_id', section FROM i WHERE contains(section, ' ')
 UNION ALL SELECT doc_id, 'total', 'total' FROM i GROUP BY doc_id HAVING sum(p) <> 20 UNION ALL SELECT -1, 'empty', 'sections'""")
 def validate_rubrics(spark, d):
     rows = fx.criteria(spark, d).select("doc_id", F.col("section").alias("section_id"), F.when(F.col("ord") % 7 == 0, "x").otherwise(F.col("name")).alias("item_id"), F.col("name").alias("description"), F.when(F.col("ord") % 11 == 0, -1).otherwise(F.col("max_points")).alias("points"))
@@ -216,8 +217,8 @@ def _examples(spark, d):
     return rows.select((F.col("conv_id") % 5).alias("exam_id"), F.array_join(words, " ").alias("example"))
 
 
-EXAMS = """x AS (SELECT DISTINCT conv_id % 5 AS exam_id, ' ' || lower(array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:3], ' ')) || ' ' AS e FROM conversations WHERE turn = 0),
-h AS (SELECT t.video_id, x.exam_id, t.turn_no, t.text, t."start", t."end" FROM fx_speaker_turns t JOIN x ON contains(' ' || regexp_replace(lower(t.text), '[\\x20\\x09-\\x0D]+', ' ', 'g') || ' ', x.e) WHERE trim(x.e) <> ''),
+EXAMS = """x AS (SELECT DISTINCT conv_id % 5 AS exam_id, regexp_replace(' ' || regexp_replace(lower(array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:3], ' ')), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', ' +', ' ', 'g') AS e FROM conversations WHERE turn = 0),
+h AS (SELECT t.video_id, x.exam_id, t.turn_no, t.text, t."start", t."end" FROM fx_speaker_turns t JOIN x ON contains(' ' || regexp_replace(lower(t.text), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', x.e) WHERE trim(x.e) <> ''),
 f AS (SELECT video_id, exam_id, arg_min(text, turn_no) AS text, arg_min("start", turn_no) AS "start", arg_min("end", turn_no) AS "end" FROM h GROUP BY ALL),
 m AS (SELECT v.video_id, k.exam_id, coalesce(f.text, 'No exam was performed') AS statement, coalesce(f."start"::VARCHAR, 'nan') AS start_time, coalesce(f."end"::VARCHAR, 'nan') AS end_time, (f.video_id IS NOT NULL)::INT AS score
   FROM (SELECT DISTINCT video_id FROM fx_speaker_turns) v CROSS JOIN (SELECT DISTINCT exam_id FROM x) k LEFT JOIN f ON f.video_id = v.video_id AND f.exam_id = k.exam_id)"""
@@ -301,6 +302,25 @@ def evidence_text(spark, d):
     return e.evidence_text(fx.outputs(spark, d).select("question_id", "tool", "item_no", F.to_json(F.struct("k")).alias("item")))
 
 
+_TOOLS = ("audio_transcript_extractor", "keyframe_captioner", "object_detector", "pose_analyzer", "scene_interaction_analyzer", "temporal_action_segmenter", "other")
+
+
+@query("""WITH i AS (SELECT question_id, tool AS kind, item_no, k, question_id % 7 AS t, count(*) OVER (PARTITION BY question_id, tool) AS n FROM fx_outputs),
+l AS (SELECT *, ['audio_transcript_extractor', 'keyframe_captioner', 'object_detector', 'pose_analyzer', 'scene_interaction_analyzer', 'temporal_action_segmenter', 'other'][t + 1] || '_' AS u,
+  CASE t WHEN 0 THEN 'Transcript (' || k || 's - N/As): "' || kind || '"' WHEN 1 THEN 'Caption (Timestamp: ' || k || 's): ""' WHEN 2 THEN 'Object: ''N/A'' (Timestamp: ' || k || 's, Conf: ' || k || '.00, Context: )'
+  WHEN 3 THEN 'Pose - N/A (Timestamp: ' || k || 's): ' || repeat(chr(39), 2) || ', Gaze: ' || repeat(chr(39), 2) WHEN 4 THEN 'Interaction (Timestamp: ' || k || 's): Subject=''N/A'', Action=''N/A'', Object=''N/A'' (Detail: None)' WHEN 5 THEN 'Action: ''N/A'' (' || k || 's - N/As)'
+  ELSE '{"start_time":' || k || ',"timestamp":' || k || ',"confidence_score":' || k || ',"transcript":"' || kind || '"}' END AS line FROM i)
+SELECT question_id, kind, 'Tool: ' || rtrim(u, '_') || E'\\n' || string_agg('  - ' || line, E'\\n' ORDER BY item_no) || CASE WHEN any_value(n) > 5 THEN E'\\n  - ... (and ' || (any_value(n) - 5) || ' more items not shown due to brevity)' ELSE '' END AS text
+FROM l WHERE item_no <= 5 GROUP BY question_id, kind, u""")
+def evidence_text_forms(spark, d):
+    """Items in each tool's own form, fields missing; one tool for a question, its kinds apart."""
+    k = F.col("k")
+    item = F.to_json(F.struct(k.alias("start_time"), k.alias("timestamp"), k.alias("confidence_score"), F.col("tool").alias("transcript")))
+    name = F.get(F.array(*map(F.lit, _TOOLS)), (F.col("question_id") % 7).cast("int"))
+    rows = fx.outputs(spark, d).select(F.struct("question_id", F.col("tool").alias("kind")).alias("question_id"), name.alias("tool"), "item_no", item.alias("item"))
+    return e.evidence_text(rows).select("question_id.question_id", "question_id.kind", "text")
+
+
 COUNTS = "c AS (SELECT question_id, tool, sum(CASE WHEN question_id % 5 = 0 THEN 0 ELSE 1 END) AS n FROM fx_outputs WHERE question_id % 7 > 0 GROUP BY 1, 2)"
 
 

@@ -49,12 +49,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second vector is the next row's: an equi-join on the rank, not a window over all rows."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("clip_vec"))
-    order = rows.select("vec_id").repartitionByRange("vec_id")
-    least = order.agg(F.min("vec_id").alias("least"))
     after = rows.select(F.col("vec_id").alias("next_id"), F.col("clip_vec").alias("desc_vec"))
-    linked = rows.join(after, F.col("next_id") == F.col("vec_id") + 1, "left").crossJoin(F.broadcast(least))
-    first = after.select(F.col("next_id").alias("first_id"), F.col("desc_vec").alias("first_vec"))
-    linked = linked.join(first, (F.col("first_id") == F.col("least")) & F.col("desc_vec").isNull(), "left")
+    # one row, for the last vector
+    first = rows.orderBy("vec_id").limit(1).select(F.col("clip_vec").alias("first_vec"))
+    linked = rows.join(after, F.col("next_id") == F.col("vec_id") + 1, "left").crossJoin(F.broadcast(first))
     return linked.select(F.col("vec_id").alias("id"), F.col("label").alias("video_id"), F.col("vec_id").alias("frame_number"), F.col("vec_id").cast("double").alias("timestamp"), "clip_vec", F.coalesce("desc_vec", "first_vec").alias("desc_vec"), F.lit(1).alias("version"))
 
 

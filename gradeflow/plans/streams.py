@@ -44,7 +44,7 @@ def stream_dedupe_points(spark, d):
 SELECT task_id, step, progress, step = 'purchase' AND e = 0 AS completed, e = 1 AS failed FROM l""")
 def stream_latest_status(spark, d):
     events = _events(spark, d).select(F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("event_no"), F.col("event_type").alias("step"), F.col("value").alias("progress"))
-    rows = jobs.latest_status(events)
+    rows = jobs.latest_status(events, "purchase", "error")
     path = jobs.run_batches(rows, "status", "complete", lambda batch, i, folder: batch.write.mode("overwrite").parquet(f"{folder}/rows"))
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 

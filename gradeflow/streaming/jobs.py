@@ -19,8 +19,12 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share (``spark.checkpoint.dir``), or a local one where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gradeflow-")
+    """A new folder that all executors share (``spark.checkpoint.dir``), or a local one where that is unset and the master is local, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gradeflow-")
     return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
@@ -64,40 +68,55 @@ def dedupe_points(points: DataFrame, key: str, late: str) -> DataFrame:
     return points.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """(task_id, step, progress, completed, failed): the latest event of each task (task_id, ts, event_no, step, progress); an error overrides."""
+def latest_status(events: DataFrame, done: str = "completed", error: str = "failed") -> DataFrame:
+    """(task_id, step, progress, completed, failed): the latest event of each task (task_id, ts, event_no, step, progress); a step ``error`` overrides."""
     last = F.struct("ts", "event_no")
-    rows = events.groupBy("task_id").agg(F.max_by("step", last).alias("step"), F.max_by("progress", last).alias("progress"), F.max((F.col("step") == "error").cast("int")).alias("_e"))
-    return rows.select("task_id", "step", "progress", ((F.col("step") == "purchase") & (F.col("_e") == 0)).alias("completed"), (F.col("_e") == 1).alias("failed"))
+    rows = events.groupBy("task_id").agg(F.max_by("step", last).alias("step"), F.max_by("progress", last).alias("progress"), F.max((F.col("step") == error).cast("int")).alias("_e"))
+    return rows.select("task_id", "step", "progress", ((F.col("step") == done) & (F.col("_e") == 0)).alias("completed"), (F.col("_e") == 1).alias("failed"))
 
 
-def sample_frames(frames: DataFrame, rate: float) -> DataFrame:
-    """(video_id, timestamp): as the batch job, the state being the last kept time."""
+def sample_frames(frames: DataFrame, rate: float, idle_seconds: float | None = None) -> DataFrame:
+    """(video_id, timestamp): as the batch job, the state being the last kept time.
+
+    With ``idle_seconds`` frames may come that much later than the latest of all; later ones are dropped, and the
+    state of a recording goes once nothing can come for it any more. Without, it is kept.
+    """
     kind = dict(frames.dtypes)["video_id"]
+    if idle_seconds is not None:
+        frames = frames.withColumn("_ts", F.timestamp_micros((F.col("timestamp") * 1e6).cast("long"))).withWatermark("_ts", f"{idle_seconds} seconds")
 
     def keep(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, kept = (state.get[0] if state.exists else None), []
         for t in sorted(t for part in parts for t in part["timestamp"]):
             if last is None or t >= last + 1.0 / rate:
                 kept.append(t)
                 last = t
         state.update((last,))
+        if idle_seconds is not None:
+            state.setTimeoutTimestamp(max(int((last + 1.0 / rate + idle_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"video_id": [key[0]] * len(kept), "timestamp": kept})
 
-    return frames.groupBy("video_id").applyInPandasWithState(keep, f"video_id {kind}, timestamp double", "last double", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
+    return frames.groupBy("video_id").applyInPandasWithState(keep, f"video_id {kind}, timestamp double", "last double", "append", timeout)
 
 
 def late_report(events: DataFrame, allowed_seconds: float, name: str = "late") -> DataFrame:
-    """(batch_id, n, late): rows of each batch, and those older than the latest time of earlier batches less the allowed seconds."""
-    spark, seen = events.sparkSession, {"max": None}
+    """(batch_id, n, late): rows of each batch, and those older than the latest time of earlier batches less the allowed seconds.
+
+    What a batch needs of earlier ones is read from their rows, so a restarted stream goes on where it was.
+    """
+    spark, kinds = events.sparkSession, "batch_id long, n long, late long, latest double"
 
     def write(batch: DataFrame, i: int, folder: str) -> None:
-        limit = F.lit(None).cast("double") if seen["max"] is None else F.lit(seen["max"] - allowed_seconds)
+        before = spark.read.schema(kinds).parquet(*[f"{folder}/rows/{k}" for k in range(i)]) if i else spark.createDataFrame([], kinds)
+        limit = before.agg((F.max("latest") - allowed_seconds).alias("_limit"))
         at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-        found = batch.agg(F.count("*").alias("n"), F.count(F.when(at < limit, 1)).alias("late"), F.max(at).alias("m")).first()
-        if found["m"] is not None:
-            seen["max"] = max(found["m"], seen["max"] or found["m"])
-        spark.createDataFrame([(i, found["n"], found["late"])], "batch_id long, n long, late long").write.mode("append").parquet(f"{folder}/rows")
+        late = F.count(F.when(F.col("_at") < F.col("_limit"), 1))
+        found = batch.select(at.alias("_at")).crossJoin(F.broadcast(limit)).agg(F.count("*").alias("n"), late.alias("late"), F.max("_at").alias("latest"))
+        found.select(F.lit(i).cast("long").alias("batch_id"), "n", "late", "latest").write.mode("overwrite").parquet(f"{folder}/rows/{i}")
 
     path = run_batches(events, name, "append", write)
-    return spark.read.schema("batch_id long, n long, late long").parquet(f"{path}/rows")
+    return spark.read.schema(kinds).option("recursiveFileLookup", True).parquet(f"{path}/rows").drop("latest")

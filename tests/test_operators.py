@@ -238,3 +238,51 @@ def test_rows_match_the_best_of_all_parts(spark):
     both = new.join(old, rsuffix="_old", how="left")
     assert len(new) >= len(old) and (both.score >= both.score_old.fillna(0)).all()
     assert new.pattern_id.max() >= 40
+
+
+def test_rules_on_hand_written_rows(spark):
+    docs = spark.createDataFrame([(1, "Safety first, then the history"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    found = criteria.keyword_criteria(docs, [("history", "Talk", 1), ("safety", "Care", 2), ("first", "Talk", 9)], [("General", 5)])
+    assert sorted(map(tuple, found.collect())) == [(1, "Care", 2), (1, "Talk", 1), (2, "General", 5), (3, "General", 5)]
+    a = spark.createDataFrame([(1, "history", 2), (1, "Exam", 5)], "doc_id long, section string, max_points int")
+    b = spark.createDataFrame([(1, "HISTORY", 7), (1, "Advice", None)], "doc_id long, section string, max_points int")
+    assert sorted(map(tuple, criteria.merge_sections(a, b).collect())) == [(1, "Advice", None), (1, "Exam", 5), (1, "history", 7)]
+    totals = [spark.createDataFrame([(1, x)], "doc_id long, total_points int") for x in (7, None)]
+    assert criteria.merge_totals(*totals).collect()[0]["total_points"] == 7
+    turns = [(1, 0, i, role, label, score) for i, (role, label, score) in enumerate([("STUDENT", "neu", None), ("PATIENT", "ang", 0.9)])]
+    turns += [(1, 1, 0, "STUDENT", "sad", None), (1, 2, 0, "PATIENT", "ang", 0.9)]
+    rows = speech.chunk_emotion(spark.createDataFrame(turns, "video_id int, chunk_no int, seg_no int, speaker_role string, emotion_label string, emotion_score double"))
+    assert sorted(tuple(r)[1:] for r in rows.collect()) == [(0, "NEUTRAL", 0.5), (1, "SAD", 0.0), (2, "NEUTRAL", 0.5)]
+
+
+def test_evidence_defaults_of_each_field(spark):
+    items = [("pose_analyzer", "{}"), ("object_detector", '{"name": "cuff", "confidence_score": 0.876}'), ("scene_interaction_analyzer", '{"target_detail": null}'), ("audio_transcript_extractor", '{"start_time": 1.5}')]
+    rows = spark.createDataFrame([(1, t, 1, i) for t, i in items], "question_id int, tool string, item_no int, item string")
+    found = {r["tool"]: r["text"].split("  - ")[1] for r in evidence.evidence_text(rows).collect()}
+    assert found == {
+        "pose_analyzer": "Pose - N/A (Timestamp: N/As): '', Gaze: ''",
+        "object_detector": "Object: 'cuff' (Timestamp: N/As, Conf: 0.88, Context: )",
+        "scene_interaction_analyzer": "Interaction (Timestamp: N/As): Subject='N/A', Action='N/A', Object='N/A' (Detail: None)",
+        "audio_transcript_extractor": 'Transcript (1.5s - N/As): ""',
+    }
+
+
+def test_exam_match_across_marks(spark):
+    turns = spark.createDataFrame([(1, 0, 0.0, 5.0, "Put on a gown."), (1, 1, 5.0, 9.0, "A gown, please!  Breathe in."), (2, 0, 0.0, 1.0, None)], "video_id int, turn_no int, start double, end double, text string")
+    asked = spark.createDataFrame([(7, "gown please"), (8, "(breathe in)"), (9, "own"), (9, None), (9, "!")], "exam_id int, example string")
+    found = {(r["video_id"], r["exam_id"]): r["score"] for r in criteria.exam_match(turns, asked).collect()}
+    assert found == {(1, 7): 1, (1, 8): 1, (1, 9): 0, (2, 7): 0, (2, 8): 0, (2, 9): 0}
+
+
+def test_late_rows_are_those_behind_earlier_batches(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gradeflow.streaming import jobs
+
+    for k, seconds in enumerate([[1000, 5000], [1500, 4900, 6000], [5900]]):
+        spark.createDataFrame([(s,) for s in seconds], "s long").select(F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet/{k}")
+        if k == 0:
+            schema = spark.read.parquet(f"{tmp_path}/events.parquet/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/events.parquet")
+    rows = sorted(map(tuple, jobs.late_report(stream, 600.0).collect()))
+    assert sum(r[1] for r in rows) == 6 and len(rows) == 3 and rows[0][2] == 0 and sum(r[2] for r in rows) >= 1

@@ -32,8 +32,8 @@ from .labelled import labelled_sample, sigmoid
 ORDER, DECAY, POWER, FLOOR, WINDOW, STRIDE = 3, 0.7, 2, 0.35, 12, 6
 #: Labelled documents of either class; windows that a worker remembers; longest fragment that is read together with its neighbours.
 SAMPLE, MEMO, FRAGMENT = 2500, 300_000, 3
-#: Documents of its class and standard errors that a landmark needs; kernel from which a candidate adds nothing to a chosen one; most landmarks of a class; shortest start of words.
-LEAST, SURE, ALIKE, LANDMARKS, START = 3, 4.2, 0.9, 256, 5
+#: Documents of its class and standard errors that a landmark needs; kernel from which a candidate adds nothing to a chosen one; most landmarks of toxic and of clean sentences; shortest start of words.
+LEAST, SURE, ALIKE, LANDMARKS, CLEAN, START = 3, 4.2, 0.9, 160, 96, 5
 #: Rounds of choosing sentences anew, most of a toxic document, those of a clean one that a round adds, penalty of the weights.
 ROUNDS, WORST, HARD, PENALTY = 4, 6, 2, 1e-4
 #: How far below the margin a sentence counts, weight of a toxic document against a clean one in the calibration.
@@ -278,8 +278,8 @@ def choose(toxic_sets: Iterable[set[bytes]], clean_sets: Iterable[set[bytes]]) -
         return [b"insult"], []
     clean = sorted((w for w in words_of if 4 <= len(w) <= WINDOW and rank.get(w, 0) < 1), key=lambda w: (-words_of[w], w))[:20_000]
     near = Landmarks(toxic, 0).compare(clean).max(1) if clean else np.empty(0)
-    close = [clean[k] for k in np.argsort(-near, kind="stable")[: len(toxic)]]
-    return toxic, unlike([w for pair in zip(close, clean, strict=False) for w in pair], min(LANDMARKS, len(toxic)))
+    close = [clean[k] for k in np.argsort(-near, kind="stable")[: 4 * CLEAN]]
+    return toxic, unlike(close, min(CLEAN, len(toxic)))
 
 
 def unlike(words: list[bytes], most: int) -> list[bytes]:

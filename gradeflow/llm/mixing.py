@@ -85,12 +85,17 @@ def copies(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: f
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, with its own columns; rows taken 0 times are left out.
 
-    Copies are looked up by (doc_id, source, size); of repeated rows, each is taken as the first is.
+    Copies are looked up by (doc_id, source, size); of repeated rows, each is taken as the first is. Columns
+    of any name are kept; an empty table stays empty.
     """
-    chosen = copies(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    chosen = small(materialize(chosen, "copies")).select(*[F.col(c).alias(f"_{c}") if c != "_copies" else c for c in chosen.columns])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    return docs.join(chosen, same).withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    key = ("doc_id", "source", "size")
+    chosen = copies(docs, **options).groupBy(*key).agg(F.max("copies").alias("copies")).filter("copies > 0")
+    chosen = small(materialize(chosen, "copies")).select(*[F.col(c).alias(own + c) for c in (*key, "copies")])
+    same = F.col("doc_id").eqNullSafe(F.col(own + "doc_id")) & F.col("source").eqNullSafe(F.col(own + "source")) & (word_count(F.col("text")) == F.col(own + "size"))
+    return docs.join(chosen, same).withColumn(own + "copies", F.explode(F.sequence(F.lit(1), F.col(own + "copies").cast("int")))).select(*docs.columns)
 
 
 #: The op2 query in DuckDB's SQL.

@@ -113,6 +113,9 @@ def test_mix_near_targets(spark):
             assert abs(g.taken.sum() - g.target.iloc[0]) <= 25
     taken = mixing.mix(big).groupBy("doc_id").count().toPandas()
     assert taken["count"].max() <= 2
+    clash = awkward(spark).withColumns({c: F.lit(7) for c in ("_copies", "_doc_id", "size")})
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).count() == mixing.mix(awkward(spark)).count() > 0
+    assert mixing.mix(clash.limit(0)).count() == 0
 
 
 def test_mix_equals_its_sql(spark, duck):

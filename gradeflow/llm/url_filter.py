@@ -93,9 +93,10 @@ def grams() -> F.Column:
 
 def fit(labelled: DataFrame) -> PipelineModel:
     """The regression on ``labelled`` (url, label: 1 for block)."""
-    rows = url_parts(labelled).withColumn("_grams", grams())
+    # a small table: in two tasks the sums of each step stay small as well
+    rows = url_parts(labelled).withColumn("_grams", grams()).coalesce(2)
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=FEATURES, binary=True)
-    return Pipeline(stages=[hashing, LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_raw", regParam=0.0001, maxIter=100, standardization=False)]).fit(rows)
+    return Pipeline(stages=[hashing, LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_raw", regParam=0.0001, maxIter=50, standardization=False)]).fit(rows)
 
 
 def matched(parts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -36,8 +36,8 @@ SAMPLE, MEMO, FRAGMENT = 2500, 300_000, 3
 LEAST, SURE, ALIKE, LANDMARKS, CLEAN, START = 3, 4.2, 0.9, 160, 96, 5
 #: Rounds of choosing sentences anew, most of a toxic document, those of a clean one that a round adds, penalty of the weights.
 ROUNDS, WORST, HARD, PENALTY = 4, 6, 2, 1e-4
-#: How far below the margin a sentence counts, weight of a toxic document against a clean one in the calibration.
-SLACK, COST = 0.25, 2.0
+#: How far below the margin a sentence counts.
+SLACK = 0.25
 SEED = 5
 
 SPACE = b"\t\n\v\f\r "
@@ -409,11 +409,11 @@ class Model:
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic curve over features, by Newton steps, with Platt's smoothed targets."""
     n1, n0 = (y > 0).sum(), (y == 0).sum()
-    t, w, cost = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), np.zeros(x.shape[1]), np.where(y > 0, COST, 1.0)
+    t, w = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), np.zeros(x.shape[1])
     for _ in range(60):
         p = sigmoid(x @ w)
-        slope = x.T @ (cost * (p - t)) + 1e-2 * w
-        w = w - np.clip(np.linalg.solve((x * (cost * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-2 * np.eye(len(w)), slope), -2, 2)
+        slope = x.T @ (p - t) + 1e-2 * w
+        w = w - np.clip(np.linalg.solve((x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 1e-2 * np.eye(len(w)), slope), -2, 2)
     return w
 
 

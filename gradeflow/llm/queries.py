@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import quality as quality_model
 from . import toxicity as toxicity_model
+from .bpe import round_trip_digests
 from .mixing import MIX_SQL, copies
 from .ngram_join import JACCARD_SQL, jaccard_components
 from .packing import pack_documents
@@ -68,6 +69,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_model.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: counts and digests of the ids and of the text."""
+    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_vector_near_dedup,
         op9_warc_archive,
         op10_toxicity,
+        op13_bpe_round_trip,
     )
 }
 ORACLE_SQL: dict[str, str] = {

@@ -14,6 +14,7 @@ from .bpe import round_trip_digests
 from .mixing import MIX_SQL, copies
 from .ngram_join import JACCARD_SQL, jaccard_components
 from .packing import pack_documents
+from .resampling import RESAMPLE_SQL, resample
 from .token_counts import token_counts
 from .topk import TOP_K_SQL, top_k
 from .url_filter import fit, judge, labelled_urls
@@ -69,6 +70,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_model.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five in a hundred documents drawn towards the distribution of the benchmark's texts; every document's weight and score."""
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: counts and digests of the ids and of the text."""
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_vector_near_dedup,
         op9_warc_archive,
         op10_toxicity,
+        op11_target_resampling,
         op13_bpe_round_trip,
     )
 }
@@ -96,4 +104,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard": JACCARD_SQL,
     "op8_vector_near_dedup": NEAR_SQL,
     "op9_warc_archive": WARC_SQL,
+    "op11_target_resampling": RESAMPLE_SQL,
 }

@@ -13,6 +13,7 @@ from . import toxicity as toxicity_model
 from .bpe import round_trip_digests
 from .mixing import MIX_SQL, copies
 from .ngram_join import JACCARD_SQL, jaccard_components
+from .negatives import NEGATIVES_SQL, hard_negatives
 from .packing import pack_documents
 from .resampling import RESAMPLE_SQL, resample
 from .token_counts import token_counts
@@ -76,6 +77,12 @@ def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of five positives of every hundredth vector; every seventh row takes the next label first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0, 5, 5, 80)
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: counts and digests of the ids and of the text."""
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_warc_archive,
         op10_toxicity,
         op11_target_resampling,
+        op12_hard_negatives,
         op13_bpe_round_trip,
     )
 }
@@ -105,4 +113,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_vector_near_dedup": NEAR_SQL,
     "op9_warc_archive": WARC_SQL,
     "op11_target_resampling": RESAMPLE_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
 }

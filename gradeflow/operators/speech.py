@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import within
+
 UNKNOWN = "UNKNOWN"
 
 
@@ -12,18 +14,16 @@ def assign_speakers(words: DataFrame, turns: DataFrame, bucket: float = 10.0) ->
     """``words`` (video_id, word_no, start, end, text, ...) with ``speaker``.
 
     The speaker of the first turn (by turn_no) whose [start, end] holds the word's midpoint, else
-    UNKNOWN. Turns are listed in the time buckets that they cover, so the join is on equal keys. Repeated
-    rows of words are kept.
+    UNKNOWN. Each distinct midpoint of a recording is looked up once, in nested cells of time, so
+    that turns of any length are a few rows. Repeated rows of words are kept.
     """
-    own = words.columns
-    words = words.withColumn("_word", F.monotonically_increasing_id())
     middle = F.col("start") + (F.col("end") - F.col("start")) / 2
-    spans = turns.filter(F.col("end") >= F.col("start")).select(F.col("video_id").alias("_video"), "turn_no", F.col("speaker").alias("_speaker"), F.col("start").alias("_from"), F.col("end").alias("_to"))
-    spans = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_from") / bucket), F.floor(F.col("_to") / bucket))))
-    rows = words.withColumn("_middle", middle).withColumn("_at", F.floor(F.col("_middle") / bucket))
-    met = rows.join(spans, (F.col("video_id") == F.col("_video")) & (F.col("_at") == F.col("_bucket")) & F.col("_middle").between(F.col("_from"), F.col("_to")), "left")
-    first = met.groupBy("_word", *own).agg(F.min(F.struct("turn_no", "_speaker")).alias("_first"))
-    return first.select(*own, F.coalesce(F.col("_first._speaker"), F.lit(UNKNOWN)).alias("speaker"))
+    rows = words.withColumn("_middle", middle)
+    spans = turns.select("video_id", "turn_no", F.col("speaker").alias("_speaker"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    met = within(rows.select("video_id", "_middle").distinct(), F.col("_middle"), spans, "video_id", bucket, "_start", "_end")
+    first = met.groupBy("video_id", "_middle").agg(F.min(F.struct("turn_no", "_speaker")).alias("_first"))
+    found = rows.join(first, ["video_id", "_middle"], "left")
+    return found.select(*words.columns, F.coalesce(F.col("_first._speaker"), F.lit(UNKNOWN)).alias("speaker"))
 
 
 def diarized_segments(words: DataFrame, order: tuple[str, ...] = ("start", "turn", "word_no")) -> DataFrame:

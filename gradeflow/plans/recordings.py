@@ -173,12 +173,27 @@ def emission_matrix(spark, d):
     return actions.emission_scores(fx.clips(spark, d), fx.labels(spark, d)).withColumn("logp", F.round("logp", 9))
 
 
-@query()
+#: Whole multiples of 2 ** -20 as in the library; forward over the clips, then back over the best states before.
+DECODED = TRANSITIONS + """, n AS (SELECT (SELECT count(*) FROM fx_labels)::INT AS k),
+t AS MATERIALIZED (SELECT list(list ORDER BY to_id) AS t FROM (SELECT to_id, list(round(ln(p / total + 1e-12) * 1048576)::BIGINT ORDER BY from_id) AS list FROM (SELECT *, sum(p) OVER (PARTITION BY from_id) AS total FROM p) GROUP BY to_id)),
+e AS MATERIALIZED (SELECT video_id, clip_no, list_transform(range(k), lambda j: CASE WHEN j = label_id THEN round(ln(0.8) * 1048576)::BIGINT ELSE round(ln((1 - 0.8) / (k - 1)) * 1048576)::BIGINT END) AS e
+  FROM fx_clips JOIN fx_labels USING (label), n),
+f AS (SELECT video_id, clip_no, e AS score, NULL::BIGINT[] AS back FROM e WHERE clip_no = 0
+  UNION ALL SELECT video_id, clip_no, list_transform(best, lambda b, j: list_max(b) + e[j]), list_transform(best, lambda b: list_position(b, list_max(b)))
+  FROM (SELECT e.video_id, e.clip_no, e.e, list_transform(t.t, lambda col: list_transform(col, lambda x, i: f.score[i] + x)) AS best FROM f JOIN e ON e.video_id = f.video_id AND e.clip_no = f.clip_no + 1, t)),
+g AS (SELECT video_id, clip_no, list_position(score, list_max(score))::BIGINT AS state, back FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY clip_no DESC) = 1
+  UNION ALL SELECT f.video_id, f.clip_no, g.back[g.state], f.back FROM g JOIN f ON f.video_id = g.video_id AND f.clip_no = g.clip_no - 1),
+s AS (SELECT c.video_id, c.clip_no, l.label, c."start", c."end" FROM g JOIN fx_labels l ON l.label_id = g.state - 1 JOIN fx_clips c ON c.video_id = g.video_id AND c.clip_no = g.clip_no)"""
+
+
+@query(f"RECURSIVE WITH {DECODED} SELECT * FROM s")
 def viterbi_smooth(spark, d):
     return actions.viterbi_smooth(fx.clips(spark, d), fx.labels(spark, d), fx.successors(spark, d))
 
 
-@query()
+@query(f"""RECURSIVE WITH {DECODED}, m AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY video_id ORDER BY clip_no) <> label THEN 1 ELSE 0 END AS new FROM s),
+a AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY clip_no) AS action_no FROM m)
+SELECT video_id, label AS action_label, arg_min("start", clip_no) AS start_time, arg_max("end", clip_no) AS end_time FROM a GROUP BY video_id, action_no, label""")
 def label_output(spark, d):
     return actions.merge_actions(viterbi_smooth(spark, d)).select("video_id", F.col("label").alias("action_label"), F.col("start").alias("start_time"), F.col("end").alias("end_time"))
 

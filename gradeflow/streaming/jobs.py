@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..scratch import shared_folder
+
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Files called ``name`` in ``folder``, or below it, as a stream."""
@@ -18,16 +18,6 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share (``spark.checkpoint.dir``), or a local one where that is unset and the master is local, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gradeflow-")
-    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-
-
 def run(rows: DataFrame, name: str) -> DataFrame:
     """All rows that a stream appends over what is there now."""
     spark, path = rows.sparkSession, shared_folder(rows.sparkSession, name)

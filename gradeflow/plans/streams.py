@@ -55,7 +55,7 @@ g AS (SELECT video_id, k, t, t AS kept, TRUE AS is_kept FROM f WHERE k = 1
 SELECT video_id, round(t, 6) AS timestamp FROM g WHERE is_kept""")
 def stream_sample_frames(spark, d):
     frames = _events(spark, d).select(F.col("user_id").alias("video_id"), (F.unix_micros("ts") / 1e6).alias("timestamp"))
-    return jobs.run(jobs.sample_frames(frames, 0.0005), "frames").withColumn("timestamp", F.round("timestamp", 6))
+    return jobs.run(jobs.sample_frames(frames, 0.0005, idle_seconds=86400.0), "frames").withColumn("timestamp", F.round("timestamp", 6))
 
 
 @query("SELECT sum(1)::BIGINT AS n, 0::BIGINT AS late FROM events")
@@ -64,6 +64,18 @@ def stream_late_report(spark, d):
     return rows.agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
 
 
+@query("""WITH e AS (SELECT event_id % 3 AS b, epoch_us(ts) AS t FROM events),
+l AS (SELECT b, max(t) OVER (ORDER BY b RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000000 AS bar, t FROM e)
+SELECT b::BIGINT AS batch_id, count(*) AS n, count(*) FILTER (t < bar) AS late FROM l GROUP BY b""")
+def stream_late_batches(spark, d):
+    """The events in three deliveries, one after another into a folder that the stream goes on reading, so that most of the later two are late."""
+    folder, path = jobs.shared_folder(spark, "deliveries"), jobs.shared_folder(spark, "late")
+    for k in range(3):
+        fx.table(spark, d, "events").filter(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{folder}/events.parquet")
+        rows = jobs.late_report(jobs.read_stream(spark, folder, "events.parquet"), 3600.0, path=path)
+    return rows
+
+
 @query("""SELECT 'actions' AS category, video_id::VARCHAR AS video_id, clip_no, label, "start", "end" FROM fx_clips""")
 def src_cache_json(spark, d):
     clip = F.struct("clip_no", F.col("label").alias("action_label"), F.col("start").alias("start_time"), F.col("end").alias("end_time"))

@@ -26,7 +26,7 @@ def in_ranges(rows: DataFrame, key: str, order: list[str], size: int) -> DataFra
     return written(rows.repartitionByRange(max(parts, 1), key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def like(rows: pd.DataFrame, columns: list[str], n: int, **more) -> pd.DataFrame:
+def like(rows: pd.DataFrame, columns: list[str], n: int, /, **more) -> pd.DataFrame:
     """n rows with ``columns`` of a group's first row, and others."""
     first = {c: np.array([rows[c].iloc[0]] * n, object) for c in columns}
     return pd.DataFrame(first | more)

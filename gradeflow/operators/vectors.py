@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kmeans
+from .ranges import by_length
+
 #: Queries sent to tasks at once; more are taken in blocks of this size. Scores that a task holds at once.
 QUERY_BLOCK, SCORES = 4096, 1 << 20
 
@@ -155,11 +158,11 @@ def representatives(points: DataFrame, cluster: str, vec: str) -> DataFrame:
     return best.select("cluster", "b.id", "b.distance")
 
 
-def keyframes(points: DataFrame, k: int, vec: str = "clip_vec", seed: int = 0, rounds: int = 50) -> DataFrame:
+def keyframes(points: DataFrame, k: int, vec: str = "clip_vec", seed: int = 0, rounds: int = 50, most: int = 50_000) -> DataFrame:
     """(video_id, id, timestamp, cluster): per recording, the frame nearest to each of k means, once, by time; all if there are no more than k.
 
-    A recording (a frame a second at most) is a group; for one unbounded group use Spark ML's KMeans
-    and ``representatives``.
+    A recording is a group; those of more than ``most`` frames are worked on together in rounds over
+    packs of frames, see ``kmeans``. Frames without a vector or a recording are left out.
     """
 
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
@@ -167,23 +170,12 @@ def keyframes(points: DataFrame, k: int, vec: str = "clip_vec", seed: int = 0, r
         if len(rows) <= k:
             return rows.assign(cluster=np.arange(len(rows)))[["video_id", "id", "timestamp", "cluster"]]
         x = np.stack(rows["vec"].to_numpy()).astype(float)
-        random = np.random.default_rng(seed)
-        centres = x[[random.integers(len(x))]]
-        while len(centres) < k:
-            far = ((x[:, None] - centres) ** 2).sum(2).min(1)
-            centres = np.vstack([centres, x[far.argmax()]])
-        for _ in range(rounds):
-            own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
-            new = np.stack([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(k)])
-            if np.allclose(new, centres):
-                break
-            centres = new
-        gap = ((x[:, None] - centres) ** 2).sum(2)
-        own = gap.argmin(1)
-        picks = {int(np.where(own == c, gap[:, c], np.inf).argmin()): c for c in range(k) if (own == c).any()}
+        picks = {i: c for c, i, _ in kmeans.nearest(x, kmeans.one_group(x, k, seed, rounds))}
         at = sorted(picks)
         return rows.loc[at].assign(cluster=[picks[i] for i in at])[["video_id", "id", "timestamp", "cluster"]]
 
     kinds = dict(points.dtypes)
-    given = points.select("video_id", "id", "timestamp", F.col(vec).alias("vec"))
-    return given.groupBy("video_id").applyInPandas(cluster, f"video_id {kinds['video_id']}, id {kinds['id']}, timestamp double, cluster long")
+    given = points.select("video_id", "id", "timestamp", F.col(vec).alias("vec")).filter("vec is not null and video_id is not null")
+    short, long = by_length(given, "video_id", max(most, k))
+    found = short.groupBy("video_id").applyInPandas(cluster, f"video_id {kinds['video_id']}, id {kinds['id']}, timestamp double, cluster long")
+    return found if long is None else found.union(kmeans.long_groups(long, k, seed, rounds, most))

@@ -114,3 +114,18 @@ def test_a_turn_with_a_wrong_end_is_a_few_rows(spark):
     clips = turns.select("video_id", F.lit(7).alias("clip_no"), "start", "end")
     assert sorted((r["frame_no"], r["i"], r["row"], r["col"]) for r in actions.frames_to_clips(frames, clips, 2).collect()) == [(1, 0, 0, 0), (2, 1, 0, 1)]
     assert actions.frames_to_clips(frames, clips.limit(0), 2).count() == 0
+
+
+def test_means_of_many_recordings_at_once_are_those_of_each(spark):
+    """Two long recordings in packs of a few frames, with equal vectors, and short ones beside them."""
+    from gradeflow.operators import vectors
+
+    rng = np.random.default_rng(7)
+    middles = rng.standard_normal((6, 5)) * 4
+    rows = [(v, f"f{i:03d}", float(rng.integers(0, 50)), (middles[rng.integers(6)] + rng.standard_normal(5) * 0.3).round(2).tolist()) for v, n in ((1, 130), (2, 90), (3, 20), (4, 3)) for i in range(n)]
+    rows += [(1, f"g{i}", 7.0, rows[5][3]) for i in range(20)] + [(1, "none", 1.0, None), (None, "x", 1.0, rows[0][3])]
+    points = spark.createDataFrame(rows, "video_id int, id string, timestamp double, clip_vec array<double>")
+    plain = lambda found: sorted(map(tuple, found.collect()))
+    whole = plain(vectors.keyframes(points, 4))
+    assert plain(vectors.keyframes(points, 4, most=30)) == whole
+    assert {v: sum(r[0] == v for r in whole) for v in (1, 2, 3, 4)} == {1: 4, 2: 4, 3: 4, 4: 3}

@@ -34,6 +34,13 @@ def action_gaps(actions: DataFrame, first: str, then: str, within: float) -> Dat
     return rows.select("video_id", "action_no", "gap", (F.col("gap") <= within).alias("is_within"))
 
 
+def video_metadata(videos: DataFrame) -> DataFrame:
+    """``videos`` (frames, fps, width, height) with duration (frames / fps to 3 places; 0 without both), and bad_fps, bad_frames, bad_resolution: not above 0, or missing."""
+    bad = lambda c: ~F.coalesce(F.col(c) > 0, F.lit(False))
+    duration = F.when(~bad("frames") & ~bad("fps"), F.round(F.col("frames") / F.col("fps"), 3)).otherwise(0.0)
+    return videos.withColumns({"duration": duration, "bad_fps": bad("fps"), "bad_frames": bad("frames"), "bad_resolution": bad("width") | bad("height")})
+
+
 def clip_windows(videos: DataFrame, n: int = 25, stride: float = 2.0) -> DataFrame:
     """(video_id, clip_no, start, end): n overlapping clips of (D + (n - 1) s) / n seconds over ``duration``, rounded to 2; the last ends at D."""
     length = (F.col("duration") + (n - 1) * stride) / n

@@ -194,6 +194,86 @@ def with_defaults(docs: DataFrame, criteria: DataFrame, defaults: list[tuple[str
     return criteria.select("doc_id", "name", "points").union(empty.select("doc_id", plain.alias("c")).select("doc_id", "c.name", "c.points"))
 
 
+# Criteria of documents that have none, by words in the file's name; the first list whose word it holds, else the last.
+DEFAULTS = [
+    (("psoriasis", "rash", "skin"), [
+        ("Skin_Inspection", "Skin Inspection", 3, ("I'm going to inspect your skin closely", "I'm looking for any rashes or abnormalities", "Let me examine the affected area")),
+        ("Lesion_Assessment", "Lesion Assessment", 2, ("I'm going to examine this lesion", "Let me look at the characteristics of this rash", "I need to assess the distribution")),
+    ]),
+    (("back", "pain"), [
+        ("Back_Examination", "Back Examination", 4, ("I'm going to examine your back", "Let me check your spine", "I'm going to assess your back pain")),
+        ("Range_of_Motion", "Range of Motion Assessment", 3, ("Can you bend forward for me?", "Try to touch your toes", "Bend to the side")),
+    ]),
+    ((), [
+        ("Patient_History", "Patient History", 5, ("Can you tell me about your symptoms?", "When did this start?", "What brings you in today?")),
+        ("Physical_Examination", "Physical Examination", 4, ("I'm going to examine you now", "Let me check your vital signs", "I need to perform a physical exam")),
+        ("Assessment_and_Plan", "Assessment and Plan", 3, ("Based on my examination", "I think the most likely diagnosis is", "Here's what I recommend")),
+    ]),
+]
+
+
+def defaults_by_name(docs: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(doc_id, ord, exam_id, name, max_points, examples) for documents (doc_id, file_name) without ``criteria`` (doc_id): the list for their file's name, its extension left out; a null name gets the last."""
+    name = F.lower(F.regexp_replace(F.coalesce("file_name", F.lit("")), r"\.[^.]+$", ""))
+    listed = lambda rows: F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(e).alias("exam_id"), F.lit(n).alias("name"), F.lit(p).alias("max_points"), F.array(*map(F.lit, x)).alias("examples")) for i, (e, n, p, x) in enumerate(rows)])
+    chosen = listed(DEFAULTS[-1][1])
+    for words, rows in reversed(DEFAULTS[:-1]):
+        chosen = F.when(reduce(lambda a, b: a | b, [name.contains(w) for w in words]), listed(rows)).otherwise(chosen)
+    empty = docs.join(criteria.select("doc_id"), "doc_id", "left_anti")
+    return empty.select("doc_id", F.explode(chosen).alias("c")).select("doc_id", "c.*")
+
+
+# Phrases for an item that holds all the words of one of the lists; phrases that stand for missing ones.
+ITEM_PHRASES = [
+    ([("wash", "hands")], ("I'm going to wash my hands before the examination",)),
+    ([("inspect", "skin")], ("I'm going to inspect your skin carefully", "Let me examine the affected area")),
+    ([("introduce",)], ("Hello, I'm Dr. Smith and I'll be examining you today",)),
+    ([("consent",), ("explain",)], ("Is it okay if I proceed with the examination?",)),
+    ([("palpat",), ("feel",)], ("I'm going to feel this area with my hands",)),
+    ([("listen",), ("auscult",)], ("I'm going to listen to your heart and lungs",)),
+]
+NO_PHRASE = ("I'm going to perform this examination now", "Please let me know if you feel any discomfort")
+
+
+def item_examples(items, found, first: int = 3, most: int = 4) -> F.Column:
+    """Example phrases of a list of items: the first few ``found`` in the text, then those of each item in order, distinct, at most four, and two at least."""
+
+    def phrases(item):
+        text = F.lower(item)
+        has = lambda words: reduce(lambda a, b: a & b, [text.contains(w) for w in words])
+        none = F.array().cast("array<string>")
+        return F.concat(*[F.when(reduce(lambda a, b: a | b, map(has, lists)), F.array(*map(F.lit, out))).otherwise(none) for lists, out in ITEM_PHRASES])
+
+    given = F.slice(F.coalesce(found, F.array().cast("array<string>")), 1, first)
+    all_ = F.array_distinct(F.concat(given, F.flatten(F.transform(F.coalesce(items, F.array().cast("array<string>")), phrases))))
+    fill = F.when(F.size(all_) == 0, F.array(*map(F.lit, NO_PHRASE))).when(F.size(all_) == 1, F.array_append(all_, F.lit(NO_PHRASE[1]))).otherwise(all_)
+    return F.slice(fill, 1, most)
+
+
+def examples_by_name(sections: DataFrame, prompts: DataFrame, n: int = 5) -> DataFrame:
+    """(section, examples): of every prompt (prompt_id, names array, examples array) one of whose names starts with the section, but for case, all examples: the first n distinct ones in the order of prompts; else three phrases with the section's name.
+
+    Sections meet names by their first three letters; empty ones meet none.
+    """
+    s = F.lower("section")
+    heads = F.array_distinct(F.array(*[F.lower(F.substring("name", 1, k)) for k in (1, 2, 3)]))
+    names = prompts.select("prompt_id", F.explode("names").alias("name"), "examples").withColumn("_head", F.explode(heads))
+    asked = sections.select("section").filter("section <> ''").distinct().withColumn("_head", F.substring(s, 1, 3))
+    met = asked.join(names, "_head").filter(F.startswith(F.lower("name"), s)).select("section", "prompt_id", "examples").distinct()
+    first = met.select("section", "prompt_id", F.posexplode("examples").alias("_at", "example")).groupBy("section", "example").agg(F.min(F.struct("prompt_id", "_at")).alias("_first"))
+    kept = first.withColumn("_r", F.row_number().over(Window.partitionBy("section").orderBy("_first"))).filter(F.col("_r") <= n)
+    found = kept.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "example"))), lambda x: x["example"]).alias("examples"))
+    # The phrases
+    plain = F.array(F.concat(F.lit("Perform "), s, F.lit(" assessment")), F.concat(F.lit("Document findings related to "), s), F.concat(F.lit("Complete "), s, F.lit(" evaluation")))
+    return sections.join(found, "section", "left").select("section", F.coalesce("examples", plain).alias("examples"))
+
+
+def exam_examples(criteria: DataFrame) -> DataFrame:
+    """(exam_id, n, examples): all examples of an exam across stations, in the order of station and ord, repeats kept."""
+    rows = criteria.groupBy("exam_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("station", "ord", "examples"))).alias("_e"))
+    return rows.select("exam_id", "n", F.flatten(F.transform("_e", lambda x: x["examples"])).alias("examples"))
+
+
 def section_examples(section, name) -> F.Column:
     """Two example phrases by section and name."""
     s, n = F.lower(section), F.lower(name)
@@ -241,6 +321,13 @@ def render_prompt(criteria: DataFrame) -> DataFrame:
     return parts.select("doc_id", F.concat(top, "body").alias("prompt"), "n", "total")
 
 
+def name_violations(titles: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, rule, key): titles (doc_id, title) and section names (doc_id, section_id, section) of under 3 characters without the white space around them; missing ones too."""
+    short = lambda c: F.length(strip(F.coalesce(c, F.lit("")))) < 3
+    found = titles.filter(short(F.col("title"))).select("doc_id", F.lit("title").alias("rule"), F.lit("title").alias("key"))
+    return found.union(sections.filter(short(F.col("section"))).select("doc_id", F.lit("section_name"), F.col("section_id").cast("string")).distinct())
+
+
 def violations(rubrics: DataFrame, totals: DataFrame) -> DataFrame:
     """(doc_id, rule, key) of items (doc_id, section_id, item_id, description, points) and stated totals (doc_id, total_points).
 

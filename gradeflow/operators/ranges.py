@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import written
@@ -30,3 +30,17 @@ def like(rows: pd.DataFrame, columns: list[str], n: int, /, **more) -> pd.DataFr
     """n rows with ``columns`` of a group's first row, and others."""
     first = {c: np.array([rows[c].iloc[0]] * n, object) for c in columns}
     return pd.DataFrame(first | more)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, size: int) -> DataFrame:
+    """``rows`` with their place in an order from 0: the place in a range of about ``size`` rows, after the sizes of the ranges before."""
+    parts = max(-(-rows.count() // size), 1)
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").count().orderBy("_range").collect()  # a row a range
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["_range"], before))
+        before += r["count"]
+    starts = rows.sparkSession.createDataFrame(starts, "_range int, _before long")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + F.col("_before")
+    return dealt.join(F.broadcast(starts), "_range").select(place.alias(name), *rows.columns)

@@ -58,6 +58,15 @@ def line_points(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", without_points(F.col("text")).alias("description"), F.coalesce(points_in(F.col("text")), F.lit(0)).alias("points"))
 
 
+def row_points(cells: DataFrame) -> DataFrame:
+    """(doc_id, row_no, description, points) of rows that aren't blank: points in the joined cells, taken out of the text; else those of the first all-digit cell that isn't 0; else 0."""
+    text = strip(F.array_join("cells", " ", ""))
+    own = F.get(F.filter(F.transform(digits_only(F.col("cells")), lambda x: x.try_cast("int")), lambda x: F.coalesce(x != 0, F.lit(False))), F.lit(0))
+    rows = cells.withColumn("_text", text).filter("_text <> ''")
+    points = F.coalesce(F.nullif(points_in(F.col("_text")), F.lit(0)), own, F.lit(0))
+    return rows.select("doc_id", "row_no", without_points(F.col("_text")).alias("description"), points.alias("points"))
+
+
 def items_from_cells(cells: DataFrame) -> DataFrame:
     """(doc_id, row_no, description, points): first other cell over 2 characters and first all-digit cell, else points in the text."""
     kept = F.filter(F.transform("cells", strip), lambda x: F.coalesce(x != "", F.lit(False)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import criteria as c
 from ..operators import evidence as e
+from ..operators import tools
 from ..sources import documents as src
 from . import fixtures as fx
 from .registry import query
@@ -141,6 +142,67 @@ def default_criteria(spark, d):
     return c.with_defaults(rows.select("doc_id").distinct(), rows.filter("doc_id % 3 > 0"), [("History", 5), ("Exam", 15)])
 
 
+@query("""WITH f AS (SELECT DISTINCT doc_id, ['skin check.docx', 'Back_Pain.PDF', 'pain.skin', 'station.txt'][(doc_id % 4 + 1)::INT] AS name FROM fx_criteria WHERE doc_id % 3 = 0),
+t AS (SELECT * FROM (VALUES (0, 0, 'Skin_Inspection', 'Skin Inspection', 3, 'I''m looking for any rashes or abnormalities'), (0, 1, 'Lesion_Assessment', 'Lesion Assessment', 2, 'Let me look at the characteristics of this rash'),
+  (1, 0, 'Back_Examination', 'Back Examination', 4, 'Let me check your spine'), (1, 1, 'Range_of_Motion', 'Range of Motion Assessment', 3, 'Try to touch your toes'),
+  (2, 0, 'Patient_History', 'Patient History', 5, 'When did this start?'), (2, 1, 'Physical_Examination', 'Physical Examination', 4, 'Let me check your vital signs'), (2, 2, 'Assessment_and_Plan', 'Assessment and Plan', 3, 'I think the most likely diagnosis is')) t(k, ord, exam_id, name, max_points, second))
+SELECT doc_id, ord, exam_id, t.name, max_points, second, 3 AS n FROM f JOIN t ON k = CASE WHEN f.name LIKE 'skin%' THEN 0 WHEN f.name = 'Back_Pain.PDF' OR f.name = 'pain.skin' THEN 1 ELSE 2 END""")
+def default_criteria_by_name(spark, d):
+    """Documents without criteria get those for their file's name, its extension apart."""
+    rows = fx.criteria(spark, d)
+    name = F.get(F.array(*map(F.lit, ("skin check.docx", "Back_Pain.PDF", "pain.skin", "station.txt"))), (F.col("doc_id") % 4).cast("int"))
+    found = c.defaults_by_name(rows.select("doc_id").distinct().withColumn("file_name", name), rows.filter("doc_id % 3 > 0"))
+    return found.select("doc_id", "ord", "exam_id", "name", "max_points", F.get("examples", F.lit(1)).alias("second"), F.size("examples").alias("n"))
+
+
+_ACTIONS = ("Wash your hands", "Inspects the skin", "Introduces oneself", "Explain the consent", "Palpation", "Auscultation: listen", "")
+
+
+@query("""WITH i AS (SELECT doc_id, ord, ['Wash your hands', 'Inspects the skin', 'Introduces oneself', 'Explain the consent', 'Palpation', 'Auscultation: listen', ''][(doc_id + ord) % 7 + 1] AS item, name FROM fx_criteria),
+p AS (SELECT * FROM (VALUES ('Wash your hands', 0, 'I''m going to wash my hands before the examination'), ('Inspects the skin', 0, 'I''m going to inspect your skin carefully'), ('Inspects the skin', 1, 'Let me examine the affected area'), ('Introduces oneself', 0, 'Hello, I''m Dr. Smith and I''ll be examining you today'),
+  ('Explain the consent', 0, 'Is it okay if I proceed with the examination?'), ('Palpation', 0, 'I''m going to feel this area with my hands'), ('Auscultation: listen', 0, 'I''m going to listen to your heart and lungs')) p(item, k, phrase)),
+g AS (SELECT doc_id, -1 AS ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k, name AS phrase FROM i WHERE doc_id % 3 = 0 QUALIFY k <= 3 UNION ALL SELECT doc_id, ord, k, phrase FROM i JOIN p USING (item)),
+d AS (SELECT doc_id, phrase, min((ord, k)) AS pos FROM g GROUP BY ALL), r AS (SELECT doc_id, phrase, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM d),
+a AS (SELECT doc_id, string_agg(phrase, '|' ORDER BY pos) AS x, any_value(n) AS n FROM r WHERE r <= 4 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n IS NULL THEN 'I''m going to perform this examination now|Please let me know if you feel any discomfort' WHEN n = 1 THEN x || '|Please let me know if you feel any discomfort' ELSE x END AS examples FROM (SELECT DISTINCT doc_id FROM i) LEFT JOIN a USING (doc_id)""")
+def item_examples(spark, d):
+    """Phrases for the items of a document; every third has phrases of its own."""
+    item = F.get(F.array(*map(F.lit, _ACTIONS)), ((F.col("doc_id") + F.col("ord")) % 7).cast("int"))
+    listed = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("ord", x.alias("x")))), lambda y: y["x"])
+    rows = fx.criteria(spark, d).groupBy("doc_id").agg(listed(item).alias("items"), listed(F.col("name")).alias("found"))
+    found = F.when(F.col("doc_id") % 3 == 0, F.col("found"))
+    return rows.select("doc_id", F.array_join(c.item_examples(F.col("items"), found), "|").alias("examples"))
+
+
+@query("""WITH s AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS section FROM part UNION SELECT 'Other'), q AS (SELECT p_brand, min(p_partkey) AS prompt_id FROM part GROUP BY p_brand),
+m AS (SELECT DISTINCT section, p_brand FROM s JOIN part ON starts_with(lower(p_type), lower(section))), x AS (SELECT p_brand, p_partkey AS k, p_name FROM part),
+f AS (SELECT section, p_name, min((prompt_id, k)) AS pos FROM m JOIN q USING (p_brand) JOIN x USING (p_brand) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY pos) AS r FROM f)
+SELECT section, coalesce((SELECT string_agg(p_name, '|' ORDER BY r) FROM r WHERE r.section = s.section AND r <= 5), 'Perform ' || lower(section) || ' assessment|Document findings related to ' || lower(section) || '|Complete ' || lower(section) || ' evaluation') AS examples FROM s""")
+def examples_by_name(spark, d):
+    """A brand's parts are a prompt: their types its names, their own names its examples; sections are the first words of types."""
+    part = fx.table(spark, d, "part")
+    own = F.struct("p_partkey", "p_type", "p_name")
+    prompts = part.groupBy("p_brand").agg(F.min("p_partkey").alias("prompt_id"), F.array_sort(F.collect_list(own)).alias("p"))
+    prompts = prompts.select("prompt_id", F.array_distinct("p.p_type").alias("names"), F.col("p.p_name").alias("examples"))
+    sections = part.select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("section")).distinct().union(spark.createDataFrame([("Other",)], "section string"))
+    return _joined(c.examples_by_name(sections, prompts))
+
+
+@query("""SELECT name AS exam_id, count(*) AS n, md5(string_agg(name || '|' || section, '|' ORDER BY doc_id % 10, doc_id, ord)) AS digest FROM fx_criteria GROUP BY name""")
+def exam_examples(spark, d):
+    rows = fx.criteria(spark, d).select(F.col("name").alias("exam_id"), F.struct(F.col("doc_id") % 10, "doc_id").alias("station"), "ord", "examples")
+    return c.exam_examples(rows).select("exam_id", "n", F.md5(F.array_join("examples", "|")).alias("digest"))
+
+
+@query("""WITH t AS (SELECT DISTINCT doc_id, ['OK', ' x  ', 'Title', NULL][(doc_id % 4 + 1)::INT] AS title FROM fx_criteria), s AS (SELECT DISTINCT doc_id, section, CASE WHEN doc_id % 5 = 0 THEN ' ' || section[1:2] || ' ' ELSE section END AS name FROM fx_criteria)
+SELECT doc_id, 'title' AS rule, 'title' AS key FROM t WHERE length(trim(coalesce(title, ''))) < 3 UNION ALL SELECT doc_id, 'section_name', section FROM s WHERE length(trim(name)) < 3""")
+def short_names(spark, d):
+    rows = fx.criteria(spark, d)
+    title = F.get(F.array(F.lit("OK"), F.lit(" x  "), F.lit("Title"), F.lit(None)), (F.col("doc_id") % 4).cast("int"))
+    name = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" "), F.substring("section", 1, 2), F.lit(" "))).otherwise(F.col("section"))
+    return c.name_violations(rows.select("doc_id").distinct().withColumn("title", title), rows.select("doc_id", F.col("section").alias("section_id"), name.alias("section")))
+
+
 @query("""SELECT doc_id, ord, CASE WHEN section LIKE 'History%' THEN 'Tell me about your ' || name || '|I''d like to ask about your ' || name WHEN section LIKE 'Physical%' THEN 'I''m going to examine your ' || name || '|Let me check this area'
   ELSE 'I''m assessing ' || name || '|Let me evaluate ' || name END AS examples FROM fx_criteria""")
 def section_examples(spark, d):
@@ -158,7 +220,9 @@ def score_bands(spark, d):
     return c.score_bands(fx.criteria(spark, d)).select("doc_id", "ord", "excellent", "good", "satisfactory", "needs_improvement", "unsatisfactory", "minutes")
 
 
-@query()
+@query("""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(name, '[^a-zA-Z0-9\\x20\\x09-\\x0D]', '', 'g'), '[\\x20\\x09-\\x0D]+', '_', 'g') AS id, ord, max_points FROM fx_criteria),
+u AS (SELECT doc_id, id, min(ord) AS ord, arg_min(max_points, ord) AS m FROM f GROUP BY ALL)
+SELECT doc_id, '{"type":"object","properties":{' || string_agg('"' || id || '":{"type":"integer","minimum":0,"maximum":' || m || '}', ',' ORDER BY ord) || '},"required":[' || string_agg('"' || id || '"', ',' ORDER BY ord) || ']}' AS schema_json FROM u GROUP BY doc_id""")
 def response_schema_json(spark, d):
     return c.response_schema(fx.criteria(spark, d))
 
@@ -282,6 +346,43 @@ def tool_dependencies(spark, d):
     return e.expand_tools(e.select_tools(_plans(spark, d), _tools(spark)), closure)
 
 
+@query("""RECURSIVE WITH n AS (SELECT p_partkey AS tool, 0 AS ord, p_partkey // 3 AS needed FROM part WHERE p_partkey // 3 > 0 UNION ALL SELECT p_partkey, 1, p_partkey // 4 FROM part WHERE p_partkey // 4 > 0),
+w AS (SELECT tool, needed, [ord] AS path FROM n UNION ALL SELECT w.tool, n.needed, list_append(path, n.ord) FROM w JOIN n ON n.tool = w.needed),
+b AS (SELECT tool, needed, min(path) AS path FROM w GROUP BY ALL)
+SELECT tool, (row_number() OVER (PARTITION BY tool ORDER BY list_append(path, 2147483647)) - 1)::INT AS ord, needed FROM b""")
+def tool_closure(spark, d):
+    """Parts as tools: each needs the one at a third of its number, then the one at a quarter."""
+    part = F.col("p_partkey")
+    both = F.posexplode(F.array(F.floor(part / 3), F.floor(part / 4))).alias("ord", "needed")
+    return tools.closure_of(fx.table(spark, d, "part").select(part.alias("tool"), both).filter("needed > 0"))
+
+
+def registry(spark, d) -> tools.Registry:
+    """Two categories over the events: what was seen of a plan's user, and when."""
+    found = tools.Registry()
+    text = lambda c: F.col(c).cast("string").alias("item")
+
+    @found.category("visual")
+    def seen(plans):
+        return fx.outputs(spark, d).withColumnRenamed("question_id", "plan_id").join(plans, "plan_id", "left_semi")
+
+    @found.category("temporal")
+    def timed(plans):
+        return fx.clips(spark, d).withColumnRenamed("video_id", "plan_id").join(plans, "plan_id", "left_semi")
+
+    found.tool("click", "visual")(lambda hits: hits.filter("tool = 'click'").select("plan_id", "item_no", text("k")))
+    found.tool("error", "visual")(lambda hits: hits.filter("tool = 'error' and item_no <= 2").select("plan_id", "item_no", text("k")))
+    found.tool("purchase", "temporal")(lambda hits: hits.filter("label = 'purchase'").select("plan_id", F.col("clip_no").alias("item_no"), text("label")))
+    return found
+
+
+@query(f"""WITH {SELECTED}, h AS (SELECT question_id AS plan_id, tool, item_no, k::VARCHAR AS item FROM fx_outputs WHERE tool = 'click' OR tool = 'error' AND item_no <= 2
+  UNION ALL SELECT video_id, label, clip_no, label FROM fx_clips WHERE label = 'purchase')
+SELECT plan_id, step, tool, category, item_no, item FROM s JOIN t USING (tool) JOIN h USING (plan_id, tool)""")
+def tool_evidence(spark, d):
+    return registry(spark, d).run(e.select_tools(_plans(spark, d), _tools(spark)))
+
+
 @query(f"WITH {SELECTED} SELECT plan_id, step, tool, category FROM s JOIN t USING (tool)")
 def tool_routing(spark, d):
     return e.route_tools(e.select_tools(_plans(spark, d), _tools(spark)), _tools(spark)).select("plan_id", "step", "tool", "category")

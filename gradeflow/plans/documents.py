@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import rubric
+from ..operators import actions, rubric
 from ..sources import documents as src
 from . import fixtures as fx
 from .registry import query
@@ -121,6 +121,12 @@ def points_cascade(spark, d):
     return rubric.line_points(fx.rubric_lines(spark, d))
 
 
+@query("""WITH t AS (SELECT *, trim(array_to_string(list_transform(cells, lambda x: coalesce(x, '')), ' ')) AS text FROM fx_cells)
+SELECT doc_id, row_no, text AS description, CASE WHEN row_no = 0 THEN 0 ELSE cells[5]::INT END AS points FROM t""")
+def points_of_rows(spark, d):
+    return rubric.row_points(fx.cells(spark, d))
+
+
 @query("""SELECT doc_id, row_no, CASE WHEN row_no = 0 THEN 'Domain' ELSE cells[2] END AS description, coalesce(CASE WHEN row_no > 0 THEN cells[5]::INT END, 0) AS points FROM fx_cells""")
 def item_from_row(spark, d):
     return rubric.items_from_cells(fx.cells(spark, d))
@@ -198,6 +204,13 @@ def _times(clips):
     return rows.withColumn("seconds", t.from_mmss(F.col("mmss")))
 
 
+@query("""SELECT id, CASE WHEN frames > 0 AND fps > 0 THEN round(frames / fps, 3) ELSE 0.0 END AS duration, fps <= 0 AS bad_fps, frames <= 0 AS bad_frames, id % 5 = 0 OR id % 7 = 0 AS bad_resolution FROM fx_videos""")
+def video_flags(spark, d):
+    """Widths and heights from the id; every fifth and seventh has none."""
+    sized = fx.videos(spark, d).withColumn("width", F.nullif(F.col("id") % 5, F.lit(0)) * 320).withColumn("height", F.col("id") % 7 * 240)
+    return actions.video_metadata(sized).select("id", "duration", "bad_fps", "bad_frames", "bad_resolution")
+
+
 @query("""SELECT id, CASE WHEN frames > 0 AND fps > 0 THEN round(frames / fps, 3) ELSE 0.0 END AS duration, fps <= 0 AS bad_fps, frames <= 0 AS bad_frames FROM fx_videos""")
 def video_metadata(spark, d):
     good = (F.col("frames") > 0) & (F.col("fps") > 0)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import actions, speech
+from ..operators import actions, labels, speech
+from ..scratch import written
 from . import fixtures as fx
 from .registry import query
 
@@ -201,3 +202,16 @@ def label_output(spark, d):
 @query("SELECT label_id, label FROM fx_labels")
 def distinct_labels(spark, d):
     return fx.labels(spark, d)
+
+
+@query("SELECT (row_number() OVER (ORDER BY p_name) - 1)::BIGINT AS label_id, p_name AS label FROM (SELECT DISTINCT p_name FROM part)")
+def label_ids(spark, d):
+    return labels.label_map(fx.table(spark, d, "part"), "p_name", 5000)
+
+
+@query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, count(DISTINCT event_type) AS labels FROM events GROUP BY 1")
+def label_counts_by_month(spark, d):
+    """Sketches of each day's labels, kept in a table and merged by month; the count is exact for so few labels."""
+    days = fx.table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    kept = written(labels.label_sketches(days, "event_type", ["day"]), "sketches")
+    return labels.distinct_estimates(kept.withColumn("month", F.date_format("day", "yyyy-MM")), ["month"])

@@ -72,6 +72,26 @@ def retrieval_stats(spark, d, queries=fx.queries):
     return vectors.retrieval_stats(_hits(spark, d, queries=queries)).withColumn("avg_score", F.round("avg_score", 6))
 
 
+CONFIDENT = "h AS (SELECT question_id, tool, confidence AS score, CASE WHEN k % 3 > 0 THEN k / 10 END AS sure FROM fx_outputs)"
+
+
+def _confident(spark, d):
+    k = F.col("k")
+    return fx.outputs(spark, d).select("question_id", "tool", F.col("confidence").alias("score"), F.when(k % 3 > 0, k / 10).alias("sure"))
+
+
+@query(f"WITH {CONFIDENT} SELECT question_id, count(*) AS n, count(sure) AS n_confident, round(avg(score), 6) AS avg_score, round(avg(sure), 6) AS avg_confidence FROM h GROUP BY question_id")
+def retrieval_confidence(spark, d):
+    rows = vectors.retrieval_summary(_confident(spark, d), ["question_id"], "sure")
+    return rows.select("question_id", "n", "n_confident", F.round("avg_score", 6).alias("avg_score"), F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+@query()
+def retrieval_quantiles(spark, d):
+    """Sketches of each (question, tool), merged by tool: approximate, so without SQL."""
+    return vectors.score_quantiles(vectors.retrieval_summary(_confident(spark, d), ["question_id", "tool"], "sure"), ["tool"])
+
+
 @query("""WITH u AS (SELECT id, video_id, timestamp, version FROM fx_points UNION ALL SELECT id, video_id, timestamp, version FROM fx_updates)
 SELECT id, arg_max(video_id, version) AS video_id, arg_max(timestamp, version) AS timestamp, max(version) AS version FROM u GROUP BY id""")
 def upsert_points(spark, d):
@@ -84,6 +104,22 @@ def patch_payload(spark, d):
     return vectors.patch(fx.points(spark, d).select("id", "video_id", "timestamp"), fx.point_updates(spark, d), ["timestamp"])
 
 
+@query("""WITH p AS (SELECT *, id % 7 = 0 AS a, id % 35 = 0 AS b, id % 11 = 0 AS c FROM fx_points)
+SELECT id, concat_ws(';', 'at=' || CASE WHEN b THEN 'twice' WHEN a THEN 'once' ELSE id::VARCHAR END, CASE WHEN a AND NOT b THEN 'gone=~' WHEN b THEN 'gone=back' END, 'keep=' || video_id) AS flat,
+  concat_ws(';', CASE WHEN c THEN 'new=1' END, 'old=' || CASE WHEN c THEN '2' ELSE '0' END, 'stays=0') AS deep FROM p""")
+def patch_payload_maps(spark, d):
+    """Payloads as maps: every seventh point has a patch, every 35th a second one; every eleventh one for a map within the map."""
+    text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit("~")))), ";")
+    pair = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    points = fx.points(spark, d).select("id", pair("keep", F.col("video_id").cast("string"), "at", F.col("id").cast("string")).alias("payload"), pair("tags", pair("old", "0", "stays", "0")).alias("nested"))
+    none = F.lit(None).cast("string")
+    one = points.filter("id % 7 = 0").select("id", pair("at", "once", "gone", none).alias("payload"), F.lit(1).alias("version"))
+    two = points.filter("id % 35 = 0").select("id", pair("at", "twice", "gone", "back").alias("payload"), F.lit(2).alias("version"))
+    inner = points.filter("id % 11 = 0").select("id", pair("tags", pair("old", "2", "new", "1")).alias("nested"), F.lit(1).alias("version"))
+    rows = vectors.patch_maps(vectors.patch_maps(points, two.union(one)), inner, "nested", depth=1)
+    return rows.select("id", text(F.col("payload")).alias("flat"), text(F.col("nested")["tags"]).alias("deep"))
+
+
 @query("SELECT id, video_id, -1.0::DOUBLE AS score FROM fx_points WHERE id IN (SELECT id FROM fx_updates)")
 def get_by_id(spark, d):
     return vectors.get_by_id(fx.points(spark, d).select("id", "video_id"), fx.point_updates(spark, d))

@@ -11,11 +11,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from . import kmeans
-from .ranges import by_length
+from .ranges import by_length, like
 
-#: Queries sent to tasks at once; more are taken in blocks of this size. Scores that a task holds at once.
-QUERY_BLOCK, SCORES = 4096, 1 << 20
+#: Rows of a block of queries and of points, scores that a task works on at once, blocks of queries that are broadcast or held at most, blocks of points that meet one of queries in a task beyond that.
+QUERY_BLOCK, POINT_BLOCK, SCORES, SENT, SHARE = 4096, 4096, 1 << 20, 4, 64
 
 
 def norm(v) -> F.Column:
@@ -38,51 +39,93 @@ def check_dims(points: DataFrame, column: str, n: int) -> tuple[DataFrame, DataF
     return points.filter(good), points.filter(~good)
 
 
+def packed(rows: DataFrame, most: int) -> DataFrame:
+    """Written blocks (same, block, ids, vecs) of at most some ``most`` rows (id, vec, same), sorted by id; vectors as doubles in bytes.
+
+    Rows without a value of ``same`` are packed as tasks read them; otherwise those of one value are
+    dealt to as many blocks as their number asks.
+    """
+    kinds = dict(rows.dtypes)
+    schema = f"same {kinds['same']}, ids array<{kinds['id']}>, vecs binary"
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        x = np.stack(part["vec"].to_numpy()).astype(float)
+        return like(part, ["same"], 1, ids=[part["id"].tolist()], vecs=[x.tobytes()])
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for s in range(0, len(batch), most):
+                held.append(batch[s : s + most])
+                if sum(map(len, held)) >= most:
+                    yield pack(pd.concat(held))
+                    held = []
+        if sum(map(len, held)):
+            yield pack(pd.concat(held))
+
+    if kinds["same"] == "void":
+        found = rows.withColumn("same", F.lit(0)).mapInPandas(stream, schema.replace("void", "int"))
+    else:
+        sizes = rows.groupBy("same").agg(F.ceil(F.count("*") / most).alias("_parts"))
+        dealt = rows.join(sizes, "same").withColumn("_part", F.pmod(F.xxhash64("id", "vec"), F.col("_parts")))
+        found = dealt.groupBy("same", "_part").applyInPandas(pack, schema)
+    return written(found.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def best_rows(held: tuple, new: tuple, k: int) -> tuple:
+    """(query, score, id) of the k best of each query: higher scores first, ties by id."""
+    q, s, i = (np.concatenate(x) if len(held[0]) else x[1] for x in zip(held, new, strict=True))
+    order = np.lexsort((i, -s, q))
+    q, s, i = q[order], s[order], i[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    return q[kept], s[kept], i[kept]
+
+
 def top_k(queries: DataFrame, points: DataFrame, query_vec: str, vec: str, k: int = 5, same: str | None = None, metric: str = "cosine", places: int = 6) -> DataFrame:
     """(query_id, id, score, rank): the k best points of each query; ties, after rounding to ``places``, by id.
 
-    ``same``: a column that a query and its points must share. Query blocks go to the tasks, which
-    multiply them with batches of points and keep k rows a query; a window takes the best of those.
+    ``same``: a column that a query and its points must share. Packed blocks of queries meet packed
+    blocks of points (of one value of ``same``): a few blocks of queries, counted, are broadcast;
+    beyond that both sides are dealt to tasks by block of queries and share of the points. A task
+    keeps k rows a query; a window takes the best of those. Null vectors and null values of ``same`` take no part.
     """
-    spark = points.sparkSession
-    cols = ["query_id", query_vec, *([same] if same else [])]
-    asked = queries.select(*cols)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     kind, key = dict(points.dtypes)["id"], dict(queries.dtypes)["query_id"]
-    parts = []
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().to_pandas()
-        if not len(rows):
-            continue
-        sent = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), np.stack(rows[query_vec].to_numpy()).astype(float), rows[same].to_numpy() if same else None))
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            asked_ids, q, group = sent.value
-            best_s, best_i = np.full((len(q), k), -np.inf), None
-            step = max(k, SCORES // len(q))
-            for batch in (b[i : i + step] for b in batches for i in range(0, len(b), step)):
-                batch = batch.sort_values("id")
-                ids, x = batch["id"].to_numpy(), np.stack(batch["vec"].to_numpy()).astype(float)
+    of = (lambda: F.col(same)) if same else (lambda: F.lit(None))
+    usable = lambda rows, column: rows.filter(F.col(column).isNotNull()).filter(F.col(same).isNotNull() if same else F.lit(True))
+    asked = usable(queries, query_vec).select(F.col("query_id").alias("id"), F.col(query_vec).alias("vec"), of().alias("same"))
+    given = usable(points, vec).select("id", F.col(vec).alias("vec"), of().alias("same"))
+    sent = packed(asked, QUERY_BLOCK).select("same", F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    blocks = packed(given, POINT_BLOCK)
+    if sent.count() <= SENT:
+        pairs = blocks.join(F.broadcast(sent), "same")
+    else:
+        shares = F.lit(max(1, blocks.count() // SHARE) if same is None else max(1, SENT)).cast("long")
+        met = blocks.join(sent.select("same", "q"), "same").withColumn("share", F.pmod(F.xxhash64("block"), shares))
+        pairs = met.join(sent.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))), ["same", "q", "share"])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        out = lambda x: pd.DataFrame({"query_id": x[0][x[1][0]], "id": x[1][2], "score": x[1][1]})
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                ids, q_ids = (np.array(list(x), object) if len(x) and isinstance(x[0], str) else np.asarray(x) for x in (row.ids, row.q_ids))
                 ids = ids.astype(str) if ids.dtype == object else ids
-                s = np.round(similarity(q, x, metric), places)
-                if same:
-                    s = np.where(group[:, None] == batch["same"].to_numpy(), s, -np.inf)
-                # rows are in the order of ids, so a stable sort leaves the smaller id first
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                s, ids = np.hstack([best_s, np.take_along_axis(s, top, 1)]), np.hstack([np.repeat(ids[:1], len(q) * k).reshape(len(q), k) if best_i is None else best_i, ids[top]])
-                order = np.lexsort((ids, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-            if best_i is not None:
-                i, j = np.nonzero(np.isfinite(best_s))
-                yield pd.DataFrame({"query_id": asked_ids[i], "id": best_i[i, j], "score": best_s[i, j]})
-
-        given = points.filter(F.col(vec).isNotNull()).select("id", F.col(vec).alias("vec"), *([F.col(same).alias("same")] if same else []))
-        parts.append(given.mapInPandas(scan, f"query_id {key}, id {kind}, score double"))
-    if not parts:
-        return spark.createDataFrame([], f"query_id {key}, id {kind}, score double, rank int")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
+                x, q = (np.frombuffer(b).reshape(n, -1) for b, n in ((row.vecs, len(ids)), (row.q_vecs, len(q_ids))))
+                if row.q not in held:
+                    if len(held) >= SENT:
+                        yield from map(out, held.values())
+                        held.clear()
+                    held[row.q] = [q_ids, (np.zeros(0, np.int64), np.zeros(0), ids[:0])]
+                step = max(k, SCORES // len(q))
+                for s in range(0, len(x), step):
+                    scores = np.round(similarity(q, x[s : s + step], metric), places)
+                    least = np.partition(scores, -k, 1)[:, -k:].min(1) if scores.shape[1] > k else np.full(len(q), -np.inf)
+                    i, j = np.nonzero(scores >= least[:, None])
+                    held[row.q][1] = best_rows(held[row.q][1], (i, scores[i, j], ids[s : s + step][j]), k)
+        yield from map(out, held.values())
+
+    rows = pairs.select("q", "q_ids", "q_vecs", "ids", "vecs").mapInPandas(scan, f"query_id {key}, id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -218,4 +261,4 @@ def keyframes(points: DataFrame, k: int, vec: str = "clip_vec", seed: int = 0, r
     given = points.select("video_id", "id", "timestamp", F.col(vec).alias("vec")).filter("vec is not null and video_id is not null")
     short, long = by_length(given, "video_id", max(most, k))
     found = short.groupBy("video_id").applyInPandas(cluster, f"video_id {kinds['video_id']}, id {kinds['id']}, timestamp double, cluster long")
-    return found if long is None else found.union(kmeans.long_groups(long, k, seed, rounds, most))
+    return found if long is None else found.union(kmeans.long_groups(long, k, seed, rounds, min(most, 8192)))

@@ -157,3 +157,29 @@ def test_a_whole_rubric(spark):
     lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(text)], "doc_id long, line_no int, text string")
     row = rubric.rubric_totals(lines).first()
     assert (row["n"], row["total"], row["title"]) == (15, 31, "OSCE Assessment Rubric")
+
+
+@pytest.mark.parametrize("sent", [4, 1])
+def test_search_by_blocks_equals_brute_force(spark, monkeypatch, sent):
+    """Broadcast and dealt out; ids as text, equal and zero vectors, a shared column with nulls."""
+    for name, value in (("SENT", sent), ("QUERY_BLOCK", 3), ("POINT_BLOCK", 7), ("SHARE", 2)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = random.Random(3)
+    pick = lambda: [rng.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(3)]
+    points = [(f"p{i:02d}", rng.choice([1, 1, 1, 2, None]), pick()) for i in range(60)] + [("none", 1, None)]
+    asked = [(f"q{i}", rng.choice([1, 2, 3, None]), pick()) for i in range(11)] + [("qx", 1, None)]
+    p, q = spark.createDataFrame(points, "id string, v int, x array<double>"), spark.createDataFrame(asked, "query_id string, v int, y array<double>")
+
+    def score(a, b, metric):
+        a, b = np.array(a), np.array(b)
+        n = lambda x: np.sqrt(x @ x) or 1.0
+        return round(float({"cosine": a @ b / n(a) / n(b), "dot": a @ b, "euclid": -np.sqrt(((a - b) ** 2).sum())}[metric]), 6) + 0.0
+
+    for same in (None, "v"):
+        for metric in ("cosine", "dot", "euclid"):
+            want = []
+            for i, v, y in asked:
+                hits = sorted((-score(y, x, metric), j) for j, w, x in points if y and x and (not same or (v is not None and v == w)))[:4]
+                want += [(i, j, -s, n + 1) for n, (s, j) in enumerate(hits)]
+            found = vectors.top_k(q, p, "y", "x", 4, same=same, metric=metric).select("query_id", "id", "score", "rank").collect()
+            assert sorted((r[0], r[1], round(r[2], 6) + 0.0, r[3]) for r in found) == sorted((a, b, round(s, 6) + 0.0, n) for a, b, s, n in want)

@@ -91,6 +91,12 @@ def to_mmss(seconds) -> Column:
     return F.coalesce(F.concat(two(F.floor(s / 60)), F.lit(":"), two(s % 60)), F.lit("nan"))
 
 
+def one_decimal(seconds) -> Column:
+    """Seconds with one decimal, halves of the decimal form away from 0; ``nan`` for null and what isn't finite. ``from_mmss`` reads it back."""
+    finite = seconds.isNotNull() & ~F.isnan(seconds) & (F.abs(seconds) < float("inf"))
+    return F.when(finite, F.format_string("%.1f", F.round(seconds.cast("decimal(30, 9)"), 1).cast("double"))).otherwise("nan")
+
+
 def from_mmss(text) -> Column:
     """Seconds of ``MM:SS``, with more digits of minutes where ``to_mmss`` writes them, or of a number; null for ``nan`` and anything else."""
     parts = F.split(text, ":")

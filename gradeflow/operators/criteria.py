@@ -75,23 +75,28 @@ def first_pattern_only(docs: DataFrame, rules: list[tuple[str, str]]) -> DataFra
     return docs.select("doc_id", name.alias("name")).filter("name is not null")
 
 
-def grams(c) -> F.Column:
-    """Distinct runs of one to three characters of a text."""
-
-    def runs(n: int) -> F.Column:
-        # Spark gives a function of two arguments the place as well, so n is bound here
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
-
-    return F.array_distinct(F.concat(*map(runs, (1, 2, 3))))
+def runs(c: str, n: int) -> F.Column:
+    """Distinct runs of n characters of a text; none of a shorter one."""
+    # Spark gives a function of two arguments the place as well, so n is bound here
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+    return F.array_distinct(F.filter(every, lambda g: F.length(g) == n))
 
 
 def within(part: DataFrame, p: str, whole: DataFrame, w: str) -> DataFrame:
-    """(p, w): the distinct texts ``p`` of ``part`` that texts ``w`` of ``whole`` hold; they meet on the run of three characters of ``p`` that the fewest hold."""
-    held = whole.select(w, F.explode(grams(w)).alias("g"))
+    """(p, w): the distinct texts ``p`` of ``part`` that texts ``w`` of ``whole`` hold.
+
+    They meet on the run of three characters of ``p`` that the fewest hold; texts of one or two
+    characters, where there are any, are runs themselves.
+    """
+    held = whole.select(w, F.explode(runs(w, 3)).alias("g"))
     often = held.groupBy("g").agg(F.count("*").alias("often"))
-    runs = F.filter(grams(p), lambda g: F.length(g) == F.least(F.length(p), F.lit(3)))
-    rare = part.filter(F.length(p) > 0).select(p, F.explode(runs).alias("g")).join(often, "g").groupBy(p).agg(F.min(F.struct("often", "g")).alias("r")).select(p, "r.g")
-    return held.join(rare, "g").filter(F.col(w).contains(F.col(p))).select(p, w)
+    rare = part.select(p, F.explode(runs(p, 3)).alias("g")).join(often, "g").groupBy(p).agg(F.min(F.struct("often", "g")).alias("r")).select(p, "r.g")
+    found = held.join(rare, "g").filter(F.col(w).contains(F.col(p))).select(p, w)
+    for n in (1, 2):
+        short = part.filter(F.length(p) == n).select(p)
+        if not short.isEmpty():
+            found = found.union(whole.select(w, F.explode(runs(w, n)).alias("g")).join(short, F.col("g") == F.col(p)).select(p, w))
+    return found
 
 
 def best_pattern(rows: DataFrame, patterns: DataFrame, least: float = 0.5) -> DataFrame:
@@ -359,7 +364,7 @@ def lookup_totals(items: DataFrame) -> DataFrame:
 
 
 #: What separates the words of a statement: everything but letters and digits.
-MARK = r"[^\p{L}\p{N}]+"
+MARK = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def exam_match(turns: DataFrame, examples: DataFrame) -> DataFrame:

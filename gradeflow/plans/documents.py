@@ -204,6 +204,15 @@ def _times(clips):
     return rows.withColumn("seconds", t.from_mmss(F.col("mmss")))
 
 
+@query("""WITH s AS (SELECT video_id, clip_no, CASE WHEN clip_no % 9 > 0 THEN round("start" + (clip_no % 8) * 0.05, 2) END AS s FROM fx_clips)
+SELECT video_id, clip_no, coalesce(round(s::DECIMAL(30, 9), 1)::DECIMAL(30, 1)::VARCHAR, 'nan') AS text, round(s::DECIMAL(30, 9), 1)::DOUBLE AS seconds FROM s""")
+def time_decimals(spark, d):
+    """Starts of clips in text with one decimal, and read back; every ninth has none."""
+    seconds = F.when(F.col("clip_no") % 9 > 0, F.round(F.col("start") + F.col("clip_no") % 8 * 0.05, 2))
+    rows = fx.clips(spark, d).select("video_id", "clip_no", t.one_decimal(seconds).alias("text"))
+    return rows.withColumn("seconds", t.from_mmss(F.col("text")))
+
+
 @query("""SELECT id, CASE WHEN frames > 0 AND fps > 0 THEN round(frames / fps, 3) ELSE 0.0 END AS duration, fps <= 0 AS bad_fps, frames <= 0 AS bad_frames, id % 5 = 0 OR id % 7 = 0 AS bad_resolution FROM fx_videos""")
 def video_flags(spark, d):
     """Widths and heights from the id; every fifth and seventh has none."""

@@ -183,3 +183,21 @@ def test_search_by_blocks_equals_brute_force(spark, monkeypatch, sent):
                 want += [(i, j, -s, n + 1) for n, (s, j) in enumerate(hits)]
             found = vectors.top_k(q, p, "y", "x", 4, same=same, metric=metric).select("query_id", "id", "score", "rank").collect()
             assert sorted((r[0], r[1], round(r[2], 6) + 0.0, r[3]) for r in found) == sorted((a, b, round(s, 6) + 0.0, n) for a, b, s, n in want)
+
+
+def test_times_with_one_decimal(spark):
+    from gradeflow.functions import text
+
+    rows = spark.createDataFrame([(0, 12.34), (1, 12.35), (2, 0.0), (3, None), (4, float("nan")), (5, 123456.06), (6, 9.96)], "id int, s double")
+    got = rows.select("id", text.one_decimal(F.col("s")).alias("x")).select("id", "x", text.from_mmss(F.col("x")).alias("y")).orderBy("id").collect()
+    assert [r["x"] for r in got] == ["12.3", "12.4", "0.0", "nan", "nan", "123456.1", "10.0"]
+    assert [r["y"] for r in got] == [12.3, 12.4, 0.0, None, None, 123456.1, 10.0]
+
+
+def test_short_texts_within_others_and_marks_that_combine(spark):
+    part = spark.createDataFrame([("a",), ("bc",), ("abcd",), ("xyz",), ("",)], "p string")
+    whole = spark.createDataFrame([("abcde",), ("bc",), ("wxyz",), ("",)], "w string")
+    assert sorted(map(tuple, criteria.within(part, "p", whole, "w").collect())) == [("a", "abcde"), ("abcd", "abcde"), ("bc", "abcde"), ("bc", "bc"), ("xyz", "wxyz")]
+    turns = spark.createDataFrame([(1, 0, 0.0, 5.0, "La ropa cae\u0301 hoy"), (1, 1, 5.0, 6.0, "\u0915\u093f\u0924\u093e\u092c")], "video_id int, turn_no int, start double, end double, text string")
+    asked = spark.createDataFrame([(7, "cae\u0301 hoy"), (8, "\u0301 hoy"), (9, "cae"), (10, "\u0915\u093f\u0924\u093e\u092c"), (11, "\u0915")], "exam_id int, example string")
+    assert {r["exam_id"]: r["score"] for r in criteria.exam_match(turns, asked).collect()} == {7: 1, 8: 0, 9: 0, 10: 1, 11: 0}

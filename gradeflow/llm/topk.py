@@ -3,8 +3,9 @@
 Every component is quantised to a cell of its dimension's range; the approximation file is a table of
 its own with one byte a component. Blocks of queries scan it for bounds of the scores: the cells give
 an upper bound, and a lower one that is below it by the same slack for all vectors of a query. A
-vector whose upper bound is below the k-th lower bound is out; for the others alone, in the order of
-their bounds, exact vectors are fetched by row, and the k best scores are certain.
+vector whose upper bound is below the k-th lower bound is out; for the others alone exact vectors are
+fetched by row, and the k best scores are certain. The few vectors with the largest components, which
+would widen every cell, stay out of the file and are compared exactly.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path, small, small_batches
+from .negatives import Best
+
+#: Share of the vectors, by their largest component, that the approximation file holds.
+NEAR = 0.999
 
 #: Cells of a dimension, queries sent to tasks at once, bounds that a task holds at a time, candidates it holds before it drops those that are out.
 CELLS, QUERIES, BOUNDS, PENDING = 256, 8192, 4_000_000, 2_000_000
@@ -126,19 +132,23 @@ class Scan:
                 yield pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(r), pa.array(u + self.error[q]), pa.array(u + self.error[q] - self.slack[q])], names=["query_id", "row", "upper", "lower"])
 
 
-def candidates(table: DataFrame, asked: DataFrame, grid: Grid, k: int) -> DataFrame:
-    """Written table (query_id, row, upper, lower) of the rows that the bounds leave, block of queries by block.
-
-    Only one block of queries is on the driver and in the tasks at a time.
-    """
-    spark, path, dims = table.sparkSession, scratch_path(table.sparkSession, "candidates"), len(grid.lo)
+def query_blocks(asked: DataFrame, dims: int) -> Iterator[Broadcast]:
+    """Broadcast (ids, vectors) of blocks of queries; only one is on the driver and in the tasks at a time."""
     blocks = -(-asked.count() // QUERIES)
-    kinds = "query_id long, row long, upper double, lower double"
     for block in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toArrow()
-        if not part.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((part.column(0).to_numpy(), matrix(part.column(1).combine_chunks(), dims)))
+        if part.num_rows:
+            sent = asked.sparkSession.sparkContext.broadcast((part.column(0).to_numpy(), matrix(part.column(1).combine_chunks(), dims)))
+            yield sent
+            sent.destroy()
+
+
+def candidates(table: DataFrame, asked: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """Written table (query_id, row, upper, lower) of the rows that the bounds leave, block of queries by block."""
+    spark, path, dims = table.sparkSession, scratch_path(table.sparkSession, "candidates"), len(grid.lo)
+    kinds = "query_id long, row long, upper double, lower double"
+    spark.createDataFrame([], kinds).write.parquet(path)
+    for sent in query_blocks(asked, dims):
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             state = Scan(*sent.value, grid, k)
@@ -149,14 +159,35 @@ def candidates(table: DataFrame, asked: DataFrame, grid: Grid, k: int) -> DataFr
             yield from state.rows()
 
         table.mapInArrow(scan, kinds).write.mode("append").parquet(path)
-        sent.destroy()
-    found = spark.read.schema(kinds).parquet(path) if blocks else spark.createDataFrame([], kinds)
+    found = spark.read.schema(kinds).parquet(path)
     # each task knew its own rows alone: the k-th lower bound of all tasks leaves fewer
     order = Window.partitionBy("query_id").orderBy(F.desc("lower"), "row")
     bar = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).filter(F.col("n") == k).select("query_id", F.col("lower").alias("bar"))
     return materialize(found.join(small(materialize(bar, "bars")), "query_id", "left").filter("bar is null or upper >= bar").drop("bar"), "kept-candidates")
 
 
+def best_of_far(far: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
+    """Written (query_id, vec_id, score): of the rows outside the file, those that may be among a query's k best, by exact scores, k a task at most."""
+    spark, path = far.sparkSession, scratch_path(far.sparkSession, "far")
+    kinds = "query_id long, vec_id long, score long"
+    spark.createDataFrame([], kinds).write.parquet(path)
+    for sent in query_blocks(asked, dims):
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, queries = sent.value
+            best, step = Best(len(ids), k), max(1, BOUNDS // len(ids))
+            for batch in batches:
+                for s in range(0, batch.num_rows, step):
+                    part = batch.slice(s, step)
+                    vec = part.column(1).to_numpy()
+                    best.add(matrix(part.column(2), dims) @ queries.T, vec[:, None] != ids, vec, part.column(0).to_numpy())
+            of, score, vec, _ = best.held
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+        far.select("row", "vec_id", "ints").mapInArrow(scan, kinds).write.mode("append").parquet(path)
+    return spark.read.schema(kinds).parquet(path)
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products with the other rows.
 
@@ -169,11 +200,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0) -> D
     """
     spark = vectors.sparkSession
     small_batches(spark, 8192)
-    rows = materialize(scaled(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "ints")
+    largest = F.array_max(F.transform("ints", lambda v: F.abs(v.cast("double"))))
+    rows = materialize(scaled(vectors, scale).withColumn("row", F.monotonically_increasing_id()).withColumn("largest", largest), "ints")
     found = spark.createDataFrame([], "query_id long, vec_id long, score long")
     for (dims,) in rows.select(F.size("ints").alias("d")).distinct().orderBy("d").collect():
         same = rows.filter(F.size("ints") == dims)
         asked = materialize(same.filter(is_query).groupBy("vec_id").agg(F.min("ints").alias("ints")), "queries")
+        bar = same.agg(F.approx_percentile("largest", F.lit(NEAR), F.lit(10_000))).first()[0]
+        far, same = same.filter(F.col("largest") > bar), same.filter(F.col("largest") <= bar)
+        if not far.isEmpty():
+            found = found.union(best_of_far(far, asked, dims, k))
         grid = Grid.of(same)
         met = candidates(approximations(same, grid), asked, grid, k)
         exact = met.select("query_id", "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("ints").alias("q")), "query_id")

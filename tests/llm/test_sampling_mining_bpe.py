@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from gradeflow.llm import bpe, negatives, resampling
+from gradeflow.llm import bpe, negatives, resampling, topk
 
 BPE = P.path("byte_bpe_50k.json")
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(9000))
@@ -225,3 +225,23 @@ def test_hard_negatives_of_nothing(spark):
     given = spark.createDataFrame([(10, 1, [1.0, 0.0])], "vec_id long, label int, embedding array<float>")
     for rows in (given, given.limit(0)):
         assert negatives.hard_negatives(rows, F.col("vec_id") % 10 == 0).count() == 0
+
+
+@pytest.mark.parametrize("far", [1, 5])
+def test_large_rows_stay_out_of_the_approximations(spark, monkeypatch, far):
+    """Some rows a thousand times as long as the others, one of them a query: few candidates, exact results."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[[17, 100, 900, 901, 902][:far]] = rng.standard_normal((far, 32)) * 1000
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    given, kept, real = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), [], topk.candidates
+    monkeypatch.setattr(topk, "candidates", lambda *a: kept.append(real(*a)) or kept[-1])
+    found = topk.top_k(given, F.col("vec_id") % 100 == 0, 10).toPandas()
+    assert kept[0].count() < 0.01 * 60 * 6000
+    ints = np.floor(1024 * x.astype(np.float32).astype(float)).astype(np.int64)
+    for q in range(0, 6000, 100):
+        score = ints @ ints[q]
+        want = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:10]
+        mine = found[found.query_id == q].sort_values("rank")
+        assert [(-s, i) for s, i in zip(mine.score, mine.vec_id)] == want

@@ -31,43 +31,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 2048 tokens. Odd rows as in ``pack_documents``."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150 % of all words takes of each document. Odd rows as in ``copies``."""
     return copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for every hundredth one. Odd rows as in ``top_k``."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url, by rule or by model. Null urls have an empty host and path."""
     judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, fit(labelled_urls(spark)))
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and component. Odd rows as in ``jaccard_components``."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality. Odd rows as in ``quality``."""
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens; null texts count as empty, repeated ones are encoded once, an empty table gives no rows."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op8_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component at a cosine of 0.98 within its label. Odd rows as in ``near_vectors``."""
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
 
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back; null pages are empty payloads, an empty table gives no rows."""
     return round_trip(table(spark, sf_dir, "pages"), 0)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity. Odd rows as in ``toxicity``."""
     return toxicity_model.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

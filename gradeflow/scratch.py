@@ -7,15 +7,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share (``spark.checkpoint.dir``), or a local one where that is unset and the master is local, as in tests."""
+
+def application_folder(spark: SparkSession) -> str:
+    """Where this application's tables are: below ``spark.checkpoint.dir``, or a local folder where that is unset and the master is local, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gradeflow-")
-    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="gradeflow-"))
+        root = _own[0]
+    return f"{root.rstrip('/')}/gradeflow/{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
@@ -23,3 +32,9 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     spark, path = rows.sparkSession, shared_folder(rows.sparkSession, name)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's tables and checkpoints; results that still read them must be written first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

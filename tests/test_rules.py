@@ -1,5 +1,6 @@
 """Tools, registries, payloads, sketches and rules on hand-written rows."""
 
+import os
 import random
 
 import numpy as np
@@ -201,3 +202,14 @@ def test_short_texts_within_others_and_marks_that_combine(spark):
     turns = spark.createDataFrame([(1, 0, 0.0, 5.0, "La ropa cae\u0301 hoy"), (1, 1, 5.0, 6.0, "\u0915\u093f\u0924\u093e\u092c")], "video_id int, turn_no int, start double, end double, text string")
     asked = spark.createDataFrame([(7, "cae\u0301 hoy"), (8, "\u0301 hoy"), (9, "cae"), (10, "\u0915\u093f\u0924\u093e\u092c"), (11, "\u0915")], "exam_id int, example string")
     assert {r["exam_id"]: r["score"] for r in criteria.exam_match(turns, asked).collect()} == {7: 1, 8: 0, 9: 0, 10: 1, 11: 0}
+
+
+def test_tables_of_an_application_can_be_released(spark):
+    from gradeflow import scratch
+
+    rows = scratch.written(spark.range(5), "five")
+    file = rows.inputFiles()[0].removeprefix("file://")
+    assert rows.count() == 5 and file.startswith(scratch.application_folder(spark).removeprefix("file://")) and os.path.exists(file)
+    scratch.release(spark)
+    assert not os.path.exists(file)
+    assert scratch.written(spark.range(3), "three").count() == 3

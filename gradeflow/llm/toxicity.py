@@ -7,7 +7,7 @@ windows' normalised kernel of common subsequences of three bytes, each weighed d
 that inserted letters still score. Landmarks are windows of labelled sentences of both classes; the
 inverse root of their own kernel maps a sentence to the features of a linear machine. It is trained
 on sentences: those of clean documents are clean, and of each toxic one the worst and others that the
-last round found toxic are toxic. As the map is linear, a window has one share in any sentence's decision, which
+last round found toxic and at least half as bad are toxic; the first round goes by the log odds of each sentence's strongest window. As the map is linear, a window has one share in any sentence's decision, which
 workers remember. A document's worst sentence, and the sum and density of what its sentences exceed
 the margin by, are calibrated to a probability.
 """
@@ -32,12 +32,14 @@ from .labelled import labelled_sample, sigmoid
 ORDER, DECAY, POWER, FLOOR, WINDOW, STRIDE = 3, 0.7, 2, 0.35, 12, 6
 #: Labelled documents of either class; windows that a worker remembers; longest fragment that is read together with its neighbours.
 SAMPLE, MEMO, FRAGMENT = 2500, 300_000, 3
-#: Documents of its class and standard errors that a landmark needs; kernel from which a candidate adds nothing to a chosen one; most landmarks of toxic and of clean sentences; shortest start of words.
-LEAST, SURE, ALIKE, LANDMARKS, CLEAN, START = 3, 4.2, 0.9, 160, 96, 5
-#: Rounds of choosing sentences anew, most of a toxic document, those of a clean one that a round adds, penalty of the weights.
-ROUNDS, WORST, HARD, PENALTY = 4, 6, 2, 1e-4
-#: How far below the margin a sentence counts.
-SLACK = 0.25
+#: Documents of its class and standard errors that a landmark needs (4 documents where classes are equal in number, whatever that is); kernel from which a candidate adds nothing to a chosen one; most landmarks of toxic and of clean sentences; shortest start of words.
+LEAST, SURE, ALIKE, LANDMARKS, CLEAN, START = 3, 2.0, 0.9, 400, 96, 5
+#: Rounds of choosing sentences anew, most of a toxic document and the share of its worst one's decision that they need, those of a clean one that a round adds, penalty of the weights.
+ROUNDS, WORST, NEAR, HARD, PENALTY = 4, 6, 0.5, 2, 1e-4
+#: How far below the margin a sentence counts; documents added to either class's count of a landmark, as shares alike, in its first weight.
+SLACK, PRIOR = 0.25, 2
+#: Toxic documents below which the penalty grows as they get fewer.
+ENOUGH = 250
 SEED = 5
 
 SPACE = b"\t\n\v\f\r "
@@ -247,11 +249,12 @@ def starts(words: Iterable[bytes]) -> set[bytes]:
     return {w[:k] for w in words if len(w) > 2 for k in range(min(START, len(w)), len(w) + 1) if k == len(w) or w[k] & 0xC0 != 0x80}
 
 
-def choose(toxic_sets: Iterable[set[bytes]], clean_sets: Iterable[set[bytes]]) -> tuple[list[bytes], list[bytes]]:
+def evidence(toxic_sets: Iterable[set[bytes]], clean_sets: Iterable[set[bytes]]) -> tuple[list[bytes], list[bytes], np.ndarray]:
     """Landmarks among the windows of documents of either class: those that stand out in the toxic ones, and of the clean ones the most frequent and the nearest to those.
 
     A word, or a start of words, stands out if the share of toxic documents that have it exceeds that of clean ones by
     ``SURE`` standard errors; they are taken by that excess, leaving out any whose kernel with a chosen one is ``ALIKE``.
+    Also the log odds of each landmark of toxic documents, towards 0 where few documents have it. Nothing that stands out, no landmarks.
     """
     seen, usual, words_of = Counter(), Counter(), Counter()
     n0 = n1 = 1e-9
@@ -274,12 +277,16 @@ def choose(toxic_sets: Iterable[set[bytes]], clean_sets: Iterable[set[bytes]]) -
     rank = {w: excess(w) for w in seen if w not in inner}
     order = sorted((w for w, z in rank.items() if z >= SURE), key=lambda w: (-rank[w], -len(w), w))
     toxic = unlike(order, LANDMARKS)
-    if not toxic:
-        return [b"insult"], []
     clean = sorted((w for w in words_of if 4 <= len(w) <= WINDOW and rank.get(w, 0) < 1), key=lambda w: (-words_of[w], w))[:20_000]
     near = Landmarks(toxic, 0).compare(clean).max(1) if clean else np.empty(0)
     close = [clean[k] for k in np.argsort(-near, kind="stable")[: 4 * CLEAN]]
-    return toxic, unlike(close, min(CLEAN, len(toxic)))
+    odds = np.array([np.log((seen[w] + PRIOR) / n1 * n0 / (usual[w] + PRIOR * n0 / n1)) for w in toxic])
+    return toxic, unlike(close, min(CLEAN, len(toxic))), odds
+
+
+def choose(toxic_sets: Iterable[set[bytes]], clean_sets: Iterable[set[bytes]]) -> tuple[list[bytes], list[bytes]]:
+    """The landmarks of ``evidence``, toxic and clean."""
+    return evidence(toxic_sets, clean_sets)[:2]
 
 
 def unlike(words: list[bytes], most: int) -> list[bytes]:
@@ -303,7 +310,7 @@ def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
 
 
-def svm(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, t: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Weights and bias of least squared hinge loss, by Newton steps over the rows within the margin; classes weigh alike. t is 1 or -1."""
     z = np.c_[x, np.ones(len(x), x.dtype)]
     w = np.r_[np.zeros(x.shape[1]), -1.0]
@@ -313,7 +320,7 @@ def svm(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float]:
     active = np.ones(len(t), bool)
     for _ in range(30):
         a = z[active] * c[active, None]
-        w = np.linalg.solve((a.T @ z[active]).astype(np.float64) + PENALTY * np.diag(np.r_[np.ones(x.shape[1]), 1e-6]), a.T @ t[active])
+        w = np.linalg.solve((a.T @ z[active]).astype(np.float64) + penalty * np.diag(np.r_[np.ones(x.shape[1]), 1e-6]), a.T @ t[active])
         now = t * (z @ w) < 1
         if (now == active).all():
             break
@@ -322,7 +329,7 @@ def svm(x: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 class Model:
-    """Landmarks, each one's weight in a sentence's decision, the bias and the calibration."""
+    """Landmarks, each one's weight in a sentence's decision, the bias and the calibration. Without landmarks all texts score 0."""
 
     def __init__(self, texts: list[str], y: np.ndarray):
         random = np.random.default_rng(SEED)
@@ -332,14 +339,17 @@ class Model:
             back[:] = False
         fit = np.flatnonzero(~back)
         words = lambda label: ({*tokens(texts[k])} - {STOP} for k in fit if y[k] == label)
-        toxic, clean = choose(words(1), words(0))
+        toxic, clean, self.odds = evidence(words(1), words(0))
+        self.landmarks = None
+        if not toxic:
+            return
         self.landmarks = Landmarks(toxic + clean, len(toxic))
         values, vectors = np.linalg.eigh(self.landmarks.gram())
         self.map = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
         self.train([texts[k] for k in fit], y[fit])
         rows = np.flatnonzero(back) if back.any() else fit
         self.lexicon = Lexicon(self.share)
-        self.curve = logistic(self.features([texts[k] for k in rows]), y[rows])
+        self.curve = rising(self.features([texts[k] for k in rows]), y[rows])
         self.lexicon = None
 
     def train(self, texts: list[str], y: np.ndarray) -> None:
@@ -360,13 +370,20 @@ class Model:
         some = some[np.argsort(sentence[some], kind="stable")]
         word, sentence = word[some], sentence[some]
         self.weight, self.bias = np.zeros(len(self.map)), -0.75
-        self.weight[: self.landmarks.toxic] = 1
-        chosen = np.zeros(n, bool)
-        for _ in range(ROUNDS):
-            decision = np.bincount(sentence, np.bincount(row, value * self.weight[mark], words)[word], n)
+        self.weight[: self.landmarks.toxic] = self.odds
+        chosen, penalty = np.zeros(n, bool), PENALTY * max(1, ENOUGH / max((y == 1).sum(), 1))
+        for k in range(ROUNDS):
+            if k:
+                decision = np.bincount(sentence, np.bincount(row, value * self.weight[mark], words)[word], n)
+            else:
+                # by the strongest window, as long sentences have more weak ones
+                strongest, decision = np.zeros(words), np.zeros(n)
+                np.maximum.at(strongest, row, value * self.weight[mark])
+                np.maximum.at(decision, sentence, strongest[word])
             ranked = np.lexsort((-decision, text))
-            place = np.arange(n) - np.searchsorted(text[ranked], text[ranked])
-            bad = ranked[(y[text[ranked]] == 1) & ((place == 0) | (place < WORST) & (decision[ranked] + self.bias > 0))]
+            top = np.searchsorted(text[ranked], text[ranked])
+            place, near = np.arange(n) - top, decision[ranked] >= NEAR * decision[ranked][top]
+            bad = ranked[(y[text[ranked]] == 1) & ((place == 0) | (place < WORST) & near & (decision[ranked] + self.bias > 0))]
             chosen[ranked[(place < HARD) & (y[text[ranked]] == 0)]] = True
             rows = np.concatenate([bad, np.flatnonzero(chosen)])
             at = np.searchsorted(sentence, rows)
@@ -375,7 +392,7 @@ class Model:
             each = first[w + 1] - first[w]
             cell = np.repeat(np.repeat(np.arange(len(rows)), windows_of), each) * len(self.map) + mark[(entry := spans(first[w], each))]
             x = np.bincount(cell, value[entry], len(rows) * len(self.map)).astype(np.float32).reshape(len(rows), -1) @ self.map.astype(np.float32)
-            weight, self.bias = svm(x, np.r_[np.ones(len(bad), np.float32), -np.ones(len(rows) - len(bad), np.float32)])
+            weight, self.bias = svm(x, np.r_[np.ones(len(bad), np.float32), -np.ones(len(rows) - len(bad), np.float32)], penalty)
             self.weight = self.map @ weight
 
     def sparse(self, words: list[bytes], start: int, held: list) -> np.ndarray:
@@ -403,7 +420,7 @@ class Model:
         return np.stack([np.clip(worst, -1.5, 2.5), np.log1p(above), np.minimum(100 * above / (many + 20), 4), np.ones(len(texts))], 1)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        return sigmoid(self.features(texts) @ self.curve)
+        return sigmoid(self.features(texts) @ self.curve) if self.landmarks else np.zeros(len(texts))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -417,6 +434,17 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The logistic curve of least log loss among those that use the first feature and in which no feature counts against the label."""
+    found = []
+    for some in ([0, 1, 2, 3], [0, 1, 3], [0, 2, 3], [0, 3]):
+        curve = np.zeros(x.shape[1])
+        curve[some] = logistic(x[:, some], y)
+        p = np.clip(sigmoid(x @ curve), 1e-9, 1 - 1e-9)
+        found.append(((curve[:-1] < 0).any(), -np.log(np.where(y > 0, p, 1 - p)).mean(), curve))
+    return min(found, key=lambda f: f[:2])[2]
+
+
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> Model | None:
     """The model of a bounded labelled sample; none if a class has no rows."""
     rows = labelled_sample(docs, labels, "toxic", modulus, held_out, SAMPLE)

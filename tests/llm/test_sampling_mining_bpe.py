@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from gradeflow.llm import bpe, negatives, resampling, topk
+from gradeflow.llm import bpe, negatives, resampling, topk, toxicity
 
 BPE = P.path("byte_bpe_50k.json")
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(9000))
@@ -245,3 +245,46 @@ def test_large_rows_stay_out_of_the_approximations(spark, monkeypatch, far):
         want = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:10]
         mine = found[found.query_id == q].sort_values("rank")
         assert [(-s, i) for s, i in zip(mine.score, mine.vec_id)] == want
+
+
+def insult_corpus(insults, per_document, documents, rng):
+    """(texts, labels, maker) of ``documents`` toxic texts of random words, each with some of the insults, and as many clean ones."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choices(letters, k=rng.randint(4, 9))) for _ in range(3000)]
+
+    def make(words):
+        text = rng.choices(vocabulary, k=rng.randint(30, 90))
+        for w in words:
+            text.insert(rng.randrange(len(text)), w)
+        return " ".join(w + "." * (k % 9 == 8) for k, w in enumerate(text))
+
+    texts = [make(rng.sample(insults, per_document)) for _ in range(documents)] + [make([]) for _ in range(documents)]
+    order = rng.sample(range(2 * documents), 2 * documents)
+    return [texts[k] for k in order], np.array([int(k < documents) for k in order]), make
+
+
+@pytest.mark.parametrize("many, per_document", [(60, 1), (120, 1), (240, 4)])
+def test_many_insults_leave_clean_documents_alone(many, per_document):
+    rng = random.Random(many)
+    insults = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(many)]
+    texts, y, make = insult_corpus(insults, per_document, 2400, rng)
+    model = toxicity.Model(texts, y)
+    assert (model([make([]) for _ in range(400)]) >= 0.3).mean() <= 0.05
+    assert (model([make(rng.sample(insults, per_document)) for _ in range(400)]) >= 0.3).mean() >= 0.95
+
+
+@pytest.mark.parametrize("documents", [300, 1000, 2400])
+def test_a_rare_insult_needs_as_many_documents_in_any_sample(documents):
+    rng = random.Random(3)
+    texts, y, make = insult_corpus(["plomkin"], 1, documents, rng)
+    for k in np.flatnonzero(y)[:12]:
+        texts[k] = make(["zqvrtul"])
+    model = toxicity.Model(texts, y)
+    assert b"zqvrtul" in model.landmarks.marks
+    assert (model([make(["zqvrtul"]) for _ in range(200)]) >= 0.3).mean() >= 0.8 and (model([make([]) for _ in range(400)]) >= 0.3).mean() <= 0.02
+
+
+def test_nothing_learnt_scores_nothing():
+    assert toxicity.choose([{b"a"}, {b"b"}], [{b"c"}]) == ([], [])
+    model = toxicity.Model(["a b", "c d", "e f", "g h"], np.array([0, 1, 0, 1]))
+    assert model.landmarks is None and model(["a b", "c d", None, ""]).tolist() == [0, 0, 0, 0]

@@ -18,7 +18,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ SEED = 5
 SPACE = b"\t\n\v\f\r "
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: Words, windows and sentences that are worked on at once: their tables fit a core's cache, and the driver's memory.
+WORDS, ROWS, SENTENCES = 2000, 256, 2000
 #: Bytes that are dropped from words, the token that ends a sentence, and the sign before fragments read together.
 STOP, JOINED = b"\1", b"+"
 MARKS = bytes(b for b in range(128) if not LETTER[b] and b not in SPACE + STOP)
@@ -123,6 +125,10 @@ class Landmarks:
         self.row[distinct] = np.arange(1, len(distinct) + 1)
         self.first = np.r_[0, first, len(key)]
         self.mark, self.value = mark[order].astype(np.int32), value[order].astype(np.float32)
+        head = self.keys(np.array([[*m.ljust(3, b"\0")[:3]] for m in marks[:toxic]], np.uint8).reshape(-1, 3), np.arange(3)[None])[:, 0]
+        self.heads, self.headed = np.unique(head, return_inverse=True)
+        self.head = np.zeros(self.base**ORDER, np.int32)
+        self.head[self.heads] = np.arange(1, len(self.heads) + 1)
         # a landmark with at most one letter put in between any two of its own
         self.gapped = [re.compile(".?".join(map(re.escape, m.decode(errors="ignore"))).join(("", "") if len(m) > 3 else ("^", "$")), re.DOTALL) for m in marks[:toxic]]
 
@@ -145,14 +151,30 @@ class Landmarks:
         return np.minimum(np.stack(parts) / np.sqrt(np.outer(self.own, self.own)), 1).astype(np.float64) ** POWER
 
     def inside(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """(word, landmark) of the toxic landmarks that longer words hold as a whole, letters put in or not."""
-        mask, found = letters(words), []
+        """(word, landmark) of the toxic landmarks that longer words hold as a whole, letters put in or not.
+
+        Only words that have the landmark's first three bytes within reach of one another are searched.
+        """
+        if not (words and self.toxic):
+            return []
         length = np.array([len(w) for w in words])
-        for m in range(self.toxic):
-            for k in np.flatnonzero((mask & self.letters[m] == self.letters[m]) & (length > len(self.marks[m]))):
-                if self.gapped[m].search(words[k].lstrip(JOINED).decode(errors="ignore")):
-                    found.append((int(k), m))
-        return found
+        flat, of = self.code[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), length)
+        # a letter put in is one byte, or up to four in words that aren't ASCII alone
+        wide, many, met = np.array([not w.isascii() for w in words]), len(self.heads), []
+        for d, e in product(range(1, 6), repeat=2):
+            at = np.arange(max(len(flat) - d - e, 0)) if max(d, e) <= 2 else np.flatnonzero(wide[of[: max(len(flat) - d - e, 0)]])
+            one, two, three = flat[at], flat[at + d], flat[at + d + e]
+            at_head = self.head[(one * self.base + two) * self.base + three]
+            some = np.flatnonzero((one > 0) & (two > 0) & (three > 0) & (at_head > 0) & (of[at] == of[at + d + e]))
+            met.append(of[at[some]] * many + at_head[some] - 1)
+        met = np.unique(np.concatenate(met))
+        word, head = met // many, met % many
+        order = np.argsort(self.headed, kind="stable")
+        each = np.bincount(self.headed, minlength=many)
+        word, mark = np.repeat(word, each[head]), order[spans((np.cumsum(each) - each)[head], each[head])]
+        mask, size = letters(words), np.array([len(m) for m in self.marks[: self.toxic]])
+        some = np.flatnonzero((mask[word] & self.letters[mark] == self.letters[mark]) & (length[word] > size[mark]))
+        return [(k, m) for k, m in zip(word[some].tolist(), mark[some].tolist(), strict=True) if self.gapped[m].search(words[k].lstrip(JOINED).decode(errors="ignore"))]
 
     def compare(self, words: list[bytes]) -> np.ndarray:
         """Kernels of words, a row each: of each word's best part; those below ``FLOOR`` count as 0."""
@@ -165,8 +187,8 @@ class Landmarks:
         for n, rows in by_length.items():
             at, weight = subsequences(n)
             least = float((weight * weight).sum())
-            for start in range(0, len(rows) if n >= ORDER else 0, 2000):
-                some = rows[start : start + 2000]
+            for start in range(0, len(rows) if n >= ORDER else 0, ROWS):
+                some = rows[start : start + ROWS]
                 table = np.frombuffer(b"".join(p for p, _ in some), np.uint8).reshape(-1, n)
                 row = self.row[self.keys(table, at)]
                 i, c = np.nonzero(row)
@@ -277,8 +299,11 @@ def evidence(toxic_sets: Iterable[set[bytes]], clean_sets: Iterable[set[bytes]])
     rank = {w: excess(w) for w in seen if w not in inner}
     order = sorted((w for w, z in rank.items() if z >= SURE), key=lambda w: (-rank[w], -len(w), w))
     toxic = unlike(order, LANDMARKS)
+    if not toxic:
+        return [], [], np.empty(0)
     clean = sorted((w for w in words_of if 4 <= len(w) <= WINDOW and rank.get(w, 0) < 1), key=lambda w: (-words_of[w], w))[:20_000]
-    near = Landmarks(toxic, 0).compare(clean).max(1) if clean else np.empty(0)
+    plain = Landmarks(toxic, 0)
+    near = np.concatenate([np.empty(0), *(plain.compare(clean[k : k + WORDS]).max(1) for k in range(0, len(clean), WORDS))])
     close = [clean[k] for k in np.argsort(-near, kind="stable")[: 4 * CLEAN]]
     odds = np.array([np.log((seen[w] + PRIOR) / n1 * n0 / (usual[w] + PRIOR * n0 / n1)) for w in toxic])
     return toxic, unlike(close, min(CLEAN, len(toxic))), odds
@@ -312,16 +337,21 @@ def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def svm(x: np.ndarray, t: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
     """Weights and bias of least squared hinge loss, by Newton steps over the rows within the margin; classes weigh alike. t is 1 or -1."""
-    z = np.c_[x, np.ones(len(x), x.dtype)]
     w = np.r_[np.zeros(x.shape[1]), -1.0]
     if len({*t}) < 2:
         return w[:-1], float(w[-1])
+    parts = [slice(k, k + SENTENCES) for k in range(0, len(t), SENTENCES)]
     c = np.where(t > 0, 0.5 / (t > 0).sum(), 0.5 / (t < 0).sum()).astype(x.dtype)
     active = np.ones(len(t), bool)
     for _ in range(30):
-        a = z[active] * c[active, None]
-        w = np.linalg.solve((a.T @ z[active]).astype(np.float64) + penalty * np.diag(np.r_[np.ones(x.shape[1]), 1e-6]), a.T @ t[active])
-        now = t * (z @ w) < 1
+        left, right = penalty * np.diag(np.r_[np.ones(x.shape[1]), 1e-6]), np.zeros(len(w))
+        for part in parts:
+            z = np.c_[x[part], np.ones(len(t[part]), x.dtype)][active[part]]
+            a = z * c[part][active[part], None]
+            left += a.T @ z
+            right += a.T @ t[part][active[part]]
+        w = np.linalg.solve(left, right)
+        now = np.concatenate([t[part] * (x[part] @ w[:-1] + w[-1]) < 1 for part in parts])
         if (now == active).all():
             break
         active = now
@@ -388,24 +418,27 @@ class Model:
             rows = np.concatenate([bad, np.flatnonzero(chosen)])
             at = np.searchsorted(sentence, rows)
             windows_of = np.searchsorted(sentence, rows, "right") - at
-            w = word[spans(at, windows_of)]
-            each = first[w + 1] - first[w]
-            cell = np.repeat(np.repeat(np.arange(len(rows)), windows_of), each) * len(self.map) + mark[(entry := spans(first[w], each))]
-            x = np.bincount(cell, value[entry], len(rows) * len(self.map)).astype(np.float32).reshape(len(rows), -1) @ self.map.astype(np.float32)
+            x = np.empty((len(rows), len(self.map)), np.float32)
+            for start in range(0, len(rows), SENTENCES):
+                some = slice(start, start + SENTENCES)
+                w = word[spans(at[some], windows_of[some])]
+                each = first[w + 1] - first[w]
+                cell = np.repeat(np.repeat(np.arange(len(x[some])), windows_of[some]), each) * len(self.map) + mark[(entry := spans(first[w], each))]
+                x[some] = np.bincount(cell, value[entry], x[some].size).astype(np.float32).reshape(x[some].shape) @ self.map.astype(np.float32)
             weight, self.bias = svm(x, np.r_[np.ones(len(bad), np.float32), -np.ones(len(rows) - len(bad), np.float32)], penalty)
             self.weight = self.map @ weight
 
     def sparse(self, words: list[bytes], start: int, held: list) -> np.ndarray:
         """Keeps (word, landmark, kernel) of new words, numbered from ``start``, in ``held``; their values are of no use yet."""
-        for k in range(0, len(words), 5000):
-            table = self.landmarks.compare(words[k : k + 5000])
+        for k in range(0, len(words), WORDS):
+            table = self.landmarks.compare(words[k : k + WORDS])
             i, j = np.nonzero(table)
             held.append(((i + start + k).astype(np.int32), j.astype(np.int32), table[i, j]))
         return np.zeros(len(words), np.float32)
 
     def share(self, words: list[bytes]) -> np.ndarray:
         """What each word adds to the decision of a sentence."""
-        parts = [self.landmarks.compare(words[k : k + 5000]) @ self.weight for k in range(0, len(words), 5000)]
+        parts = [self.landmarks.compare(words[k : k + WORDS]) @ self.weight for k in range(0, len(words), WORDS)]
         return np.concatenate(parts).astype(np.float32)
 
     def features(self, texts: list[str | None]) -> np.ndarray:

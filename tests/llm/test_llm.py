@@ -565,3 +565,19 @@ def test_pipeline_stages(spark):
     packed = pipeline.pack(spark, docs, SF).toPandas()
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     assert packed[packed.piece == 0].groupby("doc_id").size().to_dict() == taken.to_dict()
+
+
+def test_landmarks_inside_words_and_memory_of_the_machine():
+    import tracemalloc
+
+    rng = random.Random(2)
+    marks = [b"abca", b"cab", b"bb\xc3\xa9a", "éa".encode(), b"abcabc"]
+    words = ["".join(rng.choices(["a", "b", "c", "é", "€"], [4, 4, 4, k, k], k=rng.randint(1, 14))).encode() for k in (0, 1) for _ in range(400)] + [b"+abxca"]
+    held = toxicity.Landmarks(marks, 5)
+    plain = {(k, m) for k, w in enumerate(words) for m in range(5) if len(w) > len(marks[m]) and held.gapped[m].search(w.lstrip(b"+").decode())}
+    assert set(held.inside(words)) == plain and plain
+    x, t = np.random.default_rng(0).random((20_000, 100), np.float32), np.where(np.arange(20_000) % 2, 1, -1).astype(np.float32)
+    tracemalloc.start()
+    toxicity.svm(x, t)
+    assert tracemalloc.get_traced_memory()[1] < x.nbytes
+    tracemalloc.stop()

@@ -363,31 +363,42 @@ def lookup_totals(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("max_points").alias("points"))
 
 
-#: What separates the words of a statement: everything but letters and digits.
-MARK = r"[^\p{L}\p{M}\p{N}]+"
+#: What separates the words of a statement: everything but letters and digits; most words of a run that turns and examples meet on.
+MARK, RUN = r"[^\p{L}\p{M}\p{N}]+", 4
+
+
+def word_runs(c: str, n: int) -> F.Column:
+    """The runs of n words of an array of words, joined by a space; none of a shorter one."""
+    every = F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1)))
+    return F.when(F.size(c) >= n, F.transform(every, lambda i: F.array_join(F.slice(F.col(c), i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
 def exam_match(turns: DataFrame, examples: DataFrame) -> DataFrame:
     """(video_id, exam_id, statement, start_time, end_time, score) for every recording and exam.
 
     The first turn (video_id, turn_no, start, end, text) that holds an example (exam_id, example) of
-    the exam, else ``No exam was performed``; case, marks and white space don't count. Turns and
-    examples meet on the example's word that the fewest turns have: only keys and words are
-    shuffled, and texts are fetched for the turns that meet. Null and wordless examples match nothing.
+    the exam, else ``No exam was performed``; case, marks and white space don't count. An example is
+    a run of whole words, so turns and examples meet on runs of as many words as an example has, up to
+    ``RUN``; of longer ones on the first ``RUN``, and their texts are compared. Only keys and runs are shuffled, and
+    texts are fetched for the first turns found. Null and wordless examples match nothing.
     """
     norm = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), MARK, " "), F.lit(" "))
-    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda x: x != "")
+    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
     # an example may start or end with marks: one space at either end
     asked = examples.select("exam_id", F.regexp_replace(norm("example"), " +", " ").alias("e")).filter("e <> ' '").distinct()
-    parts = asked.select("e").distinct().select("e", F.explode(words("e")).alias("w"), F.size(words("e")).alias("n"))
-    said = turns.select("video_id", "turn_no", F.explode(words(norm("text"))).alias("w")).join(parts.select("w").distinct(), "w", "left_semi")
-    often = said.groupBy("w").agg(F.count("*").alias("often"))
-    # an example with a word that no turn has is in none
-    rare = parts.join(often, "w").groupBy("e").agg(F.min(F.struct("often", "w")).alias("r"), F.count("*").alias("met"), F.first("n").alias("n")).filter("met = n").select("e", "r.w")
-    met = said.join(rare, "w").select("video_id", "turn_no", "e").distinct()
-    texts = turns.select("video_id", "turn_no", "start", "end", "text", F.regexp_replace(norm("text"), " +", " ").alias("t"))
-    hits = met.join(texts, ["video_id", "turn_no"]).filter(F.col("t").contains(F.col("e"))).join(asked, "e")
-    first = hits.groupBy("video_id", "exam_id").agg(F.min(F.struct("turn_no", "text", "start", "end")).alias("h"))
+    asked = asked.select("exam_id", "e", words("e").alias("_w")).select("exam_id", "e", F.size("_w").alias("n"), F.array_join(F.slice("_w", 1, RUN), " ").alias("run"))
+    lengths = sorted({min(r["n"], RUN) for r in asked.select(F.least("n", F.lit(RUN)).alias("n")).distinct().collect()})
+    said = turns.select("video_id", "turn_no", words(norm("text")).alias("w"))
+    runs_of = F.array_distinct(F.concat(*[word_runs("w", n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    said = said.select("video_id", "turn_no", F.explode(runs_of).alias("run"))
+    short, long = asked.filter(F.col("n") <= RUN).select("exam_id", "run"), asked.filter(F.col("n") > RUN)
+    met = said.join(short, "run").groupBy("video_id", "exam_id").agg(F.min("turn_no").alias("turn_no"))
+    if RUN in lengths and not long.isEmpty():
+        texts = turns.select("video_id", "turn_no", F.regexp_replace(norm("text"), " +", " ").alias("t"))
+        some = said.join(long.select("exam_id", "e", "run"), "run").join(texts, ["video_id", "turn_no"]).filter(F.col("t").contains(F.col("e")))
+        met = met.union(some.select("video_id", "exam_id", "turn_no")).groupBy("video_id", "exam_id").agg(F.min("turn_no").alias("turn_no"))
+    texts = turns.select("video_id", "turn_no", "start", "end", "text")
+    first = met.join(texts, ["video_id", "turn_no"]).groupBy("video_id", "exam_id").agg(F.min(F.struct("turn_no", "text", "start", "end")).alias("h"))
     # every recording with every exam is the result itself; the exams are a short list
     every = turns.select("video_id").distinct().crossJoin(examples.select("exam_id").distinct())
     rows = every.join(first, ["video_id", "exam_id"], "left")

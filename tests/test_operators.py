@@ -286,3 +286,19 @@ def test_late_rows_are_those_behind_earlier_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/events.parquet")
     rows = sorted(map(tuple, jobs.late_report(stream, 600.0).collect()))
     assert sum(r[1] for r in rows) == 6 and len(rows) == 3 and rows[0][2] == 0 and sum(r[2] for r in rows) >= 1
+
+
+def test_exam_match_meets_on_runs_of_words(spark):
+    import random
+
+    rng, words = random.Random(3), "a b c d e".split()
+    turns = [(v, t, float(t), t + 1.0, ", ".join(rng.choices(words, k=rng.randint(0, 9)))) for v in range(12) for t in range(3)]
+    asked = [(k % 7, " ".join(rng.choices(words, k=rng.choice([1, 2, 3, 3, 4, 5, 6])))) for k in range(20)]
+    schema, kinds = "video_id int, turn_no int, start double, end double, text string", "exam_id int, example string"
+    found = {(r["video_id"], r["exam_id"]): r["start_time"] for r in criteria.exam_match(spark.createDataFrame(turns, schema), spark.createDataFrame(asked, kinds)).collect()}
+    holds = lambda text, e: f" {e} " in f" {text.replace(',', '')} "
+    want = {(v, x): min((s for u, t, s, _, text in turns if u == v and any(holds(text, e) for y, e in asked if y == x)), default=None) for v in range(12) for x in {y for y, _ in asked}}
+    assert found == {k: "nan" if s is None else str(s) for k, s in want.items()}
+    # short examples: no turn's text is compared with those of all examples that share a word with it
+    plan = criteria.exam_match(spark.createDataFrame(turns, schema), spark.createDataFrame([(1, "a b c"), (1, "b c d")], kinds))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan

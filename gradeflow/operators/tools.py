@@ -5,37 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import written
 from .evidence import route_tools
 
-#: After every place among a tool's needs, so that what a tool needs comes before the tool.
-LAST = 2**31 - 1
-
-
 def closure_of(needs: DataFrame) -> DataFrame:
     """(tool, ord, needed): everything that each tool needs, directly or through others, once, in the order of a depth-first walk: needs before what needs them.
 
-    ``needs`` (tool, ord, needed) are the direct ones; null ones and repeats are ignored. A walk first
-    meets a tool by the path whose places come first, so rounds of joins keep that path for each pair,
-    and only pairs that got a better one are joined again. A tool that needs itself is an error.
+    ``needs`` (tool, ord, needed) are the direct ones; null ones and repeats are ignored, equal places go by
+    the needed tool. Round by round come the tools whose needs are settled: such a tool's list is those of its needs, each with
+    the need after it, one after another, of repeats the first. So a list is made once, from the lists of the
+    direct needs only. A tool that needs itself is an error.
     """
-    edges = written(needs.filter("tool is not null and needed is not null").groupBy("tool", "needed").agg(F.min("ord").cast("int").alias("ord")), "needs")
-    known = edges.select(F.col("tool").alias("root"), F.col("needed").alias("node"), F.array("ord").alias("path"))
-    fresh = known = written(known, "paths")
-    while not fresh.isEmpty():
-        circle = sorted(str(r["root"]) for r in fresh.filter("root = node").limit(5).collect())
-        if circle:
-            raise ValueError(f"tools that need themselves: {', '.join(circle)}")
-        longer = fresh.join(edges, F.col("node") == F.col("tool")).select("root", F.col("needed").alias("node"), F.concat("path", F.array("ord")).alias("path"))
-        best = longer.groupBy("root", "node").agg(F.min("path").alias("new"))
-        better = best.join(known, ["root", "node"], "left").filter("path is null or new < path").select("root", "node", F.col("new").alias("path"))
-        fresh = written(better, "paths")
-        known = written(known.join(fresh.select("root", "node"), ["root", "node"], "left_anti").unionByName(fresh), "paths")
-    place = F.row_number().over(Window.partitionBy("root").orderBy(F.concat("path", F.array(F.lit(LAST))))) - 1
-    return known.select(F.col("root").alias("tool"), place.alias("ord"), F.col("node").alias("needed"))
+    left = edges = written(needs.filter("tool is not null and needed is not null").groupBy("tool", "needed").agg(F.min("ord").cast("int").alias("ord")), "needs")
+    none, lists = F.array().cast(f"array<{dict(edges.dtypes)['needed']}>"), []
+    while not left.isEmpty():
+        waiting = left.select("tool").distinct()
+        blocked = left.join(waiting.withColumnRenamed("tool", "needed"), "needed", "left_semi").select("tool").distinct()
+        ready = written(waiting.join(blocked, "tool", "left_anti"), "ready")
+        if ready.isEmpty():
+            raise ValueError(f"tools that need themselves: {', '.join(circle(left))}")
+        mine = left.join(ready, "tool", "left_semi").withColumn("_list", F.array("needed"))
+        if lists:
+            below = reduce(DataFrame.union, lists).select(F.col("tool").alias("needed"), F.col("list").alias("_below"))
+            mine = mine.join(below, "needed", "left").withColumn("_list", F.array_append(F.coalesce("_below", none), F.col("needed")))
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "needed", "_list"))), lambda x: x["_list"])
+        lists.append(written(mine.groupBy("tool").agg(F.array_distinct(F.flatten(parts)).alias("list")), "lists"))
+        left = written(left.join(ready, "tool", "left_anti"), "left")
+    if not lists:
+        return edges.select("tool", "ord", "needed")
+    return reduce(DataFrame.union, lists).select("tool", F.posexplode("list").alias("ord", "needed"))
+
+
+def circle(edges: DataFrame) -> list[str]:
+    """Up to five tools of the shortest circles of ``edges`` (tool, needed), of which there is one."""
+    known = edges.select(F.col("tool").alias("root"), F.col("needed").alias("node"))
+    while True:
+        found = sorted(str(r["root"]) for r in known.filter("root = node").limit(5).collect())
+        if found:
+            return found
+        known = written(known.join(edges, F.col("node") == F.col("tool")).select("root", F.col("needed").alias("node")).distinct(), "circles")
 
 
 class Registry:

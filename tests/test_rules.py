@@ -213,3 +213,19 @@ def test_tables_of_an_application_can_be_released(spark):
     scratch.release(spark)
     assert not os.path.exists(file)
     assert scratch.written(spark.range(3), "three").count() == 3
+
+
+def test_lists_of_needs_are_made_once(spark, monkeypatch):
+    rows = [0]
+
+    def written(df, name):
+        kept = tools_written(df, name)
+        rows[0] += kept.count() if name in ("paths", "lists") else 0
+        return kept
+
+    tools_written = tools.written
+    monkeypatch.setattr(tools, "written", written)
+    edges = spark.createDataFrame([(i, 0, i // 2) for i in range(2, 300)], "tool long, ord int, needed long")
+    found = tools.closure_of(edges).count()
+    # a list for each tool, where the pairs so far were written again in each round
+    assert found == sum(i.bit_length() - 1 for i in range(2, 300)) and rows[0] <= found

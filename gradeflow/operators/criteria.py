@@ -260,12 +260,19 @@ def examples_by_name(sections: DataFrame, prompts: DataFrame, n: int = 5) -> Dat
 
     Sections meet names by their first three letters; empty ones meet none.
     """
+    return examples_by_rows(sections, prompts.select("prompt_id", F.explode("names").alias("name")), prompts.select("prompt_id", F.posexplode("examples").alias("ord", "example")), n)
+
+
+def examples_by_rows(sections: DataFrame, names: DataFrame, examples: DataFrame, n: int = 5) -> DataFrame:
+    """``examples_by_name`` of prompts in rows: names (prompt_id, name) and examples (prompt_id, ord, example), so that no row holds a prompt."""
     s = F.lower("section")
     heads = F.array_distinct(F.array(*[F.lower(F.substring("name", 1, k)) for k in (1, 2, 3)]))
-    names = prompts.select("prompt_id", F.explode("names").alias("name"), "examples").withColumn("_head", F.explode(heads))
+    names = names.distinct().withColumn("_head", F.explode(heads))
     asked = sections.select("section").filter("section <> ''").distinct().withColumn("_head", F.substring(s, 1, 3))
-    met = asked.join(names, "_head").filter(F.startswith(F.lower("name"), s)).select("section", "prompt_id", "examples").distinct()
-    first = met.select("section", "prompt_id", F.posexplode("examples").alias("_at", "example")).groupBy("section", "example").agg(F.min(F.struct("prompt_id", "_at")).alias("_first"))
+    met = asked.join(names, "_head").filter(F.startswith(F.lower("name"), s)).select("section", "prompt_id").distinct()
+    # a prompt's repeats go before its examples meet sections
+    once = examples.groupBy("prompt_id", "example").agg(F.min("ord").alias("_at"))
+    first = met.join(once, "prompt_id").groupBy("section", "example").agg(F.min(F.struct("prompt_id", "_at")).alias("_first"))
     kept = first.withColumn("_r", F.row_number().over(Window.partitionBy("section").orderBy("_first"))).filter(F.col("_r") <= n)
     found = kept.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "example"))), lambda x: x["example"]).alias("examples"))
     # The phrases

@@ -181,11 +181,11 @@ SELECT section, coalesce((SELECT string_agg(p_name, '|' ORDER BY r) FROM r WHERE
 def examples_by_name(spark, d):
     """A brand's parts are a prompt: their types its names, their own names its examples; sections are the first words of types."""
     part = fx.table(spark, d, "part")
-    own = F.struct("p_partkey", "p_type", "p_name")
-    prompts = part.groupBy("p_brand").agg(F.min("p_partkey").alias("prompt_id"), F.array_sort(F.collect_list(own)).alias("p"))
-    prompts = prompts.select("prompt_id", F.array_distinct("p.p_type").alias("names"), F.col("p.p_name").alias("examples"))
+    ids = part.groupBy("p_brand").agg(F.min("p_partkey").alias("prompt_id"))
+    names = part.select("p_brand", F.col("p_type").alias("name")).distinct().join(ids, "p_brand")
+    examples = part.groupBy("p_brand", F.col("p_name").alias("example")).agg(F.min("p_partkey").alias("ord")).join(ids, "p_brand")
     sections = part.select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("section")).distinct().union(spark.createDataFrame([("Other",)], "section string"))
-    return _joined(c.examples_by_name(sections, prompts))
+    return _joined(c.examples_by_rows(sections, names, examples))
 
 
 @query("""SELECT name AS exam_id, count(*) AS n, md5(string_agg(name || '|' || section, '|' ORDER BY doc_id % 10, doc_id, ord)) AS digest FROM fx_criteria GROUP BY name""")

@@ -16,3 +16,9 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_no_row_holds_a_prompt(spark):
+    plan = QUERIES["examples_by_name"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # only the first examples of a section are collected, not the parts of a brand
+    assert plan.count("collect_list") == 1

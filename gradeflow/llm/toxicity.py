@@ -18,7 +18,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import combinations, product
+from itertools import chain, combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ SPACE = b"\t\n\v\f\r "
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 #: Words, windows and sentences that are worked on at once: their tables fit a core's cache, and the driver's memory.
-WORDS, ROWS, SENTENCES = 2000, 256, 2000
+WORDS, ROWS, SENTENCES = 2000, 128, 2000
 #: Bytes that are dropped from words, the token that ends a sentence, and the sign before fragments read together.
 STOP, JOINED = b"\1", b"+"
 MARKS = bytes(b for b in range(128) if not LETTER[b] and b not in SPACE + STOP)
@@ -71,6 +71,22 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (weight * inner[:, :-1, :-1]).sum((1, 2))
 
 
+def own_kernel(table: np.ndarray) -> np.ndarray:
+    """``kernel`` of each row of a byte matrix without padding with itself; rows come last, so that every step runs over all of them."""
+    a = np.ascontiguousarray(table.T)
+    n = len(a)
+    weight = (a[:, None] == a[None]) * np.float32(DECAY * DECAY)
+    inner = np.ones((n + 1, n + 1, a.shape[1]), np.float32)
+    for _ in range(ORDER - 1):
+        step = weight * inner[:-1, :-1]
+        for j in range(1, n):
+            step[:, j] += np.float32(DECAY) * step[:, j - 1]
+        inner = np.zeros_like(inner)
+        for i in range(n):
+            inner[i + 1, 1:] = np.float32(DECAY) * inner[i, 1:] + step[i]
+    return (weight * inner[:-1, :-1]).sum((0, 1))
+
+
 def padded(words: list[bytes]) -> np.ndarray:
     """Rows of ``WINDOW`` bytes."""
     return np.frombuffer(b"".join(w[:WINDOW].ljust(WINDOW, b"\0") for w in words), np.uint8).reshape(-1, WINDOW)
@@ -110,7 +126,7 @@ class Landmarks:
         self.marks, self.toxic = marks, toxic
         self.letters = letters(marks)
         present = sorted({*b"".join(marks)})
-        self.base, self.code = len(present) + 1, np.zeros(256, np.int64)
+        self.base, self.code = len(present) + 1, np.zeros(256, np.int32)
         self.code[present] = np.arange(1, self.base)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for j, m in enumerate(marks):
@@ -124,24 +140,25 @@ class Landmarks:
         self.row = np.zeros(self.base**ORDER, np.int32)
         self.row[distinct] = np.arange(1, len(distinct) + 1)
         self.first = np.r_[0, first, len(key)]
-        self.mark, self.value = mark[order].astype(np.int32), value[order].astype(np.float32)
-        head = self.keys(np.array([[*m.ljust(3, b"\0")[:3]] for m in marks[:toxic]], np.uint8).reshape(-1, 3), np.arange(3)[None])[:, 0]
-        self.heads, self.headed = np.unique(head, return_inverse=True)
-        self.head = np.zeros(self.base**ORDER, np.int32)
-        self.head[self.heads] = np.arange(1, len(self.heads) + 1)
+        self.many = np.diff(self.first, append=len(key))
+        self.mark, self.value = mark[order], value[order]
+        # the first three and the last three bytes of the toxic landmarks, numbered from 1
+        self.ends = []
+        for some in ([m.ljust(3, b"\0")[:3] for m in marks[:toxic]], [m.rjust(3, b"\0")[-3:] for m in marks[:toxic]]):
+            key, number = np.unique(self.keys(padded(some), np.arange(3)[None])[:, 0], return_inverse=True)
+            table = np.zeros(self.base**ORDER, np.int32)
+            table[key] = np.arange(1, len(key) + 1)
+            self.ends.append((table, number + 1))
         # a landmark with at most one letter put in between any two of its own
         self.gapped = [re.compile(".?".join(map(re.escape, m.decode(errors="ignore"))).join(("", "") if len(m) > 3 else ("^", "$")), re.DOTALL) for m in marks[:toxic]]
 
     def keys(self, table: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Numbers of the subsequences of windows of one length; 0 if a byte is in no landmark."""
+        """Numbers of the subsequences of windows of one length; one with a byte that is in no landmark has a number that no landmark's has."""
         codes = self.code[table]
-        key = np.zeros((len(table), len(at)), np.int64)
-        none = np.zeros(key.shape, bool)
-        for k in range(ORDER):
-            part = codes[:, at[:, k]]
-            key = key * self.base + part
-            none |= part == 0
-        key[none] = 0
+        key = codes[:, at[:, 0]]
+        for k in range(1, ORDER):
+            key *= self.base
+            key += codes[:, at[:, k]]
         return key
 
     def gram(self) -> np.ndarray:
@@ -153,25 +170,31 @@ class Landmarks:
     def inside(self, words: list[bytes]) -> list[tuple[int, int]]:
         """(word, landmark) of the toxic landmarks that longer words hold as a whole, letters put in or not.
 
-        Only words that have the landmark's first three bytes within reach of one another are searched.
+        Only words that have the landmark's first three bytes, and its last three, within reach of one another are searched.
         """
         if not (words and self.toxic):
             return []
         length = np.array([len(w) for w in words])
         flat, of = self.code[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), length)
         # a letter put in is one byte, or up to four in words that aren't ASCII alone
-        wide, many, met = np.array([not w.isascii() for w in words]), len(self.heads), []
+        wide = np.array([not w.isascii() for w in words])[of]
+        met = [np.zeros((len(words), number.max() + 1), bool) for _, number in self.ends]
         for d, e in product(range(1, 6), repeat=2):
-            at = np.arange(max(len(flat) - d - e, 0)) if max(d, e) <= 2 else np.flatnonzero(wide[of[: max(len(flat) - d - e, 0)]])
-            one, two, three = flat[at], flat[at + d], flat[at + d + e]
-            at_head = self.head[(one * self.base + two) * self.base + three]
-            some = np.flatnonzero((one > 0) & (two > 0) & (three > 0) & (at_head > 0) & (of[at] == of[at + d + e]))
-            met.append(of[at[some]] * many + at_head[some] - 1)
-        met = np.unique(np.concatenate(met))
-        word, head = met // many, met % many
-        order = np.argsort(self.headed, kind="stable")
-        each = np.bincount(self.headed, minlength=many)
-        word, mark = np.repeat(word, each[head]), order[spans((np.cumsum(each) - each)[head], each[head])]
+            n = max(len(flat) - d - e, 0)
+            at = np.flatnonzero(wide[:n]) if max(d, e) > 2 else None
+            one, two, three = (flat[k : k + n] if at is None else flat[at + k] for k in (0, d, d + e))
+            key = one * self.base
+            key += two
+            key *= self.base
+            key += three
+            for (table, _), held in zip(self.ends, met, strict=True):
+                found = table[key]
+                some = np.flatnonzero(found > 0)
+                place = some if at is None else at[some]
+                same = of[place] == of[place + d + e]
+                held[of[place[same]], found[some[same]]] = True
+        both = met[0][:, self.ends[0][1]] & met[1][:, self.ends[1][1]]
+        word, mark = np.divmod(np.flatnonzero(both), self.toxic)
         mask, size = letters(words), np.array([len(m) for m in self.marks[: self.toxic]])
         some = np.flatnonzero((mask[word] & self.letters[mark] == self.letters[mark]) & (length[word] > size[mark]))
         return [(k, m) for k, m in zip(word[some].tolist(), mark[some].tolist(), strict=True) if self.gapped[m].search(words[k].lstrip(JOINED).decode(errors="ignore"))]
@@ -180,32 +203,37 @@ class Landmarks:
         """Kernels of words, a row each: of each word's best part; those below ``FLOOR`` count as 0."""
         parts = [(p, k) for k, w in enumerate(words) if not w.startswith(JOINED) for p in windows(w)]
         parts += [(self.marks[m][:WINDOW], k) for k, m in self.inside(words)]
-        out, many = np.zeros((len(words), len(self.marks)), np.float32), len(self.marks)
+        many = len(self.marks)
+        flat = np.zeros(len(words) * many, np.float32)
         by_length: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
         for p, k in parts:
             by_length[len(p)].append((p, k))
         for n, rows in by_length.items():
             at, weight = subsequences(n)
+            weight = weight.astype(float)
             least = float((weight * weight).sum())
             for start in range(0, len(rows) if n >= ORDER else 0, ROWS):
                 some = rows[start : start + ROWS]
                 table = np.frombuffer(b"".join(p for p, _ in some), np.uint8).reshape(-1, n)
-                row = self.row[self.keys(table, at)]
-                i, c = np.nonzero(row)
-                r = row[i, c]
-                each = self.first[r + 1] - self.first[r]
+                row = self.row[self.keys(table, at)].ravel()
+                hit = np.flatnonzero(row > 0)
+                r, (i, c) = row[hit], np.divmod(hit, len(at))
+                each = self.many[r]
                 entry = spans(self.first[r], each)
-                common = np.bincount(np.repeat(i, each) * many + self.mark[entry], np.repeat(weight[c], each) * self.value[entry], len(some) * many).reshape(-1, many)
+                cell = np.repeat(i * many, each)
+                cell += self.mark[entry]
+                worth = np.repeat(weight[c], each)
+                worth *= self.value[entry]
+                common = np.bincount(cell, worth, len(some) * many)
                 # a window's own kernel is at least that of one without repeated subsequences
-                met = np.flatnonzero((common >= FLOOR * np.sqrt(least * self.own)).any(1))
-                if len(met):
-                    padding = padded([some[k][0] for k in met])
-                    value = common[met] / np.sqrt(np.maximum(kernel(padding, padding), 1e-12)[:, None] * self.own)
-                    of = np.array([some[k][1] for k in met])
-                    order = np.argsort(of, kind="stable")
-                    of, first = np.unique(of[order], return_index=True)
-                    out[of] = np.maximum(out[of], np.maximum.reduceat(np.where(value >= FLOOR, value, 0)[order], first, axis=0) ** POWER)
-        return out
+                near = np.flatnonzero(common.reshape(-1, many) >= FLOOR * np.sqrt(least * self.own))
+                if len(near):
+                    i, j = np.divmod(near, many)
+                    met, at_met = np.unique(i, return_inverse=True)
+                    value = common[near] / np.sqrt(np.maximum(own_kernel(table[met]), 1e-12)[at_met] * self.own[j])
+                    some_near = value >= FLOOR
+                    np.maximum.at(flat, np.array([k for _, k in some])[i[some_near]] * many + j[some_near], value[some_near].astype(np.float32) ** POWER)
+        return flat.reshape(-1, many)
 
 
 class Lexicon:
@@ -233,8 +261,10 @@ class Lexicon:
             self.clear()
         held = [tokens(t) for t in texts]
         self.learn(set().union(*held))
-        word = np.fromiter((self.ids[w] for t in held for w in [*t, STOP]), np.int32)
-        many = np.array([len(t) + 1 for t in held], np.int64)
+        for t in held:
+            t.append(STOP)
+        word = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(held)), np.int32)
+        many = np.array([len(t) for t in held], np.int64)
         sentence = np.cumsum(word == 0) - (word == 0)
         of_text = np.repeat(np.arange(len(texts)), many)
         text = np.zeros(int(sentence[-1]) + 1 if len(sentence) else 0, np.int64)
@@ -245,7 +275,7 @@ class Lexicon:
         return np.concatenate([word[kept], joined]), np.concatenate([sentence[kept], sentence[at]]), text, count
 
     def fragments(self, word: np.ndarray, held: list[list[bytes]], marks: Landmarks) -> tuple[np.ndarray, np.ndarray]:
-        """(word, place) of runs of words of at most ``FRAGMENT`` bytes that have all letters of a toxic landmark, read together."""
+        """(word, place) of runs of words (``STOP`` after each text) of at most ``FRAGMENT`` bytes that have all letters of a toxic landmark, read together."""
         none = np.empty(0, np.int32), np.empty(0, np.int64)
         short = (self.length[word] <= FRAGMENT) & (word > 0)
         edge = np.flatnonzero(np.diff(np.r_[False, short, False].astype(np.int8)))
@@ -260,7 +290,7 @@ class Lexicon:
             if len(marks.marks[m]) > FRAGMENT:
                 fits |= mask & marks.letters[m] == marks.letters[m]
         start, end = start[fits], end[fits]
-        flat = [w for t in held for w in [*t, STOP]] if len(start) else []
+        flat = list(chain.from_iterable(held)) if len(start) else []
         runs = [JOINED + b"".join(flat[a:b]) for a, b in zip(start, end, strict=True)]
         self.learn(set(runs))
         return np.fromiter((self.ids[r] for r in runs), np.int32, len(runs)), start
@@ -332,7 +362,9 @@ def unlike(words: list[bytes], most: int) -> list[bytes]:
 
 def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers of some ranges, one after another."""
-    return np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
+    out = np.repeat(start - np.cumsum(length) + length, length)
+    out += np.arange(len(out))
+    return out
 
 
 def svm(x: np.ndarray, t: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, float]:

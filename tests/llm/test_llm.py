@@ -581,3 +581,24 @@ def test_landmarks_inside_words_and_memory_of_the_machine():
     toxicity.svm(x, t)
     assert tracemalloc.get_traced_memory()[1] < x.nbytes
     tracemalloc.stop()
+
+
+def test_only_words_with_both_ends_of_a_landmark_are_searched():
+    held, searched = toxicity.Landmarks([b"moron", b"idiot"], 2), []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def search(self, word):
+            searched.append(word)
+            return self.pattern.search(word)
+
+    held.gapped = [Counted(p) for p in held.gapped]
+    # the third and fourth have the first bytes of a landmark and all its letters, but not its last bytes
+    assert held.inside([b"xmxoronx", b"idioti", b"morxxxon", b"idioxxxt", b"clean"]) == [(0, 0), (1, 1)]
+    assert searched == ["xmxoronx", "idioti"]
+    words = [b"banana", b"moron", b"abcabc"]
+    for w in words:
+        row = np.frombuffer(w, np.uint8)[None]
+        assert np.isclose(toxicity.own_kernel(row)[0], toxicity.kernel(row, row)[0])

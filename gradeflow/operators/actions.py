@@ -41,13 +41,13 @@ def video_metadata(videos: DataFrame) -> DataFrame:
     return videos.withColumns({"duration": duration, "bad_fps": bad("fps"), "bad_frames": bad("frames"), "bad_resolution": bad("width") | bad("height")})
 
 
-def clip_windows(videos: DataFrame, n: int = 25, stride: float = 2.0) -> DataFrame:
-    """(video_id, clip_no, start, end): n overlapping clips of (D + (n - 1) s) / n seconds over ``duration``, rounded to 2; the last ends at D."""
+def clip_windows(videos: DataFrame, n: int = 25, stride: float = 2.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(video_id, clip_no, start, end) and the columns of ``videos`` to ``keep``: n overlapping clips of (D + (n - 1) s) / n seconds over ``duration``, rounded to 2; the last ends at D."""
     length = (F.col("duration") + (n - 1) * stride) / n
-    rows = videos.select("video_id", "duration", length.alias("_len"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("clip_no"))
+    rows = videos.select("*", length.alias("_len"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("clip_no"))
     start = F.greatest(F.lit(0.0), F.least(F.col("duration"), F.col("clip_no") * (F.col("_len") - stride)))
     end = F.when(F.col("clip_no") == n - 1, F.col("duration")).otherwise(F.least(F.col("duration"), start + F.col("_len")))
-    return rows.select("video_id", "clip_no", F.round(start, 2).alias("start"), F.round(end, 2).alias("end"))
+    return rows.select("video_id", "clip_no", F.round(start, 2).alias("start"), F.round(end, 2).alias("end"), *keep)
 
 
 def clip_sample_times(clips: DataFrame, k: int) -> DataFrame:

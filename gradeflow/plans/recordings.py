@@ -132,9 +132,7 @@ def clip_windows(spark, d):
 SELECT video_id, clip_no, i, round(CASE WHEN b - a < 1e-5 THEN greatest(0.0, CASE WHEN a >= duration AND duration > 0 THEN duration - 0.001 WHEN a >= duration THEN 0.0 ELSE a END)
   ELSE greatest(a, least(CASE WHEN t >= duration AND duration > 0 THEN duration - 0.001 WHEN t >= duration THEN 0.0 ELSE t END, CASE WHEN b > a THEN b - 1e-6 ELSE b END)) END, 4) AS t FROM s""")
 def clip_sample_times(spark, d):
-    videos = _durations(spark, d)
-    rows = actions.clip_windows(videos).join(videos, "video_id")
-    return actions.clip_sample_times(rows, 9).withColumn("t", F.round("t", 4))
+    return actions.clip_sample_times(actions.clip_windows(_durations(spark, d), keep=("duration",)), 9).withColumn("t", F.round("t", 4))
 
 
 @query("""RECURSIVE WITH f AS (SELECT video_id, timestamp, row_number() OVER (PARTITION BY video_id ORDER BY timestamp) AS k FROM fx_frames),

@@ -10,7 +10,7 @@ PTS = r"(?:points?|pts?)"
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def number(c, pattern: str, group: int = 1) -> Column:

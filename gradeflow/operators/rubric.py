@@ -60,23 +60,24 @@ def line_points(lines: DataFrame) -> DataFrame:
 
 def row_points(cells: DataFrame) -> DataFrame:
     """(doc_id, row_no, description, points) of rows that aren't blank: points in the joined cells, taken out of the text; else those of the first all-digit cell that isn't 0; else 0."""
-    text = strip(F.array_join("cells", " ", ""))
-    own = F.get(F.filter(F.transform(digits_only(F.col("cells")), lambda x: x.try_cast("int")), lambda x: F.coalesce(x != 0, F.lit(False))), F.lit(0))
-    rows = cells.withColumn("_text", text).filter("_text <> ''")
-    points = F.coalesce(F.nullif(points_in(F.col("_text")), F.lit(0)), own, F.lit(0))
-    return rows.select("doc_id", "row_no", without_points(F.col("_text")).alias("description"), points.alias("points"))
+    nonzero = lambda x: F.coalesce(F.regexp_like(x, F.lit("^[0-9]+$")) & (x.try_cast("int") != 0), F.lit(False))
+    rows = cells.select("doc_id", "row_no", "cells", strip(F.array_join("cells", " ", "")).alias("_text")).filter("_text <> ''")
+    # each step is a column of its own, so that none is worked out again wherever it is used
+    rows = rows.withColumns({"_in": points_in(F.col("_text")), "_own": F.get(F.filter("cells", nonzero), F.lit(0)).try_cast("int"), "description": without_points(F.col("_text"))})
+    return rows.select("doc_id", "row_no", "description", F.coalesce(F.when(F.col("_in") != 0, F.col("_in")), "_own", F.lit(0)).alias("points"))
 
 
 def items_from_cells(cells: DataFrame) -> DataFrame:
     """(doc_id, row_no, description, points): first other cell over 2 characters and first all-digit cell, else points in the text."""
-    kept = F.filter(F.transform("cells", strip), lambda x: F.coalesce(x != "", F.lit(False)))
-    digits = F.get(digits_only(kept), F.lit(0))
-    after_first = F.filter(kept, lambda x, i: (F.length(x) > 2) & ~(F.coalesce(F.regexp_like(x, F.lit("^[0-9]+$")), F.lit(False)) & (i == F.array_position(kept, digits) - 1)))
-    rows = cells.withColumn("_main", F.coalesce(F.get(after_first, F.lit(0)), F.lit("")))
+    # each step is a column of its own, so that none is worked out again wherever it is used
+    rows = cells.select("doc_id", "row_no", F.filter(F.transform("cells", strip), lambda x: F.coalesce(x != "", F.lit(False))).alias("_kept"))
+    rows = rows.withColumn("_digits", F.get(digits_only("_kept"), F.lit(0)))
+    rows = rows.withColumns({"_at": F.array_position("_kept", F.col("_digits")) - 1, "_own": F.coalesce(F.col("_digits").try_cast("int"), F.lit(0))})
+    other = F.filter("_kept", lambda x, i: (F.length(x) > 2) & F.coalesce(i != F.col("_at"), F.lit(True)))
+    rows = rows.select("doc_id", "row_no", "_own", F.coalesce(F.get(other, F.lit(0)), F.lit("")).alias("_main"))
     text = F.regexp_replace(F.regexp_replace("_main", rf"^[•·▪▫◦‣⁃-]{WS}*", ""), rf"^[0-9]+\.{WS}*", "")
     text = strip(F.regexp_replace(text, rf"(?i){WS}*[0-9]+{WS}*{PTS}?{WS}*$", ""))
-    own = F.coalesce(digits.try_cast("int"), F.lit(0))
-    points = F.when(own != 0, own).otherwise(F.coalesce(number("_main", rf"(?i)([0-9]+){WS}*{PTS}"), own))
+    points = F.when(F.col("_own") != 0, F.col("_own")).otherwise(F.coalesce(number("_main", rf"(?i)([0-9]+){WS}*{PTS}"), F.col("_own")))
     return rows.select("doc_id", "row_no", text.alias("description"), points.alias("points"))
 
 
@@ -124,11 +125,12 @@ def headers(lines: DataFrame, known=SECTIONS) -> DataFrame:
 def assign_sections(lines: DataFrame, known=SECTIONS) -> DataFrame:
     """(doc_id, line_no, text, section_no, section): list items under the latest header above; lines before any are dropped."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    listed = F.regexp_like("text", F.lit(BULLET))
-    rows = headers(lines, known).withColumn("_head", F.when(~listed, F.col("section")))
+    # list items aren't looked through for headers
+    rows = lines.withColumn("_listed", F.regexp_like("text", F.lit(BULLET))).withColumn("_text", F.col("text"))
+    rows = headers(rows.withColumn("text", F.when(~F.col("_listed"), F.col("text"))), known).withColumn("text", F.col("_text")).withColumn("_head", F.col("section"))
     rows = rows.withColumn("section_no", F.sum(F.col("_head").isNotNull().cast("int")).over(order).cast("int")).withColumn("section", F.last("_head", ignorenulls=True).over(order))
     rows = rows.withColumn("section_points", F.last(F.when(F.col("_head").isNotNull(), F.coalesce("max_points", F.lit(0))), ignorenulls=True).over(order))
-    return rows.filter(listed & F.col("section").isNotNull()).select("doc_id", "line_no", "text", "section_no", "section", "section_points")
+    return rows.filter(F.col("_listed") & F.col("section").isNotNull()).select("doc_id", "line_no", "text", "section_no", "section", "section_points")
 
 
 def section_totals(items: DataFrame) -> DataFrame:
@@ -158,17 +160,18 @@ NUMBERED = r"^[0-9]+[.)]"
 def parse_rubric(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, section, name, points): ``Name (n points)`` headers and the listed items below them, both as criteria."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    text = strip(F.col("text"))
-    head = F.regexp_like(text, F.lit(TITLE))
-    rows = lines.withColumn("_head", head).withColumn("section", F.last(F.when(head, strip(F.regexp_extract(text, TITLE, 1))), ignorenulls=True).over(order))
-    listed = F.regexp_like(text, F.lit("^[-•]")) | F.regexp_like(text, F.lit(NUMBERED))
-    item = strip(F.regexp_replace(text, rf"^[-•0-9.)]{WS}*", ""))
     pattern = rf"(?i)\(([0-9]+){WS}*points?\)"
+    # each step is a column of its own, so that none is worked out again wherever it is used; all come before the window
+    rows = lines.withColumn("_text", strip(F.col("text")))
+    rows = rows.withColumn("_head", F.regexp_like("_text", F.lit(TITLE)))
+    listed = ~F.col("_head") & (F.regexp_like("_text", F.lit("^[-•]")) | F.regexp_like("_text", F.lit(NUMBERED)))
+    rows = rows.withColumns({"_title": F.when(F.col("_head"), strip(F.regexp_extract("_text", TITLE, 1))), "_item": F.when(listed, strip(F.regexp_replace("_text", rf"^[-•0-9.)]{WS}*", "")))})
     # only the first bracket with points is taken out
-    name = F.when(F.regexp_like(item, F.lit(pattern)), strip(F.regexp_replace(item, rf"(?is)^(.*?)\([0-9]+{WS}*points?\)", "$1"))).otherwise(item)
-    rows = rows.withColumn("name", F.when(F.col("_head"), F.col("section")).otherwise(name)).withColumn("points", F.when(F.col("_head"), number(text, TITLE, 2)).otherwise(F.coalesce(number(item, pattern), F.lit(1))))
-    kept = F.col("_head") | (F.col("section").isNotNull() & listed & (F.length("name") > 3))
-    return rows.filter(kept).select("doc_id", "line_no", "section", "name", "points")
+    name = F.when(F.regexp_like("_item", F.lit(pattern)), strip(F.regexp_replace("_item", rf"(?is)^(.*?)\([0-9]+{WS}*points?\)", "$1"))).otherwise(F.col("_item"))
+    rows = rows.withColumns({"_name": name, "points": F.when(F.col("_head"), number("_text", TITLE, 2)).otherwise(F.coalesce(number("_item", pattern), F.lit(1)))})
+    rows = rows.withColumn("section", F.last("_title", ignorenulls=True).over(order))
+    kept = F.col("_head") | (F.col("section").isNotNull() & (F.length("_name") > 3))
+    return rows.filter(kept).select("doc_id", "line_no", "section", F.when(F.col("_head"), F.col("section")).otherwise(F.col("_name")).alias("name"), "points")
 
 
 def rubric_totals(lines: DataFrame) -> DataFrame:
@@ -199,13 +202,17 @@ def sub_exams(lines: DataFrame, category: str, defaults: list[str], look: int =
     numbered one; else the category's first three.
     """
     ahead = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(1, look)
-    nexts = F.collect_list("text").over(ahead)
-    rows = lines.withColumn("_next", nexts)
-    stop = F.array_position(F.transform("_next", lambda x: F.regexp_like(x, F.lit(rf"^{WS}*[0-9]+[.)]"))), True)
-    rows = rows.withColumn("_next", F.when(stop > 0, F.slice("_next", F.lit(1), stop - 1)).otherwise(F.col("_next")))
-    said = F.filter("_next", lambda x: F.lower(x).contains("example") | F.lower(x).contains("verbalization"))
-    cut = F.flatten(F.transform(said, lambda x: F.split(F.regexp_replace(x, r"(?i)^.*?(?:example|verbalization)[s:]*[\x20\x09-\x0D]*", ""), "[,;]")))
-    words = F.filter(F.transform(cut, lambda x: F.regexp_replace(strip(x), "^[\"']|[\"']$", "")), lambda x: x != "")
+    # a line's own examples are read once, not again for each of the lines before it
+    said = F.lower("text").contains("example") | F.lower("text").contains("verbalization")
+    cut = F.split(F.regexp_replace("text", r"(?i)^.*?(?:example|verbalization)[s:]*[\x20\x09-\x0D]*", ""), "[,;]")
+    own = F.filter(F.transform(cut, lambda x: F.regexp_replace(strip(x), "^[\"']|[\"']$", "")), lambda x: x != "")
+    line = F.struct(F.coalesce(F.regexp_like("text", F.lit(rf"^{WS}*[0-9]+[.)]")), F.lit(False)).alias("stop"), F.when(said, own).alias("words"))
+    # null lines are no lines
+    rows = lines.withColumn("_line", F.when(F.col("text").isNotNull(), line)).withColumn("_next", F.collect_list("_line").over(ahead))
+    rows = rows.withColumn("_stop", F.array_position(F.transform("_next", lambda x: x["stop"]), True))
+    rows = rows.withColumn("_next", F.when(F.col("_stop") > 0, F.slice("_next", F.lit(1), F.col("_stop") - 1)).otherwise(F.col("_next")))
+    rows = rows.withColumn("_words", F.flatten(F.filter(F.transform("_next", lambda x: x["words"]), lambda x: x.isNotNull())))
+    words = F.col("_words")
     rows = rows.withColumn("examples", F.when(F.size(words) > 0, words).otherwise(F.array(*[F.lit(x) for x in defaults[:3]])))
     forms = [F.when(F.regexp_like("text", F.lit(p)), F.struct(F.lit(i).alias("form"), strip(F.regexp_extract("text", p, 1)).alias("name"), F.coalesce(number("text", p, g), F.lit(1)).alias("points"))) for i, (p, g) in enumerate(SUB_EXAMS)]
     rows = rows.select("doc_id", "line_no", "examples", F.explode(F.filter(F.array(*forms), lambda x: x.isNotNull())).alias("m"))

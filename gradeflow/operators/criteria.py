@@ -169,7 +169,11 @@ def merge_items(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def merge_sections(a: DataFrame, b: DataFrame) -> DataFrame:
     """(doc_id, section, max_points) of two analyses: sections are the same if their names are but for case, the first's name and the larger points stay."""
-    rows = a.withColumn("_src", F.lit(0)).unionByName(b.withColumn("_src", F.lit(1)))
+    return merge_section_rows(a.withColumn("_src", F.lit(0)).unionByName(b.withColumn("_src", F.lit(1))))
+
+
+def merge_section_rows(rows: DataFrame) -> DataFrame:
+    """``merge_sections`` of rows (doc_id, section, max_points, _src) that tell their analysis, 0 or 1."""
     rows = rows.groupBy("doc_id", F.lower("section").alias("_k")).agg(F.min(F.struct("_src", "section")).alias("_s"), F.max("max_points").alias("max_points"))
     return rows.select("doc_id", F.col("_s.section").alias("section"), "max_points")
 

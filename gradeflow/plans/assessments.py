@@ -120,9 +120,12 @@ def merge_analyses(spark, d):
 @query("""WITH s AS (SELECT doc_id, section, 0 AS src, sum(max_points)::INT AS max_points FROM fx_criteria WHERE ord % 2 = 0 GROUP BY ALL UNION ALL SELECT doc_id, upper(section), 1, max(max_points) FROM fx_criteria GROUP BY ALL)
 SELECT doc_id, arg_min(section, src) AS section, max(max_points) AS max_points FROM s GROUP BY doc_id, lower(section)""")
 def merge_analyses_sections(spark, d):
-    rows = fx.criteria(spark, d)
-    a = rows.filter("ord % 2 = 0").groupBy("doc_id", "section").agg(F.sum("max_points").cast("int").alias("max_points"))
-    return c.merge_sections(a, rows.groupBy("doc_id", F.upper("section").alias("section")).agg(F.max("max_points").alias("max_points")))
+    """Both analyses come from one pass: sums of the even items, largest points of all."""
+    even = F.col("ord") % 2 == 0
+    rows = fx.criteria(spark, d).groupBy("doc_id", "section").agg(F.sum(F.when(even, F.col("max_points"))).cast("int").alias("_sum"), F.max(even).alias("_even"), F.max("max_points").alias("_max"))
+    row = lambda src, section, points: F.struct(F.lit(src).alias("_src"), section.alias("section"), F.col(points).alias("max_points"))
+    first, second = row(0, F.col("section"), "_sum"), row(1, F.upper("section"), "_max")
+    return c.merge_section_rows(rows.select("doc_id", F.inline(F.when(F.col("_even"), F.array(first, second)).otherwise(F.array(second)))))
 
 
 @query("""WITH i AS (SELECT doc_id, section, max_points, name, row_number() OVER (PARTITION BY doc_id, section ORDER BY ord) AS k FROM fx_criteria WHERE section <> 'Management'),

@@ -70,26 +70,37 @@ def point_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.when(F.col("id") % 7 == 0, F.col("id")).otherwise(F.col("id") + 1000000).alias("id"), "video_id", (F.col("timestamp") + 1000).alias("timestamp"), F.lit(2).alias("version"))
 
 
+#: Rows of lineitem that one task takes at most, or about: tasks get more with the table, not larger.
+TASK_ROWS = 400_000
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("flag_no", flag)
+    lines = table(spark, sf_dir, "lineitem")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // TASK_ROWS))
+    rows = lines.join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).repartition(tasks, "l_orderkey").withColumn("flag_no", flag)
     order = Window.partitionBy("l_orderkey").orderBy("flag_no", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     section = F.when(F.col("flag_no") == 0, "History Taking").when(F.col("flag_no") == 1, "Physical Examination").otherwise("Management")
     return rows.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("item_no"), "flag_no", section.alias("section"), "p_name", "p_brand", "l_returnflag", "l_linenumber", F.concat("p_name", F.lit(" ("), F.col("l_linenumber").cast("string"), F.lit(" points)")).alias("text"))
 
 
 def rubric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir)
-    heads = rows.groupBy("doc_id", "flag_no", "section").agg(F.count("*").alias("n")).select("doc_id", "flag_no", F.lit(0).alias("item_no"), F.concat("section", F.lit(" ("), (F.col("n") * 2).cast("string"), F.lit(" points)")).alias("text"))
-    lines = heads.union(rows.select("doc_id", "flag_no", "item_no", F.concat(F.lit("- "), "text")))
-    return lines.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("flag_no", "item_no")) - 1).alias("line_no"), "text")
+    """A section's first item brings its header along: the items are read and dealt once."""
+    of_section = Window.partitionBy("doc_id", "flag_no")
+    place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("flag_no"))
+    rows = items(spark, sf_dir).withColumns({"_place": place, "_n": F.count("*").over(of_section), "_first": F.min("item_no").over(of_section)})
+    line = lambda before, text: F.struct((F.col("item_no") + F.col("_place") - before).alias("line_no"), text.alias("text"))
+    head = line(2, F.concat("section", F.lit(" ("), (F.col("_n") * 2).cast("string"), F.lit(" points)")))
+    item = line(1, F.concat(F.lit("- "), "text"))
+    return rows.select("doc_id", F.inline(F.when(F.col("item_no") == F.col("_first"), F.array(head, item)).otherwise(F.array(item))))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir)
-    body = rows.select("doc_id", F.col("item_no").alias("row_no"), F.array(F.lit(None).cast("string"), "p_name", "p_brand", "l_returnflag", F.col("l_linenumber").cast("string")).alias("cells"))
-    head = rows.select("doc_id").distinct().select("doc_id", F.lit(0).alias("row_no"), F.array(*[F.lit(x) for x in ("", "Domain", "", "", "Score")]).alias("cells"))
-    return body.union(head)
+    """A document's first item brings its header along: the items are read and dealt once."""
+    row = lambda no, cells: F.struct(no.alias("row_no"), F.array(*cells).alias("cells"))
+    body = row(F.col("item_no"), (F.lit(None).cast("string"), "p_name", "p_brand", "l_returnflag", F.col("l_linenumber").cast("string")))
+    head = row(F.lit(0), [F.lit(x) for x in ("", "Domain", "", "", "Score")])
+    return items(spark, sf_dir).select("doc_id", F.inline(F.when(F.col("item_no") == 1, F.array(head, body)).otherwise(F.array(body))))
 
 
 def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,19 +85,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps (Kiveris et al., 2014). Minima are grouped with partial
     aggregation and joined back, so a node with very many edges isn't gathered in a task. Each
-    round is written to the shared folder. Null ends and loops are ignored; no edges, no rows.
+    round writes one table to the shared folder; the last is the one that leaves only stars.
+    Null ends and loops are ignored; no edges, no rows.
     """
     kept = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    kept, seen = materialize(kept, "edges"), None
     while True:
-        mark = tuple(kept.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if mark == seen or not mark[0]:
-            return kept.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
         both = kept.union(kept.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        kept = materialize(star.union(least).distinct(), "small-star")
+        kept = materialize(star.union(least).distinct(), "stars")
+        # every edge leads down: when each node has one at most and no end has any, the ends are the smallest
+        ends = kept.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(kept.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down = 1 and up = 1)").limit(1).count():
+            return kept.select(F.col("u").alias("node"), F.col("v").alias("root"))

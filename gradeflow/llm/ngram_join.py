@@ -208,11 +208,11 @@ def bounded_pairs(counts: DataFrame, percent: int) -> DataFrame:
     return total.filter(F.col("c") + rest >= need).select("a", "b", "na", "nb")
 
 
-def texts_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text as bytes) of the ids (a written table); of rows that repeat an id, the one whose set stands for it."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids), "doc_id", "left_semi")
-    repeated = materialize(ids.join(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1"), "doc_id", "left_semi"), "repeated-ids")
-    if not repeated.limit(1).count():
+def texts_of(docs: DataFrame, reps: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """(doc_id, text as bytes) of the ids; of rows that repeat an id (if there are any), the one whose set stands for it."""
+    ids = small(ids)
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    if not repeated:
         return texts.select("doc_id", F.col("text").cast("binary").alias("text"))
     shape = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("found", pa.binary())])
 
@@ -222,12 +222,12 @@ def texts_of(docs: DataFrame, reps: DataFrame, ids: DataFrame) -> DataFrame:
             content = as_bytes(batch, "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary()), pa.array([digest(shingles(t)) for t in content], pa.binary())], schema=shape)
 
-    chosen = reps.select(F.col("rep").alias("doc_id"), "digest").join(small(ids), "doc_id", "left_semi")
+    chosen = reps.select(F.col("rep").alias("doc_id"), "digest").join(ids, "doc_id", "left_semi")
     found = texts.mapInArrow(sets, "doc_id long, text binary, found binary").join(chosen, "doc_id").filter("found = digest")
     return found.groupBy("doc_id").agg(F.first("text").alias("text"))
 
 
-def crowd_links(docs: DataFrame, reps: DataFrame, counts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def crowd_links(docs: DataFrame, reps: DataFrame, counts: DataFrame, groups: DataFrame, percent: int, repeated: bool) -> DataFrame:
     """Written table (a, b): links within crowds that join different groups, as stars.
 
     A crowd's largest group and its other documents are cut into chunks; every chunk of others is
@@ -244,7 +244,7 @@ def crowd_links(docs: DataFrame, reps: DataFrame, counts: DataFrame, groups: Dat
     rows = rows.withColumn("chunk", F.when(F.col("is_main"), F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))))
     partner = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
     rows = rows.withColumn("partner", F.explode(partner)).select("crowd", F.least("chunk", "partner").alias("lo"), F.greatest("chunk", "partner").alias("hi"), "doc_id", F.col("chunk").alias("own"))
-    ids = materialize(members.select("doc_id").distinct(), "crowd-ids")
+    ids = members.select("doc_id").distinct()
 
     def multiply(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         shingles, lo = Shingler(), int(key[1])
@@ -271,18 +271,18 @@ def crowd_links(docs: DataFrame, reps: DataFrame, counts: DataFrame, groups: Dat
         linked = np.flatnonzero(root != np.arange(len(sets)))
         return pd.DataFrame({"a": doc[root[linked]], "b": doc[linked]})
 
-    placed = rows.join(texts_of(docs, reps, ids), "doc_id")
+    placed = rows.join(texts_of(docs, reps, ids, repeated), "doc_id")
     return materialize(placed.groupBy("crowd", "lo", "hi").applyInPandas(multiply, "a long, b long"), "crowd-links")
 
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, repeated: bool) -> DataFrame:
     """The ``pairs`` (a, b, na, nb: a written table) that link, by whole sets.
 
     Texts are fetched for the ids in pairs alone. Partners of an ``a`` are dealt in lots of a few
     hundred, each lot with the text of ``a``, so that a document with very many partners is spread.
     """
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    texts = texts_of(docs, reps, ids)
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = texts_of(docs, reps, ids, repeated)
     lots = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / PARTNERS), F.ceil(F.sum("nb") / PARTNER_SHINGLES)).alias("lots"))
     dealt = pairs.join(lots, "a").withColumn("lot", F.pmod(F.xxhash64("b"), F.col("lots")))
     partners = dealt.select("a", "lot", F.col("b").alias("doc_id"))
@@ -312,15 +312,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     top = table.filter("hash is not null").groupBy("hash").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "hash").limit(KNOWN)
     known = top.toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
     rows = table.filter("hash is null").select("doc_id", "n", "digest")
+    repeated = bool(rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
     reps = prefixes(docs, known, percent)
     near, groups = None, None
     for _ in ("first minima", "other minima"):
-        found = verified(docs, reps, materialize(near_centres(reps, groups, percent), "near-pairs"), percent)
+        found = verified(docs, reps, materialize(near_centres(reps, groups, percent), "near-pairs"), percent, repeated)
         near = found if near is None else near.union(found)
         groups = connected_components(near)
     counts = block_counts(reps, groups, percent)
     pairs = materialize(bounded_pairs(counts, percent), "block-pairs")
-    links = near.union(verified(docs, reps, pairs, percent)).union(crowd_links(docs, reps, counts, groups, percent))
+    links = near.union(verified(docs, reps, pairs, percent, repeated)).union(crowd_links(docs, reps, counts, groups, percent, repeated))
     roots = connected_components(links)
     one = rows.filter("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"))
     of_set = one.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component_id"))

@@ -313,6 +313,26 @@ def test_components(spark):
     assert {r["node"]: r["root"] for r in found} == {2: 1, 3: 1, 5: 4, 7: 6, 8: 6, 9: 6}
 
 
+def test_components_write_a_table_a_round(spark, monkeypatch):
+    written, write = [], common.materialize
+    for module in (common, ngram_join):
+        monkeypatch.setattr(module, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    star = spark.createDataFrame([(0, i) for i in range(1, 50)], "a long, b long")
+    assert {r["root"] for r in common.connected_components(star).collect()} == {0} and written == ["stars"]
+    assert common.connected_components(star.limit(0)).count() == 0
+    ids = random.Random(4).sample(range(10_000), 400)
+    chains = [(a, b) for k in (0, 150) for a, b in zip(ids[k : k + 149], ids[k + 1 : k + 150])] + [(ids[0], i) for i in ids[300:]]
+    written.clear()
+    found = {r["node"]: r["root"] for r in common.connected_components(spark.createDataFrame(chains, "a long, b long")).collect()}
+    one, two = ids[:150] + ids[300:], ids[150:300]
+    assert found == {i: min(x) for x in (one, two) for i in x if i != min(x)} and set(written) == {"stars"}
+    # executors start a process for every file that they write: few tables, ids are not written
+    written.clear()
+    rows = near_texts(64, 25, 9)
+    ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert "pair-ids" not in written and len([x for x in written if x != "stars"]) <= 11
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     import sentencepiece
 

@@ -286,8 +286,9 @@ def examples_by_rows(sections: DataFrame, names: DataFrame, examples: DataFrame,
 
 def exam_examples(criteria: DataFrame) -> DataFrame:
     """(exam_id, n, examples): all examples of an exam across stations, in the order of station and ord, repeats kept."""
-    rows = criteria.groupBy("exam_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("station", "ord", "examples"))).alias("_e"))
-    return rows.select("exam_id", "n", F.flatten(F.transform("_e", lambda x: x["examples"])).alias("examples"))
+    # sort_array and a field of all structs: array_sort and transform call a lambda for each comparison and element
+    rows = criteria.groupBy("exam_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("station", "ord", "examples"))).alias("_e"))
+    return rows.select("exam_id", "n", F.flatten("_e.examples").alias("examples"))
 
 
 def section_examples(section, name) -> F.Column:

@@ -1,6 +1,7 @@
 """Hand-written rows: ties, edges and worked examples."""
 
 import itertools
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -302,3 +303,14 @@ def test_exam_match_meets_on_runs_of_words(spark):
     # short examples: no turn's text is compared with those of all examples that share a word with it
     plan = criteria.exam_match(spark.createDataFrame(turns, schema), spark.createDataFrame([(1, "a b c"), (1, "b c d")], kinds))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(" not in plan
+
+
+def test_exam_examples_order_large_exams_without_lambdas(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2]), [rng.choice([None, "x", "y", "z"]) for _ in range(rng.randint(0, 3))]) for _ in range(400)]
+    found = criteria.exam_examples(spark.createDataFrame(rows, "exam_id string, station long, ord long, examples array<string>"))
+    low = lambda x: (x is not None, x)
+    placed = sorted(rows, key=lambda r: (low(r[1]), low(r[2]), [low(x) for x in r[3]]))
+    assert {r["exam_id"]: (r["n"], r["examples"]) for r in found.collect()} == {e: (sum(r[0] == e for r in rows), [x for r in placed if r[0] == e for x in r[3]]) for e in "ab"}
+    # a lambda called for each comparison took nine tenths of the time with 100,000 rows an exam
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()

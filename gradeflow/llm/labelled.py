@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,8 +17,8 @@ from .common import crc32_fold
 SAMPLE_TEXT, SAMPLE_BYTES = 60_000, 8 << 20
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> pa.Table:
-    """Up to ``rows`` documents and ``SAMPLE_BYTES`` of either class of ``label``, as (doc_id, text, label) ordered by doc_id, on the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int) -> DataFrame:
+    """Up to ``rows`` documents and ``SAMPLE_BYTES`` of either class of ``label``, as (doc_id, text, label).
 
     Only rows of which crc32(doc_id as text) mod ``modulus`` is not ``held_out`` are looked at. The
     sample is the first by md5 of the id, so it is the same in any run. Null labels, ids and texts
@@ -29,7 +33,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     met = texts.join(F.broadcast(parts[0].union(parts[1])), "doc_id")
     first = Window.partitionBy("label").orderBy(order, "doc_id", "text")
     met = met.withColumn("_n", F.row_number().over(first)).withColumn("_bytes", F.sum(F.octet_length("text")).over(first))
-    return met.filter((F.col("_n") <= rows) & (F.col("_bytes") <= SAMPLE_BYTES)).select("doc_id", "text", "label").orderBy("doc_id", "text").toArrow()
+    return met.filter((F.col("_n") <= rows) & (F.col("_bytes") <= SAMPLE_BYTES)).select("doc_id", "text", "label")
+
+
+def learnt(sample: DataFrame, make: Callable[[list, np.ndarray], Any]) -> Any:
+    """``make(texts, labels)`` of a ``labelled_sample`` ordered by doc_id and text; none if a class has no rows.
+
+    It runs in one task, as the sample is bounded; the driver gets what was learnt, neither texts nor what learning holds meanwhile.
+    """
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+        if len({*y}) == 2:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(texts, np.array(y)))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).sortWithinPartitions("doc_id", "text").select("text", "label").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_fold, small_batches
-from .labelled import labelled_sample, sigmoid, temperature
+from .labelled import labelled_sample, learnt, sigmoid, temperature
 
 #: Buckets of words, components of a vector, nonzero components of an index vector, neighbours on either side.
 BUCKETS, DIMS, NONZERO, REACH = 1 << 15, 64, 4, 2
 #: Share of all words at which a word weighs half.
 COMMON = 1e-3
-#: Words that a task gathers before it counts contexts; slices of the table that are summed apart; tables that a step of the sum adds.
-CHUNK, SLICES, FAN = 1_000_000, 64, 128
+#: Words that a task gathers before it counts contexts; slices of the table that are summed apart; tables that a step of the sum adds; buckets whose vectors are made at once.
+CHUNK, SLICES, FAN, BLOCK = 1_000_000, 64, 128, 2048
 #: Labelled documents of either class, hidden units, steps, rows of a step.
 SAMPLE, HIDDEN, EPOCHS, BATCH = 3000, 32, 40, 64
 SEED = 11
@@ -39,7 +39,7 @@ TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^\w\s\x80-\xff]+|_+")
 def index_table() -> tuple[np.ndarray, np.ndarray]:
     """Positions and signs of the nonzero components of each bucket's index vector."""
     random = np.random.default_rng(SEED)
-    at = np.argsort(random.random((BUCKETS, DIMS)), axis=1)[:, :NONZERO]
+    at = np.concatenate([np.argsort(random.random((BLOCK, DIMS)), axis=1)[:, :NONZERO].copy() for _ in range(0, BUCKETS, BLOCK)])
     return at, random.choice([-1, 1], (BUCKETS, NONZERO)).astype(np.int64)
 
 
@@ -108,10 +108,11 @@ class Pooler:
 
     def __init__(self, sums: np.ndarray):
         at, sign = index_table()
-        index = np.zeros((BUCKETS, DIMS), np.float32)
-        np.put_along_axis(index, at, (sign / np.sqrt(NONZERO)).astype(np.float32), 1)
-        contexts = sums[:, :DIMS] / np.maximum(np.sqrt((sums[:, :DIMS].astype(np.float64) ** 2).sum(1, keepdims=True)), 1e-9)
-        self.vectors = np.concatenate([contexts.astype(np.float32), index], 1)
+        self.vectors = np.zeros((BUCKETS, 2 * DIMS), np.float32)
+        np.put_along_axis(self.vectors[:, DIMS:], at, (sign / np.sqrt(NONZERO)).astype(np.float32), 1)
+        for k in range(0, BUCKETS, BLOCK):
+            part = sums[k : k + BLOCK, :DIMS]
+            self.vectors[k : k + BLOCK, :DIMS] = part / np.maximum(np.sqrt((part.astype(np.float64) ** 2).sum(1, keepdims=True)), 1e-9)
         share = sums[:, DIMS] / max(float(sums[:, DIMS].sum(dtype=np.float64)), 1.0)
         self.weight = (COMMON / (COMMON + share)).astype(np.float32)
 
@@ -176,13 +177,16 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1) -> tuple[np.ndarray, Network | None]:
     """Sums of contexts over all ``docs`` and the network of a labelled sample; no network if a class has no rows."""
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "quality", modulus, held_out, SAMPLE)
-    y = rows.column("label").to_numpy()
     sums = context_sums(docs)
-    if len({*y.tolist()}) < 2:
-        return sums, None
-    pool = Pooler(sums)
-    return sums, Network(np.stack([pool(t.as_py()) for t in rows.column("text").cast(pa.binary())]), y)
+    sent = docs.sparkSession.sparkContext.broadcast(sums)
+
+    def network(texts: list[bytes], y: np.ndarray) -> Network:
+        return Network(np.stack(list(map(Pooler(sent.value), texts))), y)
+
+    sample = labelled_sample(docs, labels, "quality", modulus, held_out, SAMPLE)
+    found = learnt(sample.withColumn("text", F.col("text").cast("binary")), network)
+    sent.destroy()
+    return sums, found
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, Network | None], schema, make) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_fold, small_batches
-from .labelled import labelled_sample, sigmoid
+from .labelled import labelled_sample, learnt, sigmoid
 
 #: Length of the subsequences, weight of a step, power of the normalised kernel, least normalised kernel that counts, bytes of a part of a long word, and its step.
 ORDER, DECAY, POWER, FLOOR, WINDOW, STRIDE = 3, 0.7, 2, 0.35, 12, 6
@@ -45,8 +45,8 @@ SEED = 5
 SPACE = b"\t\n\v\f\r "
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
-#: Words, windows and sentences that are worked on at once: their tables fit a core's cache, and the driver's memory.
-WORDS, ROWS, SENTENCES = 2000, 128, 2000
+#: Words, windows, sentences and texts to learn from that are worked on at once: their tables fit a core's cache, and a worker's memory.
+WORDS, ROWS, SENTENCES, TEXTS = 2000, 128, 2000, 250
 #: Bytes that are dropped from words, the token that ends a sentence, and the sign before fragments read together.
 STOP, JOINED = b"\1", b"+"
 MARKS = bytes(b for b in range(128) if not LETTER[b] and b not in SPACE + STOP)
@@ -411,7 +411,7 @@ class Model:
         self.train([texts[k] for k in fit], y[fit])
         rows = np.flatnonzero(back) if back.any() else fit
         self.lexicon = Lexicon(self.share)
-        self.curve = rising(self.features([texts[k] for k in rows]), y[rows])
+        self.curve = rising(np.concatenate([self.features([texts[k] for k in rows[i : i + TEXTS]]) for i in range(0, len(rows), TEXTS)]), y[rows])
         self.lexicon = None
 
     def train(self, texts: list[str], y: np.ndarray) -> None:
@@ -419,8 +419,8 @@ class Model:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         lexicon = Lexicon(lambda new: self.sparse(new, len(lexicon.value), held), 0)
         word, sentence, text, n = [], [], [], 0
-        for k in range(0, len(texts), 250):
-            w, s, t, _ = lexicon.read(texts[k : k + 250], self.landmarks)
+        for k in range(0, len(texts), TEXTS):
+            w, s, t, _ = lexicon.read(texts[k : k + TEXTS], self.landmarks)
             word, sentence, text, n = [*word, w], [*sentence, (s + n).astype(np.int32)], [*text, t + k], n + len(t)
         words = len(lexicon.value)
         del lexicon
@@ -512,9 +512,8 @@ def rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> Model | None:
     """The model of a bounded labelled sample; none if a class has no rows."""
-    rows = labelled_sample(docs, labels, "toxic", modulus, held_out, SAMPLE)
-    y = rows.column("label").to_numpy()
-    return Model(rows.column("text").to_pylist(), y) if len({*y.tolist()}) == 2 else None
+    small_batches(docs.sparkSession)
+    return learnt(labelled_sample(docs, labels, "toxic", modulus, held_out, SAMPLE), Model)
 
 
 def scores(docs: DataFrame, model: Model | None, schema, make) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import pytest
 from conftest import SF, plain
 from pyspark.sql import functions as F
 
-from gradeflow.llm import common, mixing, ngram_join, packing, quality, queries, shingles, token_counts, tokenizing, topk, toxicity, url_filter, vector_dedup, warc
+from gradeflow.llm import common, labelled, mixing, ngram_join, packing, quality, queries, shingles, token_counts, tokenizing, topk, toxicity, url_filter, vector_dedup, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, taken int"
 BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -622,3 +623,26 @@ def test_only_words_with_both_ends_of_a_landmark_are_searched():
     for w in words:
         row = np.frombuffer(w, np.uint8)[None]
         assert np.isclose(toxicity.own_kernel(row)[0], toxicity.kernel(row, row)[0])
+
+
+def test_models_are_learnt_in_a_task(spark):
+    """The driver holds neither the labelled texts nor what learning takes; ids are in order, held-out ones left out."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40, 0, -1)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, toxic int")
+    process, texts, y = labelled.learnt(labelled.labelled_sample(docs, labels, "toxic", 4, 2, 100), lambda texts, y: (os.getpid(), texts, y.tolist()))
+    ids = [i for i in range(1, 41) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert process != os.getpid() and texts == [f"text {i}" for i in ids] and y == [i % 2 for i in ids]
+    assert labelled.learnt(labelled.labelled_sample(docs, labels.filter("toxic = 1"), "toxic", 4, 2, 100), len) is None
+    assert labelled.learnt(labelled.labelled_sample(docs.limit(0), labels, "toxic", 4, 2, 100), len) is None
+
+
+def test_word_vectors_are_made_in_blocks():
+    import tracemalloc
+
+    sums = np.random.default_rng(1).integers(-50, 50, (quality.BUCKETS, quality.DIMS + 1)).astype(np.float32)
+    tracemalloc.start()
+    pool = quality.Pooler(sums)
+    assert tracemalloc.get_traced_memory()[1] < 1.5 * pool.vectors.nbytes
+    tracemalloc.stop()
+    whole = sums[:, : quality.DIMS].astype(np.float64)
+    assert np.allclose(pool.vectors[:, : quality.DIMS], whole / np.sqrt((whole**2).sum(1, keepdims=True)), atol=1e-6)
